@@ -8,7 +8,7 @@ codes come from a distributed ordering, and encoding is a shuffle join.
 from __future__ import annotations
 
 import datetime
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from prepforge.errors import DataError
 from prepforge.functions.columns import clean, quoted
 from prepforge.operators.longform import ITEM, typed_values
 from prepforge.operators.ordering import ordered_totals
+from prepforge.operators.skew import hot_keys, lookup_join
 from prepforge.session import scratch_path
 
 MAX_LITERALS = 64          # dictionaries up to this size become expressions
@@ -32,6 +33,7 @@ class Categories:
     type_json: str
     values: list | None = None
     table: str | None = None
+    hot: list = field(default_factory=list)      # very frequent values, for a table only
 
     @property
     def dtype(self) -> T.DataType:
@@ -49,10 +51,12 @@ class Categories:
         return F.array(*[F.lit(v).cast(self.dtype) for v in self.values])
 
     def to_dict(self) -> dict:
-        values = self.values
-        if values and isinstance(values[0], (datetime.date, datetime.datetime)):
-            values = [v.isoformat() for v in values]
-        return {"type_json": self.type_json, "values": values, "table": self.table}
+        def plain(values):
+            dated = values and isinstance(values[0], (datetime.date, datetime.datetime))
+            return [v.isoformat() for v in values] if dated else values
+
+        return {"type_json": self.type_json, "values": plain(self.values), "table": self.table,
+                "hot": plain(self.hot)}
 
     @staticmethod
     def from_dict(data: dict) -> "Categories":
@@ -60,8 +64,9 @@ class Categories:
         read = {"date": datetime.date.fromisoformat,
                 "timestamp": datetime.datetime.fromisoformat,
                 "timestamp_ntz": datetime.datetime.fromisoformat}.get(out.dtype.typeName())
-        if read and out.values:
-            out.values = [read(v) for v in out.values]
+        if read:
+            out.values = out.values and [read(v) for v in out.values]
+            out.hot = [read(v) for v in out.hot]
         return out
 
 
@@ -87,19 +92,20 @@ def fit_categories(df: DataFrame, columns: list[str],
             found[c] = Categories(df.schema[c].dataType.json(), values=sorted(seen[c]))
     for c in columns:
         if c not in found:
-            found[c] = Categories(df.schema[c].dataType.json(), table=_code_table(df, c))
+            found[c] = _code_table(df, c)
     return {c: found[c] for c in columns}
 
 
-def _code_table(df: DataFrame, column: str) -> str:
-    distinct = (
+def _code_table(df: DataFrame, column: str) -> Categories:
+    counted = (
         df.select(clean(df, column).alias("value")).where("value IS NOT NULL")
-        .groupBy("value").agg(F.lit(1).cast("bigint").alias("one"))
+        .groupBy("value").agg(F.count(F.lit(1)).alias("rows"), F.lit(1).cast("bigint").alias("one"))
     )
-    coded = ordered_totals(distinct, [F.col("value")], ["one"])
+    coded = ordered_totals(counted, [F.col("value")], ["one"])
     path = scratch_path(df.sparkSession, "categories")
-    coded.select("value", F.col("one_before").alias("code")).write.parquet(path)
-    return path
+    coded.select("value", F.col("one_before").alias("code"), "rows").write.parquet(path)
+    hot = hot_keys(df.sparkSession.read.parquet(path), "value", "rows")
+    return Categories(df.schema[column].dataType.json(), table=path, hot=hot)
 
 
 def _fail(what: str, column: str, value: Column) -> Column:
@@ -120,8 +126,8 @@ def with_code(df: DataFrame, column: str, categories: Categories, name: str,
         return df.withColumn(name, F.coalesce((place - 1).cast("bigint"), miss))
     lookup = categories.frame(df.sparkSession).select(
         F.col("value").alias("__value"), F.col("code").alias("__found"))
-    joined = df.join(lookup, value == F.col("__value"), "left")
-    return joined.withColumn(name, F.coalesce("__found", miss)).drop("__value", "__found")
+    joined = lookup_join(df.withColumn("__value", value), lookup, "__value", categories.hot, "left")
+    return joined.select(*[quoted(c) for c in df.columns], F.coalesce("__found", miss).alias(name))
 
 
 class LabelEncoder:

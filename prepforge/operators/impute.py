@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from prepforge.errors import DataError
 from prepforge.functions.columns import (
     INTEGRAL, as_number, clean, is_floating, is_stat_numeric, quoted)
-from prepforge.operators.longform import ITEM, typed_values
+from prepforge.operators.longform import ITEM, MAX_STACKED, typed_values
 from prepforge.operators.quantiles import exact_quantiles
 
 STRATEGIES = ("mean", "median", "mode", "constant", "drop")
@@ -27,6 +27,8 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, Any]:
     """
     if not columns:
         return {}
+    if len(columns) > MAX_STACKED:
+        return {**modes(df, columns[:MAX_STACKED]), **modes(df, columns[MAX_STACKED:])}
     long, slot_of = typed_values(df, columns)
     slots = sorted(set(slot_of.values()))
     filled = reduce(or_, [F.col(s).isNotNull() for s in slots])

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from prepforge.functions.columns import clean, quoted
 
 ITEM = "item"
+MAX_STACKED = 64       # columns handled by one job; wider tables take several
 
 
 def stacked(df: DataFrame, rows: list[list[Column]], names: list[str]) -> DataFrame:

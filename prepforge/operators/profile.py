@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from prepforge.functions.columns import clean, is_stat_numeric
 from prepforge.operators.fingerprint import fingerprint_aggregates, fingerprint_from_aggregates
-from prepforge.operators.longform import ITEM, named, stacked, value_digest
+from prepforge.operators.longform import ITEM, MAX_STACKED, named, stacked, value_digest
 from prepforge.operators.quantiles import exact_quantiles
 
 STATS_FIELDS = [
@@ -77,13 +77,17 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None,
 
 
 def _distinct_counts(df: DataFrame, names: list[str]) -> dict[int, int]:
-    digests = stacked(df, [list(value_digest(df, c)) for c in names], ["d1", "d2"])
-    counted = (
-        digests.where(F.col("d1").isNotNull())
-        .groupBy(ITEM, "d1", "d2").agg(F.lit(1).alias("one"))
-        .groupBy(ITEM).agg(F.count("one").alias("n"))
-    )
-    return {r[ITEM]: r["n"] for r in counted.collect()}
+    found = {}
+    for start in range(0, len(names), MAX_STACKED):       # one job for any usual table
+        part = names[start:start + MAX_STACKED]
+        digests = stacked(df, [list(value_digest(df, c)) for c in part], ["d1", "d2"])
+        counted = (
+            digests.where(F.col("d1").isNotNull())
+            .groupBy(ITEM, "d1", "d2").agg(F.lit(1).alias("one"))
+            .groupBy(ITEM).agg(F.count("one").alias("n"))
+        )
+        found.update({start + r[ITEM]: r["n"] for r in counted.collect()})
+    return found
 
 
 def profile(df: DataFrame, columns: list[str] | None = None,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from prepforge.errors import DataError
 from prepforge.functions.columns import as_number
-from prepforge.operators.longform import ITEM, stacked
+from prepforge.operators.longform import ITEM, MAX_STACKED, stacked
 
 ACCURACY = 10_000          # rank error of the sketch is at most 1 / ACCURACY
 MAX_BRACKET_VALUES = 50_000
@@ -61,6 +61,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     """Linear-interpolated quantiles per column, NULL and NaN ignored."""
     if not columns:
         return {}
+    if len(columns) > MAX_STACKED:
+        return {**exact_quantiles(df, columns[:MAX_STACKED], probs, max_values, accuracy),
+                **exact_quantiles(df, columns[MAX_STACKED:], probs, max_values, accuracy)}
     margin = 2.0 / accuracy
     grid = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-margin, margin)]
     numbers = {c: as_number(df, c) for c in columns}

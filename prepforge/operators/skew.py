@@ -1,0 +1,38 @@
+"""Joining a large frame to a lookup table when some keys are very frequent."""
+
+from __future__ import annotations
+
+from typing import Any
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 1_000_000   # a key with fewer rows is no trouble for one task
+HOT_KEYS = 100         # so many of the most frequent keys are looked at
+SALTS = 64
+
+
+def hot_keys(counts: DataFrame, key: str, rows: str) -> list[Any]:
+    """The most frequent keys that are too much for one task, from counts per key.
+
+    Any other key holds less than a hundredth of all rows.
+    """
+    top = counts.where(F.col(key).isNotNull()).orderBy(F.col(rows).desc()).limit(HOT_KEYS)
+    return [r[key] for r in top.select(key, rows).collect() if r[rows] > HOT_ROWS]
+
+
+def lookup_join(facts: DataFrame, table: DataFrame, key: str, hot: list[Any],
+                how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join on ``key``; the rows of each hot key are spread over ``salts`` tasks.
+
+    Only the hot keys' rows of ``table`` are repeated, so it grows by a bounded
+    number of rows per hot key while every fact still meets its match once.
+    """
+    if not hot:
+        return facts.join(table, key, how)
+    is_hot = F.col(key).isin(hot)
+    spread_by = F.pmod(F.xxhash64(*[c for c in facts.columns]), F.lit(salts)).cast("int")
+    salted = facts.withColumn("__salt", F.when(is_hot, spread_by).otherwise(F.lit(0)))
+    repeats = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = table.withColumn("__salt", F.explode(repeats))
+    return salted.join(repeated, [key, "__salt"], how).drop("__salt")

@@ -13,7 +13,6 @@ from prepforge.models.forest import ForestModel
 from prepforge.models.linear import LinearModel
 from prepforge.models.mlp import MlpModel
 from prepforge.operators.ordering import background_sample
-from prepforge.session import spread
 
 BACKGROUND_ROWS = 100
 # Defaults of the local explanation.
@@ -173,7 +172,7 @@ def _in_batches(df: DataFrame, features: list[str], keep: list[str], explain) ->
             out = pd.DataFrame(explain(x), columns=names, index=batch.index)
             yield pd.concat([batch.iloc[:, :len(keep)], out], axis=1)
 
-    return spread(kept).mapInPandas(run, schema)
+    return kept.mapInPandas(run, schema)
 
 
 # local explanation -----------------------------------------------------------

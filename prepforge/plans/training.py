@@ -24,6 +24,7 @@ from prepforge.operators.split import with_split
 from prepforge.plans.catalog import DatasetCatalog
 from prepforge.plans.preparation import apply_preprocessing_pipeline
 from prepforge.plans.registry import ModelRegistry
+from prepforge.session import spread
 from prepforge.sources.statelog import StateLog
 
 # The model types and the hyperparameters each understands.
@@ -35,6 +36,7 @@ MODEL_TYPES = {
     "torch_mlp": ["hidden_dims", "output_dim", "dropout", "batch_size", "learning_rate", "epochs",
                   "random_state"],
 }
+MANY_PASSES = ("random_forest", "random_forest_classifier", "torch_mlp")
 RUN_SCHEMA = T.StructType([
     T.StructField("job_id", T.StringType()),
     T.StructField("dataset_names", T.ArrayType(T.StringType())),
@@ -154,6 +156,8 @@ class Trainer:
 
         data = (self.catalog.load(names[0]) if len(names) == 1
                 else self.catalog.load_multiple(names)[0])
+        if model_type in MANY_PASSES:
+            data = spread(data)
         features = list(config.get("feature_columns") or []) or [
             c for c in data.columns if c != target]
         preparation = config.get("preprocess_config", {"scale": True})

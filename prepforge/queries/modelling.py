@@ -19,7 +19,7 @@ from prepforge.plans.preparation import apply_preprocessing_pipeline
 from prepforge.plans.scoring import Predictor
 from prepforge.plans.training import Trainer
 from prepforge.queries.base import GAPPY_PRICE, KEY, KEYS, query, rounded, table
-from prepforge.session import scratch_path
+from prepforge.session import scratch_path, spread
 
 _VAL = (f"substr(md5(concat_ws('-', {KEYS}, '42')), 1, 8) < '{split_threshold(0.2)}'")
 _TARGET = "l_extendedprice * (1 - l_discount)"
@@ -202,13 +202,28 @@ def inference_log(spark, d):
         F.count(F.lit(1)).alias("n"), rounded(F.avg(F.col("prediction").cast("double")), 2, "mean_prediction"))
 
 
+@query("score_file", _RUN + """
+    SELECT count(*) AS n, round(avg(b + a * p_retailprice), 4) + 0.0 AS mean_prediction FROM part, m""")
+def score_file(spark, d):
+    """Score a CSV file with a registered model."""
+    root = scratch_path(spark, "run")
+    trainer = Trainer(spark, root)
+    _register_lines(spark, d, trainer)
+    version, _ = trainer.train(_run_config())
+    path = f"{root}/parts.csv"
+    table(spark, d, "part").select("p_name", F.col("p_retailprice").alias("price")).write.option(
+        "header", True).csv(path)
+    scored = Predictor(spark, root).predict_file(version, path)["frame"]
+    return scored.agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("prediction"), 4, "mean_prediction"))
+
+
 # iterative and tree models -------------------------------------------------------
 
 _INPUTS = ["l_quantity", "l_discount", "l_tax"]
 
 
 def _scaled_lines(spark, d):
-    lines = table(spark, d, "lineitem").select(
+    lines = spread(table(spark, d, "lineitem")).select(
         *KEY, *_INPUTS, F.expr("(l_quantity * 10 + 300 * l_discount - 100 * l_tax) / 100").alias("y"))
     return StandardScaler().fit_transform(lines, _INPUTS)
 

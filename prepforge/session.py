@@ -66,6 +66,10 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """More partitions for a costly Python step over a frame with very few."""
+    """More partitions for costly work over a plain scan that has fewer than cores.
+
+    A large table has far more splits than that and is returned as it is. Not
+    for frames with shuffles in them: asking for their partitions runs those.
+    """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -263,3 +263,14 @@ def test_numeric_categories_are_not_scaled(spark):
     df = spark.createDataFrame([(10, 1.0), (20, 2.0)], "c int, x double")
     out, _ = apply_preprocessing_pipeline(df, {"categorical_columns": ["c"]})
     assert [r["c"] for r in out.collect()] == [0, 1]
+
+
+def test_hot_category_takes_the_salted_join(spark, monkeypatch):
+    monkeypatch.setattr("prepforge.operators.skew.HOT_ROWS", 200)
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        F.concat(F.lit("v"), F.col("id").cast("string"))).alias("y"))
+    encoder = LabelEncoder().fit(df, "y", max_listed=5)
+    assert encoder.categories.hot == ["hot"]
+    order = sorted({r["y"] for r in df.collect()})
+    out = encoder.transform(df).join(df.withColumnRenamed("y", "v"), "id").collect()
+    assert len(out) == 900 and all(order[r["y"]] == r["v"] for r in out)
