@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.errors import PySparkException
 
 from prepforge.errors import DataError
-from prepforge.functions.columns import quoted, without_nan
+from prepforge.functions.columns import is_floating, quoted, without_nan
 from prepforge.operators.concat import concat
 from prepforge.operators.ordering import newest_first
 from prepforge.operators.profile import STATS_FIELDS, column_statistics
@@ -26,6 +26,7 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("file_path", T.StringType()),
     T.StructField("file_type", T.StringType()),
     T.StructField("owned", T.BooleanType()),
+    T.StructField("has_nan", T.BooleanType()),
     T.StructField("row_count", T.LongType()),
     T.StructField("column_names", T.ArrayType(T.StringType())),
     T.StructField("statistics", T.MapType(T.StringType(), T.StructType(STATS_FIELDS))),
@@ -60,24 +61,28 @@ class DatasetCatalog:
         used where it lies.
         """
         view = safe_view_name(name)
-        clash = self.log.current().where((F.col("view") == view) & (F.col("name") != name)).first()
+        near = self.log.current().where((F.col("view") == view) | (F.col("name") == name)).collect()
+        before = next((r for r in near if r["name"] == name), None)
+        clash = next((r for r in near if r["name"] != name), None)
         if clash:
             raise DataError(f"'{name}' and '{clash['name']}' would share the table {view}")
         if isinstance(source, str):
-            kind = file_type or detect_format(source)
-            frame, path = read_file(self.spark, source, kind), source
+            kind, path = file_type or detect_format(source), source
         else:
-            kind, frame, path = file_type or "parquet", without_nan(source), None
+            kind, path = file_type or "parquet", None
         owned = materialize or path is None or kind != "parquet"
         if owned:
+            frame = without_nan(source) if path is None else read_file(self.spark, path, kind)
             path = f"{self.root}/data/{view}/{uuid.uuid4().hex}"
             frame.write.parquet(path)
-            frame = self.spark.read.parquet(path)
+        # the stored copy holds no NaN, so later filters reach its scan unwrapped
+        has_nan = False if owned else _holds_nan(self.spark.read.parquet(path))
+        frame = self._frame(path, has_nan)
         stats, rows, mark = column_statistics(frame, approximate=approximate, with_fingerprint=True)
         now = datetime.datetime.now()
-        before = self.log.find(name)
         record = {
             "name": name, "view": view, "file_path": path, "file_type": kind, "owned": owned,
+            "has_nan": has_nan,
             "row_count": rows, "column_names": list(frame.columns), "statistics": stats,
             "fingerprint": mark, "created_at": before["created_at"] if before else now,
             "updated_at": now,
@@ -94,9 +99,27 @@ class DatasetCatalog:
             raise DataError(f"dataset '{name}' not found")
         return found
 
+    def entries(self, names: list[str]) -> dict[str, dict[str, Any]]:
+        """Several catalog rows with one lookup, in the order of the names."""
+        rows = self.log.current().where(F.col("name").isin(list(names))).collect()
+        found = {r["name"]: r.asDict(recursive=True) for r in rows}
+        for name in names:
+            if name not in found:
+                raise DataError(f"dataset '{name}' not found")
+        return {n: found[n] for n in names}
+
+    def _frame(self, path: str, has_nan: bool) -> DataFrame:
+        frame = self.spark.read.parquet(path)
+        return without_nan(frame) if has_nan else frame
+
     def load(self, name: str, columns: list[str] | None = None,
              limit: int | None = None) -> DataFrame:
-        frame = without_nan(self.spark.read.parquet(self.entry(name)["file_path"]))
+        return self.open(self.entry(name), columns, limit)
+
+    def open(self, entry: dict[str, Any], columns: list[str] | None = None,
+             limit: int | None = None) -> DataFrame:
+        """The data behind a catalog row."""
+        frame, name = self._frame(entry["file_path"], entry["has_nan"]), entry["name"]
         if columns:
             missing = [c for c in columns if c not in frame.columns]
             if missing:
@@ -123,15 +146,16 @@ class DatasetCatalog:
         """``(union of the datasets, name -> fingerprint of the whole dataset)``."""
         if not names:
             raise DataError("no dataset names given")
-        frames = [self.load(n, columns) for n in names]
-        return concat(frames, columns), {n: self.fingerprint(n) for n in names}
+        entries = self.entries(names)
+        frames = [self.open(entries[n], columns) for n in names]
+        return concat(frames, columns), {n: e["fingerprint"] for n, e in entries.items()}
 
     # SQL ---------------------------------------------------------------------
     def query(self, sql: str) -> DataFrame:
         """Any Spark SQL over the registered datasets, each a view by its safe name."""
-        for row in self.log.current().select("view", "file_path").collect():
+        for row in self.log.current().select("view", "file_path", "has_nan").collect():
             if self._frames.get(row["view"]) != row["file_path"]:
-                without_nan(self.spark.read.parquet(row["file_path"])).createOrReplaceTempView(row["view"])
+                self._frame(row["file_path"], row["has_nan"]).createOrReplaceTempView(row["view"])
                 self._frames[row["view"]] = row["file_path"]
         try:
             return self.spark.sql(sql)
@@ -148,6 +172,14 @@ class DatasetCatalog:
         self.log.delete(F.col("name") == name)
 
 
+def _holds_nan(df: DataFrame) -> bool:
+    floats = [f.name for f in df.schema.fields if is_floating(f.dataType)]
+    if not floats:
+        return False
+    return df.agg(F.coalesce(F.max(F.greatest(
+        *[F.coalesce(F.isnan(quoted(c)), F.lit(False)) for c in floats], F.lit(False))), F.lit(False))).first()[0]
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder on whatever file system it lies."""
     jvm = spark.sparkContext._jvm

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepforge.errors import RegistryError
-from prepforge.functions.columns import bump_version
 from prepforge.models.store import load_model, read_json, save_model, write_json
 from prepforge.operators.lineage import children_of, duplicate_datasets, lineage, used_hashes
 from prepforge.operators.ordering import newest_first
@@ -44,6 +43,13 @@ HISTORY_SCHEMA = T.StructType([
 LISTED = ["version", "model_type", "training_mode", "metrics", "created_at"]
 
 
+def bumped(version: str, increment: str) -> str:
+    """One version raised; ``bump_version`` does the same for a column."""
+    numbers = [int(n) for n in version.split(".")]
+    place = ("major", "minor", "patch").index(increment)
+    return ".".join(str(n) for n in [*numbers[:place], numbers[place] + 1, 0, 0][:3])
+
+
 class ModelRegistry:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -62,12 +68,10 @@ class ModelRegistry:
             if newest is None:
                 return "1.0.0"
             base = newest
-        candidate = base
         while True:
-            one = self.spark.range(1).select(bump_version(F.lit(candidate), increment).alias("v"))
-            candidate = one.first()["v"]
-            if current.where(F.col("version") == candidate).isEmpty():
-                return candidate
+            base = bumped(base, increment)
+            if current.where(F.col("version") == base).isEmpty():
+                return base
 
     def save(self, model, model_type: str, metrics: dict[str, float],
              preprocessor: PreprocessingPipeline | None = None,

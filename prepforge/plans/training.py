@@ -18,6 +18,7 @@ from prepforge.models.forest import ForestModel, fit_forest, fit_forest_classifi
 from prepforge.models.linear import fit_least_squares
 from prepforge.models.mlp import fit_mlp
 from prepforge.models.sgd import fit_sgd
+from prepforge.operators.concat import concat
 from prepforge.operators.metrics import split_metrics
 from prepforge.operators.ordering import newest_first, top_features
 from prepforge.operators.split import with_split
@@ -143,7 +144,7 @@ class Trainer:
         if mode == "fine_tune" and not base_version:
             raise TrainingError("fine-tuning needs a base model version")
 
-        entries = {n: self.catalog.entry(n) for n in names}
+        entries = self.catalog.entries(names)
         hashes = {n: e["fingerprint"] for n, e in entries.items()}
         rows = {n: e["row_count"] for n, e in entries.items()}
         base = None
@@ -154,8 +155,8 @@ class Trainer:
                 raise TrainingError(f"base model is a {record['model_type']}, not a {model_type}")
             base, _ = self.registry.load(base_version)
 
-        data = (self.catalog.load(names[0]) if len(names) == 1
-                else self.catalog.load_multiple(names)[0])
+        frames = [self.catalog.open(entries[n]) for n in names]
+        data = frames[0] if len(frames) == 1 else concat(frames)
         if model_type in MANY_PASSES:
             data = spread(data)
         features = list(config.get("feature_columns") or []) or [

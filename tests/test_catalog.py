@@ -41,10 +41,26 @@ def test_register_parquet_in_place(catalog, spark, root):
     spark.range(5).selectExpr("id AS col1", "id * 1.5D AS col2").write.parquet(path)
     entry = catalog.register(path, "p", materialize=False)
     assert entry["file_type"] == "parquet" and entry["row_count"] == 5 and entry["file_path"] == path
+    assert entry["has_nan"] is False
     catalog.delete("p")
     assert os.path.exists(path.replace("file:", ""))
 
 
+def test_nan_in_place_counts_as_missing(catalog, spark, root):
+    path = f"{root}/nan.parquet"
+    spark.createDataFrame([(1.0,), (float("nan"),)], "x double").write.parquet(path)
+    entry = catalog.register(path, "n", materialize=False)
+    assert entry["has_nan"] is True and entry["statistics"]["x"]["null_count"] == 1
+    assert catalog.load("n").where("x IS NULL").count() == 1
+
+
+def test_filters_reach_the_scan(catalog, spark, capsys):
+    catalog.register(spark.range(5).selectExpr("id * 1.5D AS x", "id"), "d")
+    catalog.query("SELECT id FROM d WHERE x > 2").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThan(x,2.0)" in plan and "ReadSchema: struct<x:double,id:bigint>" in plan
+
+
 @pytest.mark.parametrize("name,view", [
     ("2024-01-data", "_2024_01_data"), ("my-dataset-v2", "my_dataset_v2"),
     ("123_numeric_start", "_123_numeric_start"), ("data.v2 x", "data_v2_x")])
