@@ -11,7 +11,7 @@ from prepforge.errors import TrainingError
 from prepforge.functions.columns import quoted
 from prepforge.models.linear import assembled
 from prepforge.operators.encode import Categories, fit_categories, with_code
-from prepforge.session import scratch_path
+from prepforge.session import scratch_path, small_frame
 
 # Forest defaults, and the depth that stands for "no limit".
 DEFAULTS = {"n_estimators": 100, "max_depth": None, "min_samples_split": 2, "random_state": 42}
@@ -36,8 +36,9 @@ class ForestModel:
         return scored.select(*[quoted(c) for c in columns], raw.alias(output))
 
     def importances(self, spark: SparkSession) -> DataFrame:
-        rows = [(f, float(v)) for f, v in zip(self.features, self.native.featureImportances.toArray())]
-        return spark.createDataFrame(rows, "feature string, importance double")
+        found = zip(self.features, self.native.featureImportances.toArray())
+        rows = [{"feature": f, "importance": float(v)} for f, v in found]
+        return small_frame(spark, rows, "feature string, importance double")
 
     def nodes(self, spark: SparkSession, path: str | None = None) -> DataFrame:
         """Tree nodes as saved: tree, id, left, right, feature, threshold, rows, stats."""

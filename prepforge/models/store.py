@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from prepforge.errors import RegistryError
 from prepforge.models.forest import ForestModel
@@ -13,8 +14,8 @@ from prepforge.models.mlp import MlpModel
 
 
 def write_json(spark: SparkSession, data: dict, path: str) -> None:
-    text = spark.createDataFrame([(json.dumps(data, default=str),)], "value string")
-    text.coalesce(1).write.text(path)
+    text = json.dumps(data, default=str)
+    spark.range(0, 1, 1, 1).select(F.lit(text).alias("value")).write.text(path)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:

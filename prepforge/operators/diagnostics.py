@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prepforge.errors import DataError
 from prepforge.functions.columns import as_number, clean
 from prepforge.operators.metrics import confusion_cells
-from prepforge.session import settle
+from prepforge.session import settle, small_frame
 
 MAX_GRID_CLASSES = 1_000
 
@@ -82,6 +82,7 @@ def residual_histogram(df: DataFrame, y_true: str, y_pred: str, bins: int = 30)
 
 def learning_curve(spark, train_scores: list[float], val_scores: list[float]) -> DataFrame:
     """Series epoch, split, score as written by iterative training."""
-    rows = [(i + 1, "train", float(s)) for i, s in enumerate(train_scores)]
-    rows += [(i + 1, "val", float(s)) for i, s in enumerate(val_scores)]
-    return spark.createDataFrame(rows, "epoch int, split string, score double")
+    rows = [{"epoch": i + 1, "split": split, "score": float(s)}
+            for split, scores in (("train", train_scores), ("val", val_scores))
+            for i, s in enumerate(scores)]
+    return small_frame(spark, rows, "epoch int, split string, score double")

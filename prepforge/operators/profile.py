@@ -10,6 +10,7 @@ from prepforge.functions.columns import clean, is_stat_numeric
 from prepforge.operators.fingerprint import fingerprint_aggregates, fingerprint_from_aggregates
 from prepforge.operators.longform import ITEM, MAX_STACKED, named, stacked, value_digest
 from prepforge.operators.quantiles import exact_quantiles
+from prepforge.session import small_frame
 
 STATS_FIELDS = [
     T.StructField("dtype", T.StringType()),
@@ -94,5 +95,4 @@ def profile(df: DataFrame, columns: list[str] | None = None,
             approximate: bool = False) -> DataFrame:
     """One row per column: dtype, null_count, unique_count, mean … median."""
     stats, _, _ = column_statistics(df, columns, approximate)
-    rows = [(c, *[s[f.name] for f in STATS_FIELDS]) for c, s in stats.items()]
-    return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+    return small_frame(df.sparkSession, [{"column": c, **s} for c, s in stats.items()], PROFILE_SCHEMA)

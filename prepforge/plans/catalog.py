@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 import re
 import uuid
 from typing import Any
@@ -17,6 +16,7 @@ from prepforge.functions.columns import is_floating, quoted, without_nan
 from prepforge.operators.concat import concat
 from prepforge.operators.ordering import newest_first
 from prepforge.operators.profile import STATS_FIELDS, column_statistics
+from prepforge.session import now
 from prepforge.sources.files import detect_format, read_file
 from prepforge.sources.statelog import StateLog
 
@@ -79,13 +79,13 @@ class DatasetCatalog:
         has_nan = False if owned else _holds_nan(self.spark.read.parquet(path))
         frame = self._frame(path, has_nan)
         stats, rows, mark = column_statistics(frame, approximate=approximate, with_fingerprint=True)
-        now = datetime.datetime.now()
+        moment = now()
         record = {
             "name": name, "view": view, "file_path": path, "file_type": kind, "owned": owned,
             "has_nan": has_nan,
             "row_count": rows, "column_names": list(frame.columns), "statistics": stats,
-            "fingerprint": mark, "created_at": before["created_at"] if before else now,
-            "updated_at": now,
+            "fingerprint": mark, "created_at": before["created_at"].astimezone() if before else moment,
+            "updated_at": moment,
         }
         self.log.append([record])
         frame.createOrReplaceTempView(view)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 import json
 import uuid
 from typing import Any
@@ -17,6 +16,7 @@ from prepforge.operators.lineage import children_of, duplicate_datasets, lineage
 from prepforge.operators.ordering import newest_first
 from prepforge.plans.catalog import remove_path
 from prepforge.plans.preparation import PreprocessingPipeline
+from prepforge.session import now
 from prepforge.sources.digest import folder_digest
 from prepforge.sources.statelog import StateLog
 
@@ -95,7 +95,7 @@ class ModelRegistry:
             "metrics": {k: None if v is None else float(v) for k, v in metrics.items()},
             "training_mode": training_mode, "model_type": model_type,
             "file_hash": folder_digest(self.spark, f"{path}/model"),
-            "created_at": datetime.datetime.now(),
+            "created_at": now(),
         }
         self.log.append([record])
         return record
@@ -162,10 +162,10 @@ class ModelRegistry:
 
     # training history ----------------------------------------------------------
     def record_history(self, version: str, hashes: dict[str, str], rows: dict[str, int]) -> None:
-        now = datetime.datetime.now()
+        moment = now()
         self.history_log.append([
             {"entry": uuid.uuid4().hex, "version": version, "dataset_name": name,
-             "dataset_hash": mark, "row_count": rows.get(name, 0), "trained_at": now}
+             "dataset_hash": mark, "row_count": rows.get(name, 0), "trained_at": moment}
             for name, mark in hashes.items()])
 
     def history(self, version: str | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 import json
 import uuid
 from typing import Any
@@ -16,6 +15,7 @@ from prepforge.functions.columns import quoted
 from prepforge.operators.ordering import newest_first
 from prepforge.plans.attribution import lime, shap_importance, standard_deviations
 from prepforge.plans.registry import ModelRegistry
+from prepforge.session import now
 from prepforge.sources.files import read_file
 
 _ROW = "__row"
@@ -126,7 +126,7 @@ class Predictor:
             F.to_json(F.struct(*[quoted(c) for c in features])).alias("input"),
             F.col("prediction").cast("string").alias("prediction"),
             F.lit(json.dumps(analysis)).alias("analysis"),
-            F.lit(datetime.datetime.now()).alias("logged_at"),
+            F.lit(now()).alias("logged_at"),
             F.lit(version).alias("model_version"),
         ).write.mode("append").partitionBy("model_version").parquet(f"{self.root}/inference_log")
         return call

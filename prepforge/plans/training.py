@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 import json
 import uuid
 from typing import Any
@@ -25,7 +24,7 @@ from prepforge.operators.split import with_split
 from prepforge.plans.catalog import DatasetCatalog
 from prepforge.plans.preparation import apply_preprocessing_pipeline
 from prepforge.plans.registry import ModelRegistry
-from prepforge.session import spread
+from prepforge.session import now, spread
 from prepforge.sources.statelog import StateLog
 
 # The model types and the hyperparameters each understands.
@@ -120,7 +119,7 @@ class Trainer:
             "feature_columns": list(config.get("feature_columns") or []),
             "target_column": config["target_column"],
             "base_model_version": config.get("base_model_version"),
-            "created_at": datetime.datetime.now(),
+            "created_at": now(),
         }
         outcome: dict[str, Any] = {"status": "failed"}
         try:
@@ -134,7 +133,7 @@ class Trainer:
             outcome["error_message"] = str(e)
             raise TrainingError(str(e)) from e
         finally:
-            self.runs.append([{**run, **outcome, "completed_at": datetime.datetime.now()}])
+            self.runs.append([{**run, **outcome, "completed_at": now()}])
 
     def _train(self, names: list[str], config: dict[str, Any]) -> tuple[str, dict[str, float]]:
         model_type, target = config["model_type"], config["target_column"]

@@ -19,7 +19,7 @@ from prepforge.plans.preparation import apply_preprocessing_pipeline
 from prepforge.plans.scoring import Predictor
 from prepforge.plans.training import Trainer
 from prepforge.queries.base import GAPPY_PRICE, KEY, KEYS, query, rounded, table
-from prepforge.session import scratch_path, spread
+from prepforge.session import scratch_path, small_frame, spread
 
 _VAL = (f"substr(md5(concat_ws('-', {KEYS}, '42')), 1, 8) < '{split_threshold(0.2)}'")
 _TARGET = "l_extendedprice * (1 - l_discount)"
@@ -65,6 +65,12 @@ def score_ols(spark, d):
     return model.predict(prepared).select(*KEY, "split", rounded("prediction", 2))
 
 
+def _weights(spark, model: LinearModel):
+    rows = [{"term": t, "weight": w} for t, w in
+            [*zip(model.features, model.weights), ("intercept", model.intercept)]]
+    return small_frame(spark, rows, "term string, weight double")
+
+
 _TWO = f"""
     WITH t AS (SELECT {KEYS}, l_quantity AS x1, l_discount AS x2, {_TARGET} AS y FROM lineitem),
     c AS (SELECT var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12,
@@ -86,9 +92,7 @@ def _two(spark, d):
     UNION ALL SELECT 'intercept', round(my - w1 * m1 - w2 * m2, 4) + 0.0 FROM w""")
 def train_ols_two_features(spark, d):
     model = fit_least_squares(_two(spark, d), ["x1", "x2"], "y")
-    terms = list(zip(model.features, model.weights)) + [("intercept", model.intercept)]
-    return spark.createDataFrame([(t, float(w)) for t, w in terms], "term string, weight double").select(
-        "term", rounded("weight", 4))
+    return _weights(spark, model).select("term", rounded("weight", 4))
 
 
 @query("linear_shap", _TWO + """
@@ -228,11 +232,6 @@ def _scaled_lines(spark, d):
     return StandardScaler().fit_transform(lines, _INPUTS)
 
 
-def _weights(spark, model: LinearModel):
-    terms = list(zip(model.features, model.weights)) + [("intercept", model.intercept)]
-    return spark.createDataFrame([(t, float(w)) for t, w in terms], "term string, weight double")
-
-
 _LINEAR_SQL = """
     SELECT 'l_quantity' AS term, round(0.1 * stddev_pop(l_quantity), 2) + 0.0 AS weight FROM lineitem
     UNION ALL SELECT 'l_discount', round(3.0 * stddev_pop(l_discount), 2) + 0.0 FROM lineitem

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import json
 import os
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "prepforge", cores: int | None = None,
@@ -16,6 +21,7 @@ def build_session(app: str = "prepforge", cores: int | None = None,
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", "12g")
@@ -73,3 +79,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
+def small_frame(spark: SparkSession, records: list[dict[str, Any]], schema: T.StructType | str) -> DataFrame:
+    """A handful of state records as a frame, without starting a Python worker."""
+    fields = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    text = json.dumps(records, default=lambda v: v.astimezone().isoformat())
+    parsed = F.from_json(F.lit(text), T.ArrayType(fields), {"mode": "FAILFAST"})
+    return spark.range(0, 1, 1, 1).select(F.inline(parsed))
+
+
+def now() -> datetime.datetime:
+    return datetime.datetime.now(datetime.timezone.utc)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from prepforge.errors import DataError
 from prepforge.operators.ordering import latest_per_key
+from prepforge.session import small_frame
 
 SEQ, GONE = "seq", "deleted"
 
@@ -32,8 +33,8 @@ class StateLog:
         return self._seq
 
     def append(self, records: list[dict[str, Any]]) -> None:
-        rows = [tuple(r.get(f.name) for f in self.fields.fields) for r in records]
-        self.append_frame(self.spark.createDataFrame(rows, self.fields).coalesce(1))
+        rows = [{f.name: r.get(f.name) for f in self.fields.fields} for r in records]
+        self.append_frame(small_frame(self.spark, rows, self.fields))
 
     def append_frame(self, rows: DataFrame, deleted: bool = False) -> None:
         marked = rows.select(*[f.name for f in self.fields.fields],
