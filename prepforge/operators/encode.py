@@ -22,7 +22,8 @@ from prepforge.operators.skew import hot_keys, lookup_join
 from prepforge.session import scratch_path
 
 MAX_LITERALS = 64          # dictionaries up to this size become expressions
-MAX_LISTED = 10_000        # up to this size they may be held by the driver and broadcast
+MAX_LISTED = 10_000        # up to this size they may be held by the driver and broadcast,
+MAX_LISTED_BYTES = 2 ** 23     # if all values together also stay below this
 MAX_ONEHOT_COLUMNS = 2_000
 
 
@@ -75,10 +76,15 @@ def fit_categories(df: DataFrame, columns: list[str],
     """Distinct non-null values of each column, sorted."""
     if not columns:
         return {}
-    sizes = df.agg(*[
-        F.approx_count_distinct(clean(df, c)).alias(f"n{i}") for i, c in enumerate(columns)
-    ]).first()
-    short = [c for i, c in enumerate(columns) if sizes[f"n{i}"] <= max_listed]
+    exprs = []
+    for i, c in enumerate(columns):
+        dtype = df.schema[c].dataType
+        width = (F.max(F.octet_length(quoted(c))) if isinstance(dtype, (T.StringType, T.BinaryType))
+                 else F.lit(dtype_width(dtype)))
+        exprs += [F.approx_count_distinct(clean(df, c)).alias(f"n{i}"), width.alias(f"w{i}")]
+    sizes = df.agg(*exprs).first()
+    short = [c for i, c in enumerate(columns) if sizes[f"n{i}"] <= max_listed
+             and sizes[f"n{i}"] * (sizes[f"w{i}"] or 0) <= MAX_LISTED_BYTES]
     found: dict[str, Categories] = {}
     if short:
         long, slot_of = typed_values(df, short)
@@ -96,6 +102,12 @@ def fit_categories(df: DataFrame, columns: list[str],
     return {c: found[c] for c in columns}
 
 
+def dtype_width(dtype: T.DataType) -> int:
+    """Bytes of a fixed-width value; a nested value has no bound."""
+    nested = isinstance(dtype, (T.ArrayType, T.MapType, T.StructType))
+    return MAX_LISTED_BYTES + 1 if nested else 16
+
+
 def _code_table(df: DataFrame, column: str) -> Categories:
     counted = (
         df.select(clean(df, column).alias("value")).where("value IS NOT NULL")

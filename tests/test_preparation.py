@@ -274,3 +274,11 @@ def test_hot_category_takes_the_salted_join(spark, monkeypatch):
     order = sorted({r["y"] for r in df.collect()})
     out = encoder.transform(df).join(df.withColumnRenamed("y", "v"), "id").collect()
     assert len(out) == 900 and all(order[r["y"]] == r["v"] for r in out)
+
+
+def test_wide_values_are_not_held_by_the_driver(spark, monkeypatch):
+    monkeypatch.setattr("prepforge.operators.encode.MAX_LISTED_BYTES", 100)
+    df = spark.createDataFrame([(1, "x" * 60), (2, "y" * 60), (3, "x" * 60)], "id int, y string")
+    encoder = LabelEncoder().fit(df, "y")
+    assert encoder.categories.values is None
+    assert [r["y"] for r in encoder.transform(df).orderBy("id").collect()] == [0, 1, 0]
