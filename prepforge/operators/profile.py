@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from prepforge.functions.columns import clean, is_stat_numeric
 from prepforge.operators.fingerprint import fingerprint_aggregates, fingerprint_from_aggregates
 from prepforge.operators.longform import ITEM, MAX_STACKED, named, stacked, value_digest
-from prepforge.operators.quantiles import exact_quantiles
+from prepforge.operators.quantiles import exact_quantiles, sketch_aggregates
 from prepforge.session import small_frame
 
 STATS_FIELDS = [
@@ -30,7 +30,8 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None,
     """Statistics per column, with the row count and (optionally) the fingerprint.
 
     Returns ``(stats, row_count, fingerprint)``; the state is one small record
-    per column. The moments and the fingerprint share one shuffle-free pass.
+    per column. The moments, the fingerprint and the sketches for the median
+    share one shuffle-free pass; a second one settles the exact medians.
     Distinct counts shuffle only 128-bit digests, already reduced per task.
     ``approximate`` keeps everything in the first pass by using sketches.
     """
@@ -49,6 +50,9 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None,
                       F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
             if approximate:
                 exprs.append(F.percentile_approx(x, 0.5, 10_000).alias(f"median{i}"))
+    together = not approximate and len(numeric) <= MAX_STACKED
+    if together:
+        exprs += sketch_aggregates(df, numeric, [0.5])
     if with_fingerprint:
         exprs += fingerprint_aggregates(df)
     totals = df.agg(*exprs)
@@ -61,7 +65,8 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None,
         medians = {c: row[f"median{names.index(c)}"] for c in numeric}
     else:
         unique = _distinct_counts(df, names)
-        medians = {c: q[0] for c, q in exact_quantiles(df, numeric, [0.5]).items()}
+        found = exact_quantiles(df, numeric, [0.5], sketched=row if together else None)
+        medians = {c: q[0] for c, q in found.items()}
 
     stats = {}
     for i, c in enumerate(names):

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepforge.errors import DataError
@@ -55,36 +55,52 @@ class _Bracket:
         return min(max(at + shift, 0.0), 1.0)
 
 
+def _grid(probs: list[float], accuracy: int) -> list[float]:
+    """The probabilities moved down and up by twice the error of the sketch."""
+    margin = 2.0 / accuracy
+    return [min(max(p + s, 0.0), 1.0) for p in probs for s in (-margin, margin)]
+
+
+def sketch_aggregates(df: DataFrame, columns: list[str], probs: list[float],
+                      accuracy: int = ACCURACY) -> list[Column]:
+    """The first pass, for use beside other aggregates over the same frame."""
+    grid = _grid(probs, accuracy)
+    return [
+        expr for i, c in enumerate(columns) for expr in (
+            F.count(as_number(df, c)).alias(f"sk_n{i}"),
+            F.min(as_number(df, c)).alias(f"sk_min{i}"),
+            F.max(as_number(df, c)).alias(f"sk_max{i}"),
+            F.percentile_approx(as_number(df, c), grid, accuracy).alias(f"sk_q{i}"),
+        )
+    ]
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    max_values: int = MAX_BRACKET_VALUES,
-                    accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles per column, NULL and NaN ignored."""
+                    max_values: int = MAX_BRACKET_VALUES, accuracy: int = ACCURACY,
+                    sketched: dict | None = None) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles per column, NULL and NaN ignored.
+
+    ``sketched`` holds the results of ``sketch_aggregates`` for the same
+    arguments when another pass has already computed them.
+    """
     if not columns:
         return {}
-    if len(columns) > MAX_STACKED:
+    if len(columns) > MAX_STACKED and sketched is None:
         return {**exact_quantiles(df, columns[:MAX_STACKED], probs, max_values, accuracy),
                 **exact_quantiles(df, columns[MAX_STACKED:], probs, max_values, accuracy)}
-    margin = 2.0 / accuracy
-    grid = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-margin, margin)]
+    margin, grid = 2.0 / accuracy, _grid(probs, accuracy)
     numbers = {c: as_number(df, c) for c in columns}
-    first = df.agg(*[
-        expr for i, c in enumerate(columns) for expr in (
-            F.count(numbers[c]).alias(f"n{i}"),
-            F.min(numbers[c]).alias(f"min{i}"),
-            F.max(numbers[c]).alias(f"max{i}"),
-            F.percentile_approx(numbers[c], grid, accuracy).alias(f"q{i}"),
-        )
-    ]).first()
+    first = sketched or df.agg(*sketch_aggregates(df, columns, probs, accuracy)).first().asDict()
 
     brackets: list[_Bracket] = []
     extremes: dict[str, tuple[float, float]] = {}
     for i, c in enumerate(columns):
-        n = first[f"n{i}"]
+        n = first[f"sk_n{i}"]
         if not n:
             continue
-        extremes[c] = (first[f"min{i}"], first[f"max{i}"])
+        extremes[c] = (first[f"sk_min{i}"], first[f"sk_max{i}"])
         for j, p in enumerate(probs):
-            low, high = first[f"q{i}"][2 * j], first[f"q{i}"][2 * j + 1]
+            low, high = first[f"sk_q{i}"][2 * j], first[f"sk_q{i}"][2 * j + 1]
             brackets.append(_Bracket(
                 c, p, n,
                 low=extremes[c][0] if grid[2 * j] == 0.0 else low,
