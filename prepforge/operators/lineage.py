@@ -72,7 +72,7 @@ def used_hashes(chain: DataFrame, history: DataFrame) -> DataFrame:
 
     ``chain`` comes from ``lineage``; ``history`` has version, dataset_hash.
     """
-    per_model = history.select("version", "dataset_hash").distinct()
+    per_model = history.select("version", "dataset_hash")
     return (skew.lookup_join(chain, per_model, "version", _shared(chain, chain.count()))
             .select("start", "dataset_hash").distinct())
 
