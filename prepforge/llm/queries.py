@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from prepforge.llm import mixing
+from prepforge.llm.chunk_dedup import exact_duplicates
 from prepforge.llm.near_dedup import near_duplicates
+from prepforge.llm.packing import pack, token_pieces
+from prepforge.llm.tables import fold
+from prepforge.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +31,101 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+OP2 = r"""
+WITH plain AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM plain GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
+FROM plain JOIN firsts USING (t)
+"""
+
+
+@query("op2_chunk_recipes", OP2)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxic_segments")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"),
+        F.size("toxicity.passages").cast("long").alias("n_passages"))
+
+
+@query("op5_bin_completion")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(token_pieces(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json"))))
+
+
+# the tree of the mixture: crawled sources against chosen ones, then language, then source
+CHOSEN = r"^src1[0-9]$"
+LEVELS = {"domain": F.when(F.col("source").rlike(CHOSEN), "chosen").otherwise("crawled"),
+          "language": F.col("lang"), "origin": F.col("source")}
+WEIGHTS = {"domain": {"crawled": 6, "chosen": 4}, "language": {"en": 5, "de": 2, "fr": 2, "es": 1}, "origin": {}}
+
+
+def _mixture_sql() -> str:
+    weight = {level: "CAST(CASE " + level + "".join(f" WHEN '{k}' THEN {v}" for k, v in own.items())
+              + " ELSE 1 END AS BIGINT)" if own else "CAST(1 AS BIGINT)" for level, own in WEIGHTS.items()}
+    steps, path = [], []
+    for level in LEVELS:
+        above, path = list(path), [*path, level]
+        cols, up = ", ".join(path), ", ".join(above)
+        by = f"PARTITION BY {up} " if above else ""
+        run = f"({by}ORDER BY need, {level} ROWS UNBOUNDED PRECEDING)"
+        join = f"JOIN plan_{above[-1]} USING ({up})" if above else "CROSS JOIN root"
+        steps.append(f"""
+n_{level} AS (
+  SELECT {cols}, CAST(sum(cap) AS BIGINT) AS cap, {weight[level]} AS weight FROM leaves GROUP BY {cols}),
+o_{level} AS (SELECT *, CAST(cap AS DOUBLE) / weight AS need FROM n_{level} {join}),
+c_{level} AS (
+  SELECT *, CAST(sum(cap) OVER {run} - cap AS BIGINT) AS bef,
+    CAST(sum(weight) OVER ({by}) - sum(weight) OVER {run} + weight AS BIGINT) AS opened FROM o_{level}),
+f_{level} AS (
+  SELECT *, min(CASE WHEN need <= CAST(budget - bef AS DOUBLE) / opened THEN 1 ELSE 0 END) OVER {run} AS ful
+  FROM c_{level}),
+plan_{level} AS (
+  SELECT {cols}, CASE WHEN ful = 1 THEN cap ELSE CAST(floor(weight * (
+    CAST(budget - coalesce(sum(CASE WHEN ful = 1 THEN cap END) OVER ({by}), 0) AS DOUBLE)
+    / CAST(sum(CASE WHEN ful = 0 THEN weight END) OVER ({by}) AS DOUBLE))) AS BIGINT) END AS budget
+  FROM f_{level})""")
+    return rf"""
+WITH rows AS (
+  SELECT doc_id, CASE WHEN regexp_matches(source, '{CHOSEN}') THEN 'chosen' ELSE 'crawled' END AS domain,
+    coalesce(lang, '') AS language, coalesce(source, '') AS origin,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS tokens FROM documents),
+leaves AS (
+  SELECT domain, language, origin, CAST(sum(tokens) AS BIGINT) AS supply,
+    CAST(sum(tokens) * {mixing.EPOCHS} AS BIGINT) AS cap FROM rows GROUP BY ALL),
+root AS (
+  SELECT least(CAST(floor(CAST(sum(supply) AS DOUBLE) * CAST({mixing.SHARE} AS DOUBLE)) AS BIGINT),
+               CAST(sum(cap) AS BIGINT)) AS budget FROM leaves),{",".join(steps)},
+planned AS (
+  SELECT *, CAST(CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS INTEGER) AS whole
+  FROM leaves JOIN plan_origin USING (domain, language, origin)),
+placed AS (
+  SELECT doc_id, domain, language, origin, tokens, whole, budget - whole * supply AS rest,
+    md5(concat('{mixing.SEED}|', whole, '|', doc_id)) AS place
+  FROM rows JOIN planned USING (domain, language, origin)),
+run AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, language, origin ORDER BY place) AS upto FROM placed)
+SELECT doc_id, domain, language, origin, tokens, whole AS epoch FROM run WHERE rest > 0 AND upto <= rest
+UNION ALL
+SELECT doc_id, domain, language, origin, tokens, CAST(unnest(range(whole)) AS INTEGER) AS epoch
+FROM placed WHERE whole > 0
+"""
+
+
+@query("op7_mixture", _mixture_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), LEVELS, WEIGHTS)
+
+
 @query("op9_superminhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
