@@ -42,7 +42,32 @@ def only(df: DataFrame, **columns: Column | str) -> DataFrame:
                        for name, c in columns.items()])
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that no column of ``taken`` has."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name = f"_{name}"
+    return name
+
+
 def fold(key: str | Column, folds: int) -> Column:
     """crc32 of the key's text, modulo ``folds``; a null key counts as empty text."""
     key = F.col(key) if isinstance(key, str) else key
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id has a decision ``kept``, in the columns of ``docs``.
+
+    A null id matches a null id. Rows that repeat a kept id stay once per text,
+    so that no decision leaves the same document twice.
+    """
+    key, n = fresh("kept_id", docs.columns), fresh("kept_n", docs.columns)
+    kept = decisions.where("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(n))
+    found = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept[key]))
+    more = F.col(key).isNotNull() & (F.col(n) > 1)
+    if kept.where(more).isEmpty():
+        return found.select(*[f"`{c}`" for c in docs.columns])
+    once = found.where(more).dropDuplicates([id_col, text_col])
+    return found.where(~more).unionByName(once).select(*[f"`{c}`" for c in docs.columns])
