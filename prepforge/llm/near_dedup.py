@@ -17,6 +17,8 @@ from prepforge.llm.textblocks import Block, blocks, mixed, sets, sums, windows
 SIZE = 128              # positions of a signature
 ROWS = 4                # positions per band: a pair at 0.75 shares none of 32 bands once in 190,000 pairs
 PERCENT = 75            # similarity from which documents are linked
+SLOTS = 1 << 18         # hash buckets in which the crowding of shingles is counted
+CROWD = 64              # occurrences from which a bucket counts as crowded
 
 _DRAW = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -100,6 +102,21 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["node", "shingles"])
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return values[bounds[0]:bounds[-1]], bounds - bounds[0]
+
+
+def _crowding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for batch in batches:
+        values, _ = _flat(batch.column("shingles"))
+        counts += np.bincount((values % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["slot", "n"])
+
+
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
     of_a = full.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
@@ -113,6 +130,54 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             .where(F.col("shared") * 100 >= total * percent).select("a", "b"))
 
 
+def _sharing_a_rare_shingle(sets_: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``a < b`` of nodes with different labels that can reach ``percent``; exact, for any sets.
+
+    In any common order of shingles, two sets that are similar enough share one
+    of the first ``n - ceil(n * percent / 100) + 1``, and what stands after the
+    first shared one must suffice in both. Shingles of crowded hash buckets come
+    last, so a passage that very many texts hold pairs none that differ enough
+    elsewhere. For each shingle, nodes of its most frequent label are only
+    compared with the others, so a large group is not compared within itself.
+    """
+    kind = sets_.schema["node"].dataType.simpleString()
+    counted = (sets_.select("shingles").mapInArrow(_crowding, "slot bigint, n bigint")
+               .groupBy("slot").agg(F.sum("n").alias("n")).where(f"n >= {CROWD}").select("slot").toPandas())
+    crowded = np.zeros(SLOTS, dtype=bool)
+    crowded[counted["slot"].to_numpy(dtype=np.int64)] = True
+    known = sets_.sparkSession.sparkContext.broadcast(crowded)
+
+    def first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, bounds = _flat(batch.column("shingles"))
+            taken = []
+            for i in range(batch.num_rows):
+                own = values[bounds[i]:bounds[i + 1]]
+                own = own[np.argsort(known.value[(own % np.uint64(SLOTS)).astype(np.int64)], kind="stable")]
+                taken.append(own[:len(own) - -(-len(own) * percent // 100) + 1])
+            size = np.array([len(t) for t in taken], dtype=np.int64)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), size))
+            token = np.concatenate(taken) if taken else np.empty(0, dtype=np.uint64)
+            at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(row), batch.column("label").take(row),
+                 pa.array(np.diff(bounds)).take(row), pa.array(at), pa.array(token.view(np.int64))],
+                ["node", "label", "n", "at", "token"])
+
+    rows = sets_.mapInArrow(first_shingles, f"node {kind}, label {kind}, n bigint, at bigint, token bigint")
+    per = rows.groupBy("token", "label").agg(F.count("*").alias("members"))
+    main = (per.groupBy("token").agg(F.max(F.struct("members", "label")).alias("main"), F.count("*").alias("labels"))
+            .where("labels > 1").select("token", F.col("main.label").alias("main")))
+    minor = rows.join(main, "token").where("label <> main").drop("main")
+    x, y = minor.alias("x"), rows.alias("y")
+    n_x, n_y = F.col("x.n"), F.col("y.n")
+    reachable = F.least(n_x - F.col("x.at"), n_y - F.col("y.at")) * (100 + percent) >= (n_x + n_y) * percent
+    fits = F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent
+    differ = F.col("x.label") != F.col("y.label")
+    return (x.join(y, (F.col("x.token") == F.col("y.token")) & differ & fits & reachable)
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row per row of ``docs``.
@@ -125,10 +190,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     Documents with equal sets are one class and travel as one from there on.
     Classes that share a band form a bucket. Each bucket first compares its
-    members with one of them, which joins a large group of copies by as many
-    pairs as it has members; pairs of a bucket that this leaves in different
-    components are then all compared. So no pair that shares a band is left
-    undecided, and a group of n copies costs n pairs, not n squared.
+    members with two of them, which joins a large group of copies by as many
+    pairs as it has members, twice. Members of buckets that this leaves in several
+    components are then compared across components by an exact join on their
+    rarest shingles. So no pair that shares a band is left undecided, a group
+    of n copies costs 2n pairs, not n squared, and texts that merely hold the
+    same passage are not paired at all.
 
     A null text is empty. Rows that repeat an id share its component. A row with
     a null id is kept by itself, with a null component, and does not link others.
@@ -146,11 +213,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     entries = scratch.write(filled.join(classes.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
                             .select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")))
     heads = (entries.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last"))
-             .where("head < last").select("bucket", "head"))
+             .where("head < last"))
     shared = scratch.write(entries.join(heads, "bucket"))
     scratch.drop(entries)
-    spokes = scratch.write(shared.where("node <> head")
-                           .select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    spokes = scratch.write(
+        shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+        .union(shared.where("node <> last").select(F.col("node").alias("a"), F.col("last").alias("b"))).distinct())
     wanted = spokes.select("a").union(spokes.select("b")).distinct().withColumnRenamed("a", "node")
     full = scratch.write(texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi")
                          .mapInArrow(_full_sets, f"node {kind}, shingles array<bigint>")
@@ -161,15 +229,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
               .select("bucket", "node", F.coalesce("label", "node").alias("label")))
     mixed_up = (placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                 .where("low < high").select("bucket"))
-    open_ = scratch.write(placed.join(mixed_up, "bucket"))
-    one = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    two = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    rest = scratch.write(one.join(two, "bucket").where("label_a < label_b")
-                         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                         .join(spokes, ["a", "b"], "left_anti"))
+    open_ = placed.join(mixed_up, "bucket").select("node", "label").distinct()
+    undecided = scratch.write(full.join(open_, "node"))
+    rest = scratch.write(_sharing_a_rare_shingle(undecided, percent).join(spokes, ["a", "b"], "left_anti"))
     more = scratch.write(_confirmed(rest, full, percent))
     label = joined if more.isEmpty() else components(links.union(more))
-    scratch.drop(shared, open_, rest, full, spokes)
+    scratch.drop(shared, undecided, rest, full, spokes)
     place = classes.join(label, "node", "left").select(
         "key_a", "key_b", "n_shingles", F.coalesce("label", "node").alias("component"))
     rows = sketch.select("doc_id", "n_shingles", "key_a", "key_b")
