@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepforge.llm import mixing
+from prepforge.llm.chat import format_chats, read_back
 from prepforge.llm.chunk_dedup import exact_duplicates
 from prepforge.llm.near_dedup import near_duplicates
 from prepforge.llm.packing import pack, token_pieces
-from prepforge.llm.tables import fold
+from prepforge.llm.quality_rules import apply_rules, learn_rules, text_statistics
+from prepforge.llm.tables import Scratch, fold
 from prepforge.llm.toxicity import fit_toxicity, score_toxicity
+from prepforge.llm.url_filter import filter_urls, html_edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +34,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+OP1 = r"""
+WITH RECURSIVE rules(rule_host, rule_path, verdict) AS (VALUES
+  ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+raw AS (
+  SELECT page_id, url, html,
+    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (
+  SELECT page_id, url, html,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1) AS query
+  FROM raw),
+goals AS (
+  SELECT url, host, host || path || query AS a,
+    unnest([regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'),
+              lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?\s*canonical\b'))[1],
+              '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
+            regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'),
+              lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?\s*refresh\b'))[1],
+              '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1)]) AS goal
+  FROM parsed WHERE contains(url, '://')),
+absolute AS (
+  SELECT a, CASE WHEN contains(goal, '://') THEN substr(goal, strpos(goal, '://') + 3)
+    WHEN goal LIKE '//%' THEN substr(goal, 3) WHEN goal LIKE '/%' THEN host || goal END AS rest
+  FROM goals WHERE goal <> ''),
+links AS (
+  SELECT a, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^?#]*)', 1)
+    || regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1) AS b FROM absolute WHERE rest IS NOT NULL),
+edges AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
+reach(node, other) AS (SELECT a, a FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a),
+nodes AS (
+  SELECT DISTINCT other AS node, regexp_extract(other, '^([^/?#]*)', 1) AS host,
+    regexp_extract(other, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
+node_rules AS (
+  SELECT node, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM nodes JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY node),
+inherited AS (
+  SELECT r.node, count(*) AS aliases, CASE WHEN bool_or(coalesce(n.verdict, '') = 'allow') THEN 'allow'
+    WHEN bool_or(coalesce(n.verdict, '') = 'block') THEN 'block' END AS inherited
+  FROM reach r LEFT JOIN node_rules n ON r.other = n.node GROUP BY r.node),
+judged AS (
+  SELECT page_id, any_value(host) AS host, any_value(path) AS path, any_value(host || path || query) AS node,
+    arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    arg_max(verdict, length(rule_host || rule_path)) AS own
+  FROM parsed LEFT JOIN rules ON contains(coalesce(url, ''), '://')
+    AND (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+  coalesce(own, inherited, 'allow') AS verdict, coalesce(aliases, 1) AS aliases
+FROM judged LEFT JOIN inherited USING (node)
+"""
+
+
+@query("op1_url_filter", OP1)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, html_edges(pages), URL_RULES)
+
+
 OP2 = r"""
 WITH plain AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
@@ -55,6 +120,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("toxicity.passages").cast("long").alias("n_passages"))
 
 
+@query("op4_decision_list")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statistics = Scratch(spark, "statistics").write(text_statistics(table(spark, sf_dir, "documents")))
+    rules = learn_rules(statistics, table(spark, sf_dir, "labels"))
+    return apply_rules(statistics, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op5_bin_completion")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -98,7 +171,8 @@ plan_{level} AS (
 WITH rows AS (
   SELECT doc_id, CASE WHEN regexp_matches(source, '{CHOSEN}') THEN 'chosen' ELSE 'crawled' END AS domain,
     coalesce(lang, '') AS language, coalesce(source, '') AS origin,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS tokens FROM documents),
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS tokens FROM documents),
 leaves AS (
   SELECT domain, language, origin, CAST(sum(tokens) AS BIGINT) AS supply,
     CAST(sum(tokens) * {mixing.EPOCHS} AS BIGINT) AS cap FROM rows GROUP BY ALL),
@@ -126,6 +200,33 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), LEVELS, WEIGHTS)
 
 
+OP8 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+escaped AS (
+  SELECT *, regexp_replace(replace(text, chr(92), chr(92) || chr(92)),
+    '(<|\[)(sys>|/sys>|INST\]|/INST\]|s>|/s>|role>|text>|/text>)', '\1' || chr(92) || chr(92) || '\2', 'g') AS e FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(e) + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+    ELSE 19 + length(role) END) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+@query("op8_chat_template", OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return read_back(format_chats(turns.unionByName(tricky))).drop("valid")
+
+
 @query("op9_superminhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
