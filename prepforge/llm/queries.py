@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepforge.llm import mixing
+from prepforge.llm.byte_cnn import fit_quality, score_quality
 from prepforge.llm.chat import format_chats, read_back
 from prepforge.llm.chunk_dedup import exact_duplicates
 from prepforge.llm.near_dedup import near_duplicates
@@ -135,6 +136,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json"))))
 
 
+@query("op6_byte_cnn")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, into="score").select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # the tree of the mixture: crawled sources against chosen ones, then language, then source
 CHOSEN = r"^src1[0-9]$"
 LEVELS = {"domain": F.when(F.col("source").rlike(CHOSEN), "chosen").otherwise("crawled"),
