@@ -11,6 +11,7 @@ from prepforge.llm import mixing
 from prepforge.llm.byte_cnn import fit_quality, score_quality
 from prepforge.llm.chat import format_chats, read_back
 from prepforge.llm.chunk_dedup import exact_duplicates
+from prepforge.llm.katz import katz_scores
 from prepforge.llm.near_dedup import near_duplicates
 from prepforge.llm.packing import pack, token_pieces
 from prepforge.llm.quality_rules import apply_rules, learn_rules, text_statistics
@@ -240,3 +241,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_superminhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_katz")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = katz_scores(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
