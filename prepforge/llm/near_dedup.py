@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
         .union(shared.where("node <> last").select(F.col("node").alias("a"), F.col("last").alias("b"))).distinct())
     wanted = spokes.select("a").union(spokes.select("b")).distinct().withColumnRenamed("a", "node")
-    full = scratch.write(texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi")
+    # a sort-merge join at every size: what is exchanged grows with the table, not in a step
+    full = scratch.write(texts.withColumnRenamed("doc_id", "node").join(wanted.hint("merge"), "node", "left_semi")
                          .mapInArrow(_full_sets, f"node {kind}, shingles array<bigint>")
                          .dropDuplicates(["node"]))
     links = scratch.write(_confirmed(spokes, full, percent))
