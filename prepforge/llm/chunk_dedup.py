@@ -65,7 +65,7 @@ def chunk_ends(asked: np.ndarray, start: int, end: int) -> list[int]:
     return out
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _recipes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw in blocks(batch.column("text")):
             block = normalised(raw)
@@ -80,7 +80,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stops = np.array(ends, dtype=np.int64)
             starts = np.concatenate(([0], stops[:-1])) if len(stops) else stops
             offsets = pa.array(np.array(bounds, dtype=np.int32))
-            prints = block.hashes(starts, stops).view(np.int64)
+            prints = (block.hashes(starts, stops) >> np.uint64(64 - bits)).view(np.int64)
             proofs = [hashlib.sha256(content[s:e]).digest()[:16] for s, e in zip(starts.tolist(), ends, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").slice(raw.first, raw.rows), pa.array(whole, pa.string()),
@@ -89,12 +89,12 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "text_sha256", "prints", "proofs"])
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``: one row per row of ``docs``.
 
     Texts are equal when they are identical after each run of white space has
     become one space. Each text is cut where its content says so; a chunk is
-    known by a 64-bit fingerprint, and chunks that share one are told apart by
+    known by a fingerprint of ``bits``, and chunks that share one are told apart by
     their SHA-256, which verifies the identifier (fingerprint, ordinal). Texts
     are then compared as ordered lists of identifiers: the long texts themselves
     never leave the task that read them. Last, each group is checked against the
@@ -108,7 +108,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = only(docs, doc_id=id_col, text=text_col)
     kind = texts.schema["doc_id"].dataType.simpleString()
     recipes = scratch.write(texts.mapInArrow(
-        _recipes, f"doc_id {kind}, text_sha256 string, prints array<bigint>, proofs array<binary>"))
+        lambda batches: _recipes(batches, bits), f"doc_id {kind}, text_sha256 string, prints array<bigint>, proofs array<binary>"))
     chunks = recipes.select("text_sha256", F.posexplode(F.arrays_zip("prints", "proofs")).alias("place", "chunk"))
     known = chunks.select("chunk.*").distinct()
     clashing = scratch.write(known.groupBy("prints").agg(F.count("*").alias("n")).where("n > 1").select("prints"))
