@@ -63,8 +63,12 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     starts = F.when(F.size("hashes") >= WINDOW, F.sequence(F.lit(0), F.size("hashes") - WINDOW)).otherwise(
         F.array().cast("array<int>"))
     kept = [c for c in rows.columns if c != "hashes"]
-    rows = rows.select(*kept, F.sort_array(F.transform(starts, lambda i: F.struct(
-        F.xxhash64(*[h(i, k) for k in range(WINDOW)]).alias("window"), i.alias("at")))).alias("ordered"))
+    rows = rows.select(*kept, F.transform(starts, lambda i: F.xxhash64(*[h(i, k) for k in range(WINDOW)])).alias("windows"))
+    # only texts with a repeated window need to know which ones
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    rows = rows.select(*kept, F.when(repeats, F.sort_array(F.transform("windows", lambda w, i: F.struct(
+        w.alias("window"), i.alias("at"))))).otherwise(
+            F.array().cast("array<struct<window:bigint,at:int>>")).alias("ordered"))
     near = lambda i, k: F.get("ordered", i + k)["window"]
     rows = rows.select(*kept, F.sort_array(F.transform(F.filter(
         "ordered", lambda x, i: F.coalesce(x["window"] == near(i, -1), F.lit(False))
