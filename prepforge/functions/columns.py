@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import decimal
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +54,16 @@ def as_number(df: DataFrame, name: str) -> Column:
     return present(quoted(name), dtype).cast("double")
 
 
+def equals_literal(col: Column, dtype: T.DataType, value: Any) -> Column:
+    """``col = value`` where a value of another kind equals nothing; NULL stays NULL."""
+    numeric = isinstance(dtype, T.NumericType)
+    kinds = (str,) if isinstance(dtype, T.StringType) else (bool,) if isinstance(dtype, T.BooleanType) else ()
+    given = isinstance(value, (int, float, decimal.Decimal)) and not isinstance(value, bool)
+    if numeric and given or isinstance(value, kinds) or not (numeric or kinds):
+        return col == F.lit(value)
+    return F.when(col.isNotNull(), F.lit(False))
+
+
 def without_nan(df: DataFrame) -> DataFrame:
     """All float columns with NaN as NULL; untouched when there is none."""
     if not any(is_floating(f.dataType) for f in df.schema.fields):

@@ -13,11 +13,9 @@ from prepforge.models.linear import assembled
 from prepforge.operators.encode import Categories, fit_categories, with_code
 from prepforge.session import scratch_path, small_frame
 
-# Forest defaults, and the depth that stands for "no limit".
-DEFAULTS = {"n_estimators": 100, "max_depth": None, "min_samples_split": 2, "random_state": 42}
-UNLIMITED_DEPTH = 12
+# Forest defaults. Depth is always bounded: the library builds level by level and allows 30.
+DEFAULTS = {"n_estimators": 100, "max_depth": 12, "max_bins": 32, "min_samples_split": 2, "random_state": 42}
 MAX_DEPTH = 30
-MAX_CLASSES = 100
 
 
 class ForestModel:
@@ -70,12 +68,12 @@ class ForestModel:
 
 def _settings(options: dict[str, Any], subset: str) -> dict[str, Any]:
     given = {**DEFAULTS, **{k: v for k, v in options.items() if k in DEFAULTS}}
-    depth = UNLIMITED_DEPTH if given["max_depth"] is None else int(given["max_depth"])
-    if depth > MAX_DEPTH:
-        raise TrainingError(f"max_depth may be {MAX_DEPTH} at most")
+    if given["max_depth"] is None or not 0 <= int(given["max_depth"]) <= MAX_DEPTH:
+        raise TrainingError(f"max_depth must be a number up to {MAX_DEPTH}; trees without a limit are not built")
+    depth = int(given["max_depth"])
     return {
         "featuresCol": "__features", "labelCol": "__label", "predictionCol": "__prediction",
-        "numTrees": int(given["n_estimators"]), "maxDepth": depth,
+        "numTrees": int(given["n_estimators"]), "maxDepth": depth, "maxBins": int(given["max_bins"]),
         "minInstancesPerNode": max(1, int(given["min_samples_split"]) // 2),
         "seed": int(given["random_state"]), "featureSubsetStrategy": subset,
     }
@@ -94,11 +92,14 @@ def fit_forest_classifier(df: DataFrame, features: list[str], target: str, **opt
     from pyspark.ml.classification import RandomForestClassifier
 
     labels = fit_categories(df, [target])[target]
-    if labels.values is None or len(labels.values) > MAX_CLASSES:
-        raise TrainingError(f"more than {MAX_CLASSES} classes in column '{target}'")
+    if labels.values is None:
+        raise TrainingError(f"the classes of column '{target}' do not fit the driver's list")
     coded = with_code(df.select(*[quoted(f) for f in features], quoted(target)),
                       target, labels, "__code")
-    data = assembled(coded.withColumn("__label", F.col("__code").cast("double")), features)
+    # the library takes the number of classes from the column's metadata
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": max(2, len(labels.values))}}
+    data = assembled(coded.withColumn("__label", F.col("__code").cast("double").alias("__label", metadata=nominal)),
+                     features)
     native = RandomForestClassifier(
         **_settings(options, "sqrt"), probabilityCol="__probability",
         rawPredictionCol="__raw").fit(data)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepforge.functions.columns import quoted
+from prepforge.errors import TrainingError
+from prepforge.functions.columns import clean, quoted
 
 _MAX_TERMS = 100       # longer sums are written as one array expression
 
@@ -46,6 +47,14 @@ class LinearModel:
                            data.get("extra"))
 
 
+def require_complete(df: DataFrame, columns: list[str]) -> None:
+    """Raises with the number of rows that lack one of the columns; the same rule for every model."""
+    present_ = [clean(df, c).isNotNull() for c in columns]
+    missing = df.agg(F.count_if(~reduce(and_, present_))).first()[0]
+    if missing:
+        raise TrainingError(f"{missing} rows lack a feature or the target; impute or drop them first")
+
+
 def assembled(df: DataFrame, features: list[str], output: str = "__features") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
@@ -57,6 +66,7 @@ def fit_least_squares(df: DataFrame, features: list[str], target: str,
     """Unregularised least squares from one pass of normal-equation sums."""
     from pyspark.ml.regression import LinearRegression
 
+    require_complete(df, [*features, target])
     data = assembled(df.select(*[quoted(f) for f in features],
                                quoted(target).cast("double").alias("__label")), features)
     fitted = LinearRegression(

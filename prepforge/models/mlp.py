@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from prepforge.errors import TrainingError
 from prepforge.functions.columns import quoted
+from prepforge.models.linear import require_complete
 
 # Network and optimiser defaults.
 DEFAULTS = {"hidden_dims": [64, 32], "output_dim": 1, "dropout": 0.2, "batch_size": 32,
-            "learning_rate": 0.001, "epochs": 100, "random_state": 42}
+            "learning_rate": 0.001, "epochs": 100, "random_state": 42, "partitions": 8}
 _BETA1, _BETA2, _EPS = 0.9, 0.999, 1e-8
 _COMBINERS = 16
 
@@ -108,8 +109,11 @@ def fit_mlp(df: DataFrame, features: list[str], target: str, start: MlpModel | N
             validation: DataFrame | None = None, **options):
     """Model and per-epoch scores ``(train_mse, val_mse)``.
 
-    ``df`` is read once per epoch; the caller should hold it in memory. With
-    ``validation`` every epoch is also scored on it for a learning curve.
+    The rows are dealt by their values to ``partitions`` parts, which train side
+    by side, and are held there for all epochs: the result depends on that
+    number, not on how the table is stored or on the cluster. A row that lacks a
+    feature or the target raises. With ``validation`` every epoch is also scored
+    on it for a learning curve.
     """
     setting = {**DEFAULTS, **{k: v for k, v in options.items() if k in DEFAULTS}}
     if int(setting["output_dim"]) != 1:
@@ -127,6 +131,11 @@ def fit_mlp(df: DataFrame, features: list[str], target: str, start: MlpModel | N
     steps = 0.0
     data = df.select(*[quoted(f).cast("double") for f in features],
                      quoted(target).cast("double").alias("__label"))
+    require_complete(data, data.columns)
+    # floats that print alike are dealt alike
+    place = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in data.columns])
+    data = (data.repartition(int(setting["partitions"]), place)
+            .sortWithinPartitions(*[F.col(f"`{c}`") for c in data.columns]).persist())
 
     def rounds(state: np.ndarray, steps: float, epoch: int):
         def local(batches):
@@ -177,6 +186,7 @@ def fit_mlp(df: DataFrame, features: list[str], target: str, start: MlpModel | N
             scored = current.predict(validation, "__p")
             val_mse = scored.agg(F.avg(F.pow(F.col("__p") - quoted(target), 2))).first()[0]
         history.append((train_mse, val_mse))
+    data.unpersist()
     return MlpModel(features, sizes, state[:layers.count]), history
 
 

@@ -17,36 +17,31 @@ from prepforge.errors import TrainingError
 from prepforge.functions.columns import quoted
 from prepforge.models.linear import LinearModel
 
-_SQL_COLUMNS = 20          # up to here the products are plain aggregates
 MAX_FEATURES = 2_000       # bounds the matrix held by the driver
-_STEPS_PER_EPOCH = 1_000
 _PATIENCE = 5
 # Defaults of the usual stochastic gradient regressor.
-DEFAULTS = {"max_iter": 1000, "tol": 1e-3, "eta0": 0.01, "power_t": 0.25, "alpha": 1e-4}
+DEFAULTS = {"max_iter": 1000, "tol": 1e-3, "eta0": 0.01, "power_t": 0.25, "alpha": 1e-4,
+            "steps_per_epoch": 1000}
 
 
 def product_averages(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
-    """Row count and the matrix of averages of z_i * z_j, where z = (1, columns)."""
+    """Row count and the matrix of averages of z_i * z_j, where z = (1, columns).
+
+    A row that lacks one of the columns raises, with the number of such rows.
+    """
     if len(columns) > MAX_FEATURES:
         raise TrainingError(f"more than {MAX_FEATURES} features")
     size = len(columns) + 1
-    z = [F.lit(1.0)] + [quoted(c).cast("double") for c in columns]
-    cells = [(i, j) for i in range(size) for j in range(i, size)]
-    matrix = np.zeros((size, size))
-    if len(columns) <= _SQL_COLUMNS:
-        row = df.agg(F.count(F.lit(1)).alias("n"),
-                     *[F.avg(z[i] * z[j]).alias(f"c{k}") for k, (i, j) in enumerate(cells)]).first()
-        n = row["n"]
-        for k, (i, j) in enumerate(cells):
-            matrix[i, j] = matrix[j, i] = np.nan if row[f"c{k}"] is None else row[f"c{k}"]
-        return n, matrix
 
     def partial(batches):
-        total = np.zeros((size, size))
+        total, gaps = np.zeros((size, size)), 0
         for batch in batches:
             block = np.column_stack([np.ones(len(batch)), batch.to_numpy(dtype=float)])
-            total += block.T @ block
-        yield pd.DataFrame({"i": np.arange(size), "sums": list(total)})
+            whole = ~np.isnan(block).any(axis=1)
+            gaps += int((~whole).sum())
+            total += block[whole].T @ block[whole]
+        # the last row counts what was left out
+        yield pd.DataFrame({"i": np.arange(size + 1), "sums": [*total, np.full(size, float(gaps))]})
 
     sums = (
         df.select(*[quoted(c).cast("double") for c in columns])
@@ -54,15 +49,18 @@ def product_averages(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray
         .select("i", F.posexplode("sums").alias("j", "v"))
         .groupBy("i", "j").agg(F.sum("v").alias("v"))
     )
+    matrix = np.zeros((size + 1, size))
     for r in sums.collect():
         matrix[r["i"], r["j"]] = r["v"]
+    if matrix[size, 0]:
+        raise TrainingError(f"{int(matrix[size, 0])} rows lack a feature or the target; impute or drop them first")
     n = int(matrix[0, 0])
-    return n, matrix / max(n, 1)
+    return n, matrix[:size] / max(n, 1)
 
 
 def fit_sgd(df: DataFrame, features: list[str], target: str, start: LinearModel | None = None,
             **options) -> tuple[LinearModel, list[float]]:
-    """Model and the half mean squared error after each epoch.
+    """Model and the half mean squared error after each epoch of ``steps_per_epoch`` full-gradient steps.
 
     With ``start`` the weights and the step counter continue from there; use
     ``max_iter=1`` for the single pass of an incremental update.
@@ -86,7 +84,7 @@ def fit_sgd(df: DataFrame, features: list[str], target: str, start: LinearModel
 
     history, best, stale = [], np.inf, 0
     for _ in range(int(setting["max_iter"])):
-        for _ in range(min(n, _STEPS_PER_EPOCH)):
+        for _ in range(int(setting["steps_per_epoch"])):
             t += 1
             rate = setting["eta0"] / t ** setting["power_t"]
             weights = weights - rate * (inputs @ weights - outputs + ridge * weights)

@@ -20,8 +20,15 @@ def class_set(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
     return both.distinct().orderBy("label")
 
 
+def confusion_shares(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
+    """Occurring class pairs with counts and shares of the truth row: y, p, n, share. For any number of classes."""
+    cells = settle(confusion_cells(df, y_true, y_pred), "cells")
+    totals = cells.groupBy("y").agg(F.sum("n").alias("total"))
+    return cells.join(totals, "y").select("y", "p", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
 def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, normalize: bool = False) -> DataFrame:
-    """All class pairs with zeros: y, p, and n or the share of the truth row.
+    """A display of all class pairs with zeros: y, p, and n or the share of the truth row.
 
     The table is read once into its occurring cells; the full grid has one
     cell per pair of classes, so the number of classes is checked first.
@@ -32,7 +39,7 @@ def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, normalize: bool =
     seen = cells.select(F.explode(F.array("y", "p")).alias("label")).distinct()
     labels = [r["label"] for r in seen.limit(MAX_GRID_CLASSES + 1).collect()]
     if len(labels) > MAX_GRID_CLASSES:
-        raise DataError("too many classes for a full grid; use confusion_cells()")
+        raise DataError("too many classes for a zero-filled display; use confusion_shares()")
     every = F.array(*[F.lit(v).cast(dtype) for v in sorted(labels)])
     grid = spark.range(1).select(F.explode(every).alias("y")).withColumn("p", F.explode(every))
     full = grid.join(cells, ["y", "p"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

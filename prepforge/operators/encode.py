@@ -8,7 +8,8 @@ codes come from a distributed ordering, and encoding is a shuffle join.
 from __future__ import annotations
 
 import datetime
-from dataclasses import dataclass, field
+import decimal
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,6 @@ from prepforge.errors import DataError
 from prepforge.functions.columns import clean, quoted
 from prepforge.operators.longform import ITEM, typed_values
 from prepforge.operators.ordering import ordered_totals
-from prepforge.operators.skew import hot_keys, lookup_join
 from prepforge.session import scratch_path
 
 MAX_LITERALS = 64          # dictionaries up to this size become expressions
@@ -34,7 +34,6 @@ class Categories:
     type_json: str
     values: list | None = None
     table: str | None = None
-    hot: list = field(default_factory=list)      # very frequent values, for a table only
 
     @property
     def dtype(self) -> T.DataType:
@@ -48,26 +47,31 @@ class Categories:
         rows = [(v, i) for i, v in enumerate(self.values)]
         return F.broadcast(spark.createDataFrame(rows, schema))
 
+    def listed(self) -> list:
+        """All values in order, read from the table where there is one."""
+        if self.values is not None:
+            return self.values
+        spark = SparkSession.active()
+        return [r["value"] for r in spark.read.parquet(self.table).orderBy("code").select("value").toLocalIterator()]
+
     def literals(self) -> Column:
         return F.array(*[F.lit(v).cast(self.dtype) for v in self.values])
 
     def to_dict(self) -> dict:
-        def plain(values):
-            dated = values and isinstance(values[0], (datetime.date, datetime.datetime))
-            return [v.isoformat() for v in values] if dated else values
-
-        return {"type_json": self.type_json, "values": plain(self.values), "table": self.table,
-                "hot": plain(self.hot)}
+        write = {datetime.date: datetime.date.isoformat, datetime.datetime: datetime.datetime.isoformat,
+                 decimal.Decimal: str, bytes: bytes.hex, bytearray: bytearray.hex}
+        values = self.values and [write.get(type(v), lambda x: x)(v) for v in self.values]
+        return {"type_json": self.type_json, "values": values, "table": self.table}
 
     @staticmethod
     def from_dict(data: dict) -> "Categories":
-        out = Categories(**data)
-        read = {"date": datetime.date.fromisoformat,
+        out = Categories(data["type_json"], data.get("values"), data.get("table"))
+        read = {"date": datetime.date.fromisoformat, "decimal": decimal.Decimal,
+                "binary": lambda v: bytearray(bytes.fromhex(v)),
                 "timestamp": datetime.datetime.fromisoformat,
                 "timestamp_ntz": datetime.datetime.fromisoformat}.get(out.dtype.typeName())
         if read:
             out.values = out.values and [read(v) for v in out.values]
-            out.hot = [read(v) for v in out.hot]
         return out
 
 
@@ -116,8 +120,7 @@ def _code_table(df: DataFrame, column: str) -> Categories:
     coded = ordered_totals(counted, [F.col("value")], ["one"])
     path = scratch_path(df.sparkSession, "categories")
     coded.select("value", F.col("one_before").alias("code"), "rows").write.parquet(path)
-    hot = hot_keys(df.sparkSession.read.parquet(path), "value", "rows")
-    return Categories(df.schema[column].dataType.json(), table=path, hot=hot)
+    return Categories(df.schema[column].dataType.json(), table=path)
 
 
 def _fail(what: str, column: str, value: Column) -> Column:
@@ -138,7 +141,8 @@ def with_code(df: DataFrame, column: str, categories: Categories, name: str,
         return df.withColumn(name, F.coalesce((place - 1).cast("bigint"), miss))
     lookup = categories.frame(df.sparkSession).select(
         F.col("value").alias("__value"), F.col("code").alias("__found"))
-    joined = lookup_join(df.withColumn("__value", value), lookup, "__value", categories.hot, "left")
+    # a value that fills many rows, NULL too, is split by the engine while the join runs
+    joined = df.withColumn("__value", value).join(lookup, "__value", "left")
     return joined.select(*[quoted(c) for c in df.columns], F.coalesce("__found", miss).alias(name))
 
 
@@ -171,19 +175,22 @@ class LabelEncoder:
             F.col("__label").alias(c) if c == self.column else quoted(c) for c in order])
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
-        """The column of codes replaced by the values; an unknown code raises."""
+        """The column of codes replaced by the values; an unknown or fractional code raises."""
         found = self._ready()
-        code = quoted(self.column)
+        code = clean(df, self.column)
+        if not isinstance(df.schema[self.column].dataType, T.IntegralType):
+            whole = code.try_cast("bigint")
+            code = F.when(whole == code.try_cast("double"), whole)
         if found.values is not None and len(found.values) <= MAX_LITERALS:
             known = code.between(0, len(found.values) - 1)
             value = F.when(known, F.get(found.literals(), code.cast("int")))
-            value = value.otherwise(_fail("unknown code", self.column, code).cast(found.dtype))
+            value = value.otherwise(_fail("unknown code", self.column, quoted(self.column)).cast(found.dtype))
             return df.select(*[
                 value.alias(c) if c == self.column else quoted(c) for c in df.columns])
         lookup = found.frame(df.sparkSession).select(
             F.col("value").alias("__value"), F.col("code").alias("__key"))
         joined = df.join(lookup, code == F.col("__key"), "left")
-        value = F.coalesce("__value", _fail("unknown code", self.column, code).cast(found.dtype))
+        value = F.coalesce("__value", _fail("unknown code", self.column, quoted(self.column)).cast(found.dtype))
         return joined.select(*[
             value.alias(c) if c == self.column else quoted(c) for c in df.columns])
 
@@ -225,10 +232,9 @@ class OneHotEncoder:
         return self.categories
 
     def get_feature_names(self, input_features: list[str] | None = None) -> list[str]:
-        """``<column>_<category>``; pass names to replace the column part."""
-        names = input_features or self.columns
-        return [f"{name}_{v}" for name, c in zip(names, self.columns)
-                for v in self._ready()[c].values]
+        """``<name>_<category>`` of every slot; the columns are x0, x1, ... unless names are given."""
+        names = input_features or [f"x{i}" for i in range(len(self.columns))]
+        return [f"{name}_{v}" for name, c in zip(names, self.columns) for v in self._ready()[c].listed()]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Source columns go, the 0/1 columns are appended at the end."""

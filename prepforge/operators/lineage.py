@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from prepforge.errors import DataError
 from prepforge.functions.columns import quoted
-from prepforge.operators import skew
 from prepforge.session import settle
 
 
@@ -20,7 +19,8 @@ def lineage(models: DataFrame, starts: DataFrame | None = None,
     ``models`` has one row per version; ``starts`` is a one-column frame (all
     versions when absent). Pointer doubling: after k rounds the chains reach
     2^k levels up, so even very long chains take few joins. Each round writes
-    only what it adds. Ancestors shared by very many chains are salted.
+    only what it adds. Ancestors shared by very many chains are split by the
+    engine at run time.
     """
     edges = models.select(quoted(version).alias("version"), quoted(parent).alias("up"))
     jump = settle(edges.where("up IS NOT NULL").join(
@@ -29,10 +29,10 @@ def lineage(models: DataFrame, starts: DataFrame | None = None,
     first = first.toDF("version").join(edges, "version", "left_semi")
     parts = [first.select(F.col("version").alias("start"), "version",
                           F.lit(0).cast("bigint").alias("depth"))]
-    step, longest, hot = 1, jump.count(), []
+    step, longest = 1, jump.count()
     while True:
         reached = reduce(DataFrame.union, parts)
-        more = skew.lookup_join(reached, jump, "version", hot).select(
+        more = reached.join(jump, "version").select(
             "start", F.col("up").alias("version"), (F.col("depth") + step).alias("depth"))
         more = settle(more, "chain")
         added = more.count()
@@ -41,21 +41,12 @@ def lineage(models: DataFrame, starts: DataFrame | None = None,
         if step > longest:
             raise DataError("the parent links form a circle")
         parts.append(more)
-        hot = sorted(set(hot) | set(_shared(more, added)))
         upper = jump.select(F.col("version").alias("up"), F.col("up").alias("top"))
-        # many versions may jump to one, which is unique on the other side
-        jump = settle(skew.lookup_join(jump, upper, "up", _shared(jump, longest, "up")).select(
-            "version", F.col("top").alias("up")), "jump")
+        # many versions may jump to one, which is unique on the other side: the engine splits such a key
+        jump = settle(jump.join(upper, "up").select("version", F.col("top").alias("up")), "jump")
         step *= 2
 
 
-def _shared(frame: DataFrame, rows: int, key: str = "version") -> list:
-    """Values of ``key`` that are too frequent for one task."""
-    if rows <= skew.HOT_ROWS:
-        return []
-    return skew.hot_keys(frame.groupBy(key).agg(F.count(F.lit(1)).alias("rows")), key, "rows")
-
-
 def children(models: DataFrame, version: str = "version", parent: str = "parent") -> DataFrame:
     """Pairs (version, child) for every model that has children."""
     return models.where(quoted(parent).isNotNull()).select(
@@ -73,8 +64,7 @@ def used_hashes(chain: DataFrame, history: DataFrame) -> DataFrame:
     ``chain`` comes from ``lineage``; ``history`` has version, dataset_hash.
     """
     per_model = history.select("version", "dataset_hash")
-    return (skew.lookup_join(chain, per_model, "version", _shared(chain, chain.count()))
-            .select("start", "dataset_hash").distinct())
+    return chain.join(per_model, "version").select("start", "dataset_hash").distinct()
 
 
 def duplicate_datasets(candidates: DataFrame, used: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepforge.functions.columns import as_number, clean
+from prepforge.functions.columns import as_number, clean, equals_literal
 
 AVERAGES = ("binary", "macro", "weighted", "micro")
 
@@ -97,7 +97,7 @@ def classification_metrics(df: DataFrame, y_true: str, y_pred: str, average: str
     per_class = class_counts(confusion_cells(df, y_true, y_pred, by), by)
     tp, predicted, support = F.col("tp"), F.col("predicted"), F.col("support")
     if average == "binary":
-        is_pos = F.col("label") == F.lit(pos_label)
+        is_pos = equals_literal(F.col("label"), per_class.schema["label"].dataType, pos_label)
         picked = [F.coalesce(F.sum(F.when(is_pos, c)), F.lit(0)) for c in (tp, predicted, support)]
         prec, rec = _ratio(picked[0], picked[1]), _ratio(picked[0], picked[2])
     elif average == "micro":

@@ -7,14 +7,14 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepforge.functions.columns import as_number, clean
+from prepforge.functions.columns import as_number, clean, equals_literal
 from prepforge.operators.ordering import ordered_totals
 
 
 def score_counts(df: DataFrame, y_true: str, y_score: str, pos_label: Any = 1) -> DataFrame:
     """One row per distinct score: score, pos, neg."""
     pairs = df.select(as_number(df, y_score).alias("score"),
-                      (clean(df, y_true) == F.lit(pos_label)).alias("hit"))
+                      equals_literal(clean(df, y_true), df.schema[y_true].dataType, pos_label).alias("hit"))
     return (pairs.where("score IS NOT NULL AND hit IS NOT NULL")
             .groupBy("score").agg(F.count_if("hit").alias("pos"),
                                   F.count_if(~F.col("hit")).alias("neg")))

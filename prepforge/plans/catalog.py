@@ -49,16 +49,15 @@ class DatasetCatalog:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self.log = StateLog(spark, f"{self.root}/catalog", CATALOG_SCHEMA, "name")
-        self._frames: dict[str, str] = {}
 
     # registration ------------------------------------------------------------
     def register(self, source: str | DataFrame, name: str, file_type: str | None = None,
-                 materialize: bool = True, approximate: bool = False) -> dict[str, Any]:
+                 materialize: bool = True, approximate: bool = False, multiline: bool = False) -> dict[str, Any]:
         """Profile and store a file or frame under ``name``; replaces an older one.
 
         A materialised copy goes to a new folder, so readers of the previous
         one are not disturbed. With ``materialize=False`` a Parquet source is
-        used where it lies.
+        used where it lies. ``multiline`` is for CSV with line breaks in quotes.
         """
         view = safe_view_name(name)
         near = self.log.current().where((F.col("view") == view) | (F.col("name") == name)).collect()
@@ -72,7 +71,7 @@ class DatasetCatalog:
             kind, path = file_type or "parquet", None
         owned = materialize or path is None or kind != "parquet"
         if owned:
-            frame = without_nan(source) if path is None else read_file(self.spark, path, kind)
+            frame = without_nan(source) if path is None else read_file(self.spark, path, kind, multiline)
             path = f"{self.root}/data/{view}/{uuid.uuid4().hex}"
             frame.write.parquet(path)
         # the stored copy holds no NaN, so later filters reach its scan unwrapped
@@ -89,7 +88,6 @@ class DatasetCatalog:
         }
         self.log.append([record])
         frame.createOrReplaceTempView(view)
-        self._frames[view] = path
         return record
 
     # lookup ------------------------------------------------------------------
@@ -153,23 +151,31 @@ class DatasetCatalog:
     # SQL ---------------------------------------------------------------------
     def query(self, sql: str) -> DataFrame:
         """Any Spark SQL over the registered datasets, each a view by its safe name."""
+        # views belong to the session, which other catalogs share: bind what this text names anew each time
+        named = sql.lower()
         for row in self.log.current().select("view", "file_path", "has_nan").collect():
-            if self._frames.get(row["view"]) != row["file_path"]:
+            if row["view"] in named:
                 self._frame(row["file_path"], row["has_nan"]).createOrReplaceTempView(row["view"])
-                self._frames[row["view"]] = row["file_path"]
         try:
             return self.spark.sql(sql)
         except PySparkException as e:
             raise DataError(f"query failed: {e}") from e
 
+    def rows(self, sql: str, max_rows: int = 100) -> list:
+        """The first rows of a query, run at once; a failure while it runs is a ``DataError`` too."""
+        try:
+            return self.query(sql).limit(max_rows).collect()
+        except PySparkException as e:
+            raise DataError(f"query failed: {e}") from e
+
     # removal -----------------------------------------------------------------
     def delete(self, name: str, delete_files: bool = True) -> None:
         found = self.entry(name)
         self.spark.catalog.dropTempView(found["view"])
-        self._frames.pop(found["view"], None)
+        # the marker first: a crash in between leaves files without a row, not a row without files
+        self.log.delete(F.col("name") == name)
         if delete_files and found["owned"]:
             remove_path(self.spark, found["file_path"])
-        self.log.delete(F.col("name") == name)
 
 
 def _holds_nan(df: DataFrame) -> bool:

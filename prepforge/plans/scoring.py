@@ -9,6 +9,7 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prepforge.errors import InferenceError
 from prepforge.functions.columns import quoted
@@ -19,6 +20,41 @@ from prepforge.session import now
 from prepforge.sources.files import read_file
 
 _ROW = "__row"
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def records_frame(spark: SparkSession, records: list[dict], types: dict[str, str]) -> DataFrame:
+    """Records as a frame with their row numbers; absent keys and None are NULL.
+
+    A column has the type that training stored for it, except that fractions in
+    a column of whole numbers make it double. Other columns are typed by all
+    their values: whole numbers and fractions together are doubles, values of
+    different kinds are text, no value at all is a double.
+    """
+    def kind(name: str, values: list) -> str:
+        found = {bool if isinstance(v, bool) else type(v) for v in values}
+        fractions = float in found and any(isinstance(v, float) and not v.is_integer() for v in values)
+        if name in types and not (fractions and types[name] in WHOLE):
+            return types[name]
+        if found <= {int, float}:
+            return "bigint" if found == {int} else "double"
+        return "boolean" if found == {bool} else "string"
+
+    names = list(dict.fromkeys(k for r in records for k in r))
+    kinds = {n: kind(n, [r[n] for r in records if r.get(n) is not None]) for n in names}
+    fit = {"double": float, "float": float, "string": str, **{w: int for w in WHOLE}}
+
+    def cell(name: str, value: Any) -> Any:
+        if value is None:
+            return None
+        try:
+            return fit.get(kinds[name], lambda v: v)(value)
+        except (TypeError, ValueError) as e:
+            raise InferenceError(f"{name}: {value!r} is not a {kinds[name]}") from e
+
+    schema = T.StructType([T.StructField(_ROW, T.LongType()), *[
+        T.StructField(n, T._parse_datatype_string(kinds[n])) for n in names]])
+    return spark.createDataFrame([(i, *[cell(n, r.get(n)) for n in names]) for i, r in enumerate(records)], schema)
 
 
 class Predictor:
@@ -71,9 +107,7 @@ class Predictor:
         local = isinstance(data, (dict, list))
         if local:
             records = [data] if isinstance(data, dict) else data
-            names = list(dict.fromkeys(k for r in records for k in r))
-            rows = [(i, *[r.get(n) for n in names]) for i, r in enumerate(records)]
-            df = self.spark.createDataFrame(rows, [_ROW, *names])
+            df = records_frame(self.spark, records, self.registry.get(version)["metadata"].get("feature_types") or {})
         else:
             df = data
         features = [c for c in df.columns if c != _ROW]

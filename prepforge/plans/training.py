@@ -24,7 +24,7 @@ from prepforge.operators.split import with_split
 from prepforge.plans.catalog import DatasetCatalog
 from prepforge.plans.preparation import apply_preprocessing_pipeline
 from prepforge.plans.registry import ModelRegistry
-from prepforge.session import now, spread
+from prepforge.session import now
 from prepforge.sources.statelog import StateLog
 
 # The model types and the hyperparameters each understands.
@@ -36,7 +36,6 @@ MODEL_TYPES = {
     "torch_mlp": ["hidden_dims", "output_dim", "dropout", "batch_size", "learning_rate", "epochs",
                   "random_state"],
 }
-MANY_PASSES = ("random_forest", "random_forest_classifier", "torch_mlp")
 RUN_SCHEMA = T.StructType([
     T.StructField("job_id", T.StringType()),
     T.StructField("dataset_names", T.ArrayType(T.StringType())),
@@ -156,8 +155,6 @@ class Trainer:
 
         frames = [self.catalog.open(entries[n]) for n in names]
         data = frames[0] if len(frames) == 1 else concat(frames)
-        if model_type in MANY_PASSES:
-            data = spread(data)
         features = list(config.get("feature_columns") or []) or [
             c for c in data.columns if c != target]
         preparation = config.get("preprocess_config", {"scale": True})
@@ -181,6 +178,7 @@ class Trainer:
             model, model_type, metrics, preprocessor, {
                 "dataset_names": names, "dataset_hashes": hashes,
                 "total_rows": sum(rows[n] for n in names), "feature_columns": features,
+                "feature_types": {f: data.schema[f].dataType.simpleString() for f in features},
                 "model_inputs": inputs, "target_column": target,
                 "preprocess_config": preparation, "hyperparameters": options,
             }, mode, base_version if mode == "fine_tune" else None)

@@ -233,7 +233,7 @@ same("sql_subquery_correlated", ["part"], """
 same("sql_subquery_exists", ["customer", "orders"], """
     SELECT c_custkey FROM customer WHERE EXISTS
         (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)
-    AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+    AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""")
 
 # pivot, unpivot -----------------------------------------------------------------------------
 

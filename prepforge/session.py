@@ -71,16 +71,6 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions for costly work over a plain scan that has fewer than cores.
-
-    A large table has far more splits than that and is returned as it is. Not
-    for frames with shuffles in them: asking for their partitions runs those.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
 def small_frame(spark: SparkSession, records: list[dict[str, Any]], schema: T.StructType | str) -> DataFrame:
     """A handful of state records as a frame, without starting a Python worker."""
     fields = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)

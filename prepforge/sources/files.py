@@ -18,11 +18,13 @@ def read_csv(spark: SparkSession, path: str, infer_types: bool = True,
              multiline: bool = False) -> DataFrame:
     """Header row, quotes doubled inside quotes, types from the whole column.
 
-    ``multiline`` allows line breaks inside quotes; such a file cannot be
-    split between tasks, so it is off by default.
+    A row with more or fewer cells than the header fails the read, whichever
+    columns are asked for. ``multiline`` allows line breaks inside quotes; such
+    a file cannot be split between tasks, so it is off by default, and a break
+    inside quotes then counts as a malformed row.
     """
-    raw = (spark.read.option("header", True).option("escape", '"')
-           .option("multiLine", multiline).csv(path))
+    raw = (spark.read.option("header", True).option("escape", '"').option("mode", "FAILFAST")
+           .option("columnPruning", False).option("multiLine", multiline).csv(path))
     return retype_strings(raw) if infer_types else raw
 
 
@@ -30,10 +32,11 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return without_nan(spark.read.parquet(path))
 
 
-def read_file(spark: SparkSession, path: str, file_type: str | None = None) -> DataFrame:
+def read_file(spark: SparkSession, path: str, file_type: str | None = None,
+              multiline: bool = False) -> DataFrame:
     kind = file_type or detect_format(path)
     if kind == "parquet":
         return read_parquet(spark, path)
     if kind == "csv":
-        return read_csv(spark, path)
+        return read_csv(spark, path, multiline=multiline)
     raise DataError(f"unknown file type: {kind}")

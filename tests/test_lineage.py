@@ -7,7 +7,6 @@ from prepforge.errors import DataError
 from prepforge.operators.asof import asof_join
 from prepforge.operators.lineage import duplicate_datasets, lineage, used_hashes, with_row_counts
 from prepforge.operators.ordering import latest_per_key, newest_first, ordered_totals
-from prepforge.operators.skew import hot_keys, lookup_join
 
 
 def test_long_chain(spark):
@@ -87,20 +86,7 @@ def test_asof_against_brute_force(spark):
     assert len(got) == len(left)
 
 
-def test_hot_keys_are_joined_whole(spark, monkeypatch):
-    monkeypatch.setattr("prepforge.operators.skew.HOT_ROWS", 100)
-    facts = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
-    table = facts.select("k").distinct().withColumn("v", F.col("k") * 2)
-    counts = facts.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
-    assert hot_keys(counts, "k", "rows") == [7]
-    joined = lookup_join(facts, table, "k", [7], salts=5)
-    assert joined.count() == 3000 and joined.where("v <> k * 2").count() == 0
-    kept = lookup_join(facts, table.where("k <> 7"), "k", [7], "left", salts=5)
-    assert kept.count() == 3000 and kept.where("v IS NULL").count() == 1001
-
-
-def test_popular_ancestor(spark, monkeypatch):
-    monkeypatch.setattr("prepforge.operators.skew.HOT_ROWS", 20)
+def test_popular_ancestor(spark):
     models = spark.range(500).select("id", F.when(F.col("id") >= 2, F.col("id") % 2).when(
         F.col("id") == 1, F.lit(0)).cast("bigint").alias("parent"))
     got = lineage(models, version="id").groupBy("depth").count().collect()

@@ -47,16 +47,32 @@ def test_sgd_approaches_least_squares(points):
     assert model.intercept == pytest.approx(4, abs=5e-3)
     assert history[-1] <= history[0]
     more, _ = fit_sgd(points, FEATURES, "y", start=model, max_iter=1)
-    assert more.extra["steps"] == model.extra["steps"] + 400
+    assert more.extra["steps"] == model.extra["steps"] + 1000
     with pytest.raises(TrainingError):
         fit_sgd(points.withColumn("a", F.col("a") * 1e6), FEATURES, "y")
 
 
-def test_product_averages_agree(spark, points, monkeypatch):
-    n, small = product_averages(points, FEATURES)
-    monkeypatch.setattr("prepforge.models.sgd._SQL_COLUMNS", 0)
-    m, large = product_averages(points, FEATURES)
-    assert n == m == 400 and np.allclose(small, large)
+def test_product_averages(spark, points):
+    n, found = product_averages(points, FEATURES)
+    rows = np.array([[1.0, *[r[f] for f in FEATURES]] for r in points.collect()])
+    assert n == 400 and np.allclose(found, rows.T @ rows / 400)
+
+
+@pytest.mark.parametrize("width", [3, 25])
+def test_missing_features_have_one_rule(spark, width):
+    names = [f"f{i}" for i in range(width)]
+    df = spark.range(40).select(*[
+        F.when(F.col("id") % 20 != i % 7, F.rand(i)).alias(n) for i, n in enumerate(names)], F.rand(99).alias("y"))
+    gaps = df.where(" OR ".join(f"{n} IS NULL" for n in names)).count()
+    for fit in (fit_sgd, fit_least_squares, fit_mlp):
+        with pytest.raises(TrainingError, match=f"{gaps} rows lack"):
+            fit(df, names, "y")
+
+
+def test_network_does_not_depend_on_the_layout(spark, points):
+    one, _ = fit_mlp(points.repartition(3), FEATURES, "y", epochs=2)
+    two, _ = fit_mlp(points.coalesce(1), FEATURES, "y", epochs=2)
+    assert np.array_equal(one.weights, two.weights)
 
 
 def test_network_gradient_by_differences():

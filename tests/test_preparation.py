@@ -1,3 +1,5 @@
+import json
+
 import math
 
 import numpy as np
@@ -265,12 +267,11 @@ def test_numeric_categories_are_not_scaled(spark):
     assert [r["c"] for r in out.collect()] == [0, 1]
 
 
-def test_hot_category_takes_the_salted_join(spark, monkeypatch):
-    monkeypatch.setattr("prepforge.operators.skew.HOT_ROWS", 200)
+def test_hot_category_in_a_table(spark):
     df = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(
         F.concat(F.lit("v"), F.col("id").cast("string"))).alias("y"))
     encoder = LabelEncoder().fit(df, "y", max_listed=5)
-    assert encoder.categories.hot == ["hot"]
+    assert encoder.categories.table
     order = sorted({r["y"] for r in df.collect()})
     out = encoder.transform(df).join(df.withColumnRenamed("y", "v"), "id").collect()
     assert len(out) == 900 and all(order[r["y"]] == r["v"] for r in out)
@@ -282,3 +283,32 @@ def test_wide_values_are_not_held_by_the_driver(spark, monkeypatch):
     encoder = LabelEncoder().fit(df, "y")
     assert encoder.categories.values is None
     assert [r["y"] for r in encoder.transform(df).orderBy("id").collect()] == [0, 1, 0]
+
+
+def test_dictionaries_survive_saving(spark):
+    df = spark.sql("""SELECT * FROM VALUES
+        (CAST(1.50 AS DECIMAL(5,2)), X'00ff', DATE'2020-01-02', TIMESTAMP'2020-01-02 03:04:05', true, 'a', 1.5D),
+        (CAST(2.25 AS DECIMAL(5,2)), X'0a', DATE'2021-01-02', TIMESTAMP'2021-01-02 03:04:05', false, 'b', 2.5D)
+        AS t(dec, bin, day, at, flag, txt, num)""")
+    for c in df.columns:
+        encoder = LabelEncoder().fit(df, c)
+        again = LabelEncoder.from_dict(json.loads(json.dumps(encoder.to_dict())))
+        assert sorted(r[c] for r in again.transform(df).collect()) == [0, 1]
+        assert again.inverse_transform(again.transform(df)).exceptAll(df).count() == 0
+
+
+@pytest.mark.parametrize("listed", [1, 100])
+def test_codes_are_whole_numbers(spark, listed):
+    encoder = LabelEncoder().fit(spark.createDataFrame([("a",), ("b",), ("c",)], "y string"), "y", max_listed=listed)
+    whole = spark.createDataFrame([(2.0,), (0.0,)], "y double")
+    assert [r["y"] for r in encoder.inverse_transform(whole).collect()] == ["c", "a"]
+    with pytest.raises(Exception, match="unknown code"):
+        encoder.inverse_transform(spark.createDataFrame([(1.5,)], "y double")).collect()
+
+
+def test_names_of_a_table_dictionary(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "y string")
+    encoder = OneHotEncoder().fit(df, "y", max_listed=1)
+    assert encoder.categories["y"].values is None
+    assert encoder.get_feature_names() == ["x0_a", "x0_b", "x0_c"]
+    assert encoder.get_feature_names(["y"]) == ["y_a", "y_b", "y_c"]
