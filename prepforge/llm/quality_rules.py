@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,34 @@ FEATURES: dict[str, tuple[str, list[float]]] = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def repeated_words(words: Column, width: int = WINDOW) -> Column:
+    """Words in windows of ``width`` words that occur twice or more. Linear but for a sort in texts with repeats."""
+    def covered(ordered: Column) -> Column:
+        same = lambda x, i: F.coalesce(x["window"] == F.get(ordered, i)["window"], F.lit(False))
+        at = F.sort_array(F.transform(F.filter(ordered, lambda x, i: same(x, i - 1) | same(x, i + 1)),
+                                      lambda x: x["at"]))
+        first = F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last"))
+        return F.aggregate(at, first, lambda a, k: F.struct(
+            (a["n"] + F.least(F.lit(width), k - a["last"])).alias("n"), k.alias("last")))["n"]
+
+    def in_windows(windows: Column) -> Column:
+        ordered = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("window"), i.alias("at"))))
+        # only texts with a repeated window need to know which ones
+        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(ordered, covered)).otherwise(0)
+
+    def in_hashes(hashes: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(hashes) - width)
+        window = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])
+        return let(F.transform(starts, window), in_windows)
+
+    return F.when(F.size(words) >= width, let(F.transform(words, lambda w: F.xxhash64(w)), in_hashes)).otherwise(0)
+
+
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and counts of every whole text; no shuffle, no Python.
 
@@ -58,25 +87,8 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
         (F.length(text) - without("!?")).cast("long").alias("n_marks"),
         (F.length(text) - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_capitals"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    h = lambda i, k: F.get("hashes", i + k)
-    starts = F.when(F.size("hashes") >= WINDOW, F.sequence(F.lit(0), F.size("hashes") - WINDOW)).otherwise(
-        F.array().cast("array<int>"))
-    kept = [c for c in rows.columns if c != "hashes"]
-    rows = rows.select(*kept, F.transform(starts, lambda i: F.xxhash64(*[h(i, k) for k in range(WINDOW)])).alias("windows"))
-    # only texts with a repeated window need to know which ones
-    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
-    rows = rows.select(*kept, F.when(repeats, F.sort_array(F.transform("windows", lambda w, i: F.struct(
-        w.alias("window"), i.alias("at"))))).otherwise(
-            F.array().cast("array<struct<window:bigint,at:int>>")).alias("ordered"))
-    near = lambda i, k: F.get("ordered", i + k)["window"]
-    rows = rows.select(*kept, F.sort_array(F.transform(F.filter(
-        "ordered", lambda x, i: F.coalesce(x["window"] == near(i, -1), F.lit(False))
-        | F.coalesce(x["window"] == near(i, 1), F.lit(False))), lambda x: x["at"])).alias("repeated"))
-    first = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
-    covered = F.aggregate("repeated", first, lambda a, at: F.struct(
-        (a["n"] + F.least(F.lit(WINDOW), at - a["last"])).alias("n"), at.alias("last")))["n"]
-    return rows.select(*kept, covered.cast("long").alias("n_repeat_words"))
+        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"))
+    return rows
 
 
 def base_failed() -> Column:
