@@ -65,12 +65,12 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
     return out.drop("cap").join(plan, list(levels))
 
 
-def mixture(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]],
+def mixture(docs: DataFrame, levels: Mapping[str, str], weights: Mapping[str, Mapping[str, int]],
             tokens: Column | None = None, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED,
             id_col: str = "doc_id") -> DataFrame:
     """``doc_id``, the levels, ``tokens, epoch``: one row per use of a document in the mixture.
 
-    ``levels`` name the tree from the root's children to the leaves. A leaf uses
+    ``levels`` name the tree from the root's children to the leaves, as SQL over ``docs``. A leaf uses
     all its documents for as many whole epochs as its budget holds, then, in the
     seeded order of the next epoch, the longest run of documents from the start
     whose tokens fit the rest (none if the rest is 0). The order is that of md5(seed|epoch|id). Documents
@@ -86,7 +86,7 @@ def mixture(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str,
     names = list(levels)
     rows = scratch.write(docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
-        *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
+        *[F.coalesce(F.expr(c).cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
         (n_words() if tokens is None else F.coalesce(tokens, F.lit(0)).cast("bigint")).alias("tokens")))
     leaves = scratch.write(rows.groupBy(*names).agg(F.sum("tokens").alias("supply")))
     total = leaves.agg(F.floor(F.coalesce(F.sum("supply"), F.lit(0)) * F.lit(share)).cast("bigint")).first()[0]

@@ -148,8 +148,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # the tree of the mixture: crawled sources against chosen ones, then language, then source
 CHOSEN = r"^src1[0-9]$"
-LEVELS = {"domain": F.when(F.col("source").rlike(CHOSEN), "chosen").otherwise("crawled"),
-          "language": F.col("lang"), "origin": F.col("source")}
+LEVELS = {"domain": f"CASE WHEN source RLIKE '{CHOSEN}' THEN 'chosen' ELSE 'crawled' END",
+          "language": "lang", "origin": "source"}
 WEIGHTS = {"domain": {"crawled": 6, "chosen": 4}, "language": {"en": 5, "de": 2, "fr": 2, "es": 1}, "origin": {}}
 
 

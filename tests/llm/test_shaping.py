@@ -134,7 +134,7 @@ def test_budgets_share_shortages_among_siblings_first(spark):
 def test_mixture_of_odd_rows(spark):
     rows = ODD + [(100 + i, "w " * (i % 7)) for i in range(90)]
     docs = frame(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
-    levels = {"language": F.col("lang"), "origin": F.col("source")}
+    levels = {"language": "lang", "origin": "source"}
     out = mixing.mixture(docs, levels, {"origin": {"src0": 3}}, share=1.5, epochs=2)
     used = Counter((r["doc_id"], r["epoch"]) for r in out.collect())
     repeats = Counter(i for i, _ in rows)
