@@ -41,7 +41,8 @@ from prepforge.llm.textblocks import blocks
 
 CLASSES = 5             # counts up to this are discounted by Good-Turing
 TAIL = 0.05             # what larger counts give up, so that every history keeps mass for unseen tokens
-TOKENS = 1 << 21        # tokens of a batch
+TOKENS = 1 << 20        # tokens of a batch
+FINER = 2               # buckets per shuffle partition: the memory of a task shrinks with their number
 END, START = np.uint64(1), np.uint64(2)
 
 # numbers kept per text: unseen tokens by unigram count 0..5 and above, seen ones by bigram count 1..5, known, all
@@ -104,7 +105,7 @@ def _batches(buckets: int):
         types = stretches(token, before)
         words = stretches(token[types])
         histories, place = np.unique(before[types], return_inverse=True)
-        gaps = np.diff(text, prepend=np.int64(0))
+        gaps = np.diff(text, prepend=text.dtype.type(0))
         gaps[types] = text[types]
         return packed(token[types][words], np.diff(np.append(words, len(types))).astype("<u4"), histories,
                       place.astype("<u4"), np.diff(np.append(types, len(token))).astype("<u4"),
@@ -141,7 +142,7 @@ def _batches(buckets: int):
                 before[np.concatenate(([0], at[:-1] + 1))] = START
                 tokens.append(token)
                 befores.append(before)
-                texts.append(np.repeat(np.arange(rows, rows + part.rows), np.diff(first) + 1))
+                texts.append(np.repeat(np.arange(rows, rows + part.rows, dtype=np.int32), np.diff(first) + 1))
                 ids.append(batch.column("doc_id").slice(part.first, part.rows))
                 learned.append(np.asarray(batch.column("learn").slice(part.first, part.rows).to_pylist(), dtype=bool))
                 rows, n = rows + part.rows, n + len(token)
@@ -177,9 +178,12 @@ def _count(buckets: int, ids: pa.DataType):
 
     def count(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        out = [("ids", bucket, r["batch"], None, r["ids"], None) for r in table.to_pylist() if r["kind"] == "ids"]
-        data = [(r["batch"], r["block"]) for r in table.select(["kind", "batch", "block"]).to_pylist()
-                if r["kind"] == "bigrams"]
+        kinds, names, ids_ = (table.column(c).to_pylist() for c in ("kind", "batch", "ids"))
+        out = [("ids", bucket, n, None, i, None) for k, n, i in zip(kinds, names, ids_, strict=True) if k == "ids"]
+        held_blocks = table.column("block")
+        data = [(n, held_blocks[at].as_buffer()) for at, (k, n) in enumerate(zip(kinds, names, strict=True))
+                if k == "bigrams"]
+        del ids_
         if not data:
             return _rows(out, ids)
         words, befores, counts = [], [], []
@@ -191,12 +195,14 @@ def _count(buckets: int, ids: pa.DataType):
             counts.append(np.add.reduceat(learned[text].astype(np.int64), starts))
         sizes = [len(w) for w in words]
         word, before, count_ = map(np.concatenate, (words, befores, counts))
+        del words, befores, counts
         order = np.lexsort((before, word))
         word, before = word[order], before[order]
         types = stretches(word, before)
-        inverse = np.empty(len(order), dtype=np.int64)
-        inverse[order] = np.repeat(np.arange(len(types)), np.diff(np.append(types, len(order))))
+        inverse = np.empty(len(order), dtype=np.int32)
+        inverse[order] = np.repeat(np.arange(len(types), dtype=np.int32), np.diff(np.append(types, len(order))))
         both = np.add.reduceat(count_[order], types)                # training count of each bigram
+        del order, count_
         word, before = word[types], before[types]
         firsts = stretches(word)
         one = np.add.reduceat(both, firsts)                         # and of each token
@@ -388,7 +394,7 @@ def katz_scores(docs: DataFrame, learn=None, id_col: str = "doc_id", text_col: s
     kind = texts.schema["doc_id"].dataType
     ids = to_arrow_type(kind)
     fields = FIELDS.format(kind.simpleString())
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = FINER * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = scratch.write(
         texts.mapInArrow(_batches(buckets), fields).groupBy("bucket").applyInArrow(_count(buckets, ids), fields),
         partition_by="kind")
