@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepforge.operators.diagnostics import (
-    class_set, confusion_matrix, residual_histogram, residuals, value_range)
+    class_set, confusion_matrix, confusion_shares, residual_histogram, residuals, value_range)
 from prepforge.operators.metrics import (
     classification_metrics, confusion_cells, regression_metrics, split_metrics)
 from prepforge.operators.ordering import background_sample
@@ -200,6 +200,25 @@ def classes(spark, d):
     return class_set(_guessed(spark, d), "y", "p")
 
 
+@query("confusion_many_classes", """
+    WITH c AS (SELECT l_partkey AS y, (l_partkey + l_linenumber) % 5000 AS p, count(*) AS n FROM lineitem GROUP BY 1, 2)
+    SELECT y, p, n, round(n / sum(n) OVER (PARTITION BY y), 8) + 0.0 AS share FROM c""")
+def confusion_many_classes(spark, d):
+    """Occurring class pairs and shares for as many classes as there are parts."""
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("y"), ((F.col("l_partkey") + F.col("l_linenumber")) % 5000).alias("p"))
+    return confusion_shares(lines, "y", "p").withColumn("share", rounded("share", 8))
+
+
+@query("metrics_binary_absent_label", f"""
+    SELECT count(*) AS n, round(avg((y = p)::INT), 8) + 0.0 AS accuracy,
+           0.0::DOUBLE AS "precision", 0.0::DOUBLE AS recall, 0.0::DOUBLE AS f1 FROM ({_GUESSED})""")
+def metrics_binary_absent_label(spark, d):
+    """Text labels and the default positive label 1, which none of them is."""
+    out = classification_metrics(_guessed(spark, d), "y", "p")
+    return out.withColumn("accuracy", rounded("accuracy", 8))
+
+
 # charts ----------------------------------------------------------------------
 
 @query("residual_points", f"""

@@ -12,7 +12,7 @@ from prepforge.operators.ordering import latest_per_key
 from prepforge.plans.catalog import DatasetCatalog
 from prepforge.plans.registry import list_versions
 from prepforge.queries.base import query, rounded, table
-from prepforge.session import scratch_path
+from prepforge.session import scratch_path, small_frame
 
 # fingerprints --------------------------------------------------------------------
 
@@ -24,12 +24,15 @@ def dataset_fingerprint(spark, d):
 
 def _marks(spark, d):
     """The orders table reordered, changed in one row per customer, and with a pair added."""
-    orders = table(spark, d, "orders").drop("o_orderdate")
+    orders = table(spark, d, "orders")
     null_key = F.lit(None).cast("bigint")
     return {
         "reordered": orders.repartition(7, "o_custkey").sortWithinPartitions(F.col("o_totalprice").desc()),
         "one_cell_edited": orders.withColumn("o_totalprice", F.when(
             F.col("o_orderkey") == 1, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice"))),
+        "one_second_later": orders.withColumn("o_orderdate", F.when(
+            F.col("o_orderkey") == 1, F.col("o_orderdate") + F.expr("INTERVAL 1 SECOND"))
+            .otherwise(F.col("o_orderdate"))),
         "pair_added": orders.unionByName(orders.where("o_orderkey = 2")).unionByName(
             orders.where("o_orderkey = 2")),
         "null_moved": orders.withColumns({
@@ -38,25 +41,28 @@ def _marks(spark, d):
 
 
 @query("fingerprint_equality", """
-    WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders),
-    e AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey = 1 THEN o_totalprice + 0.01
-          ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM o),
+    WITH o AS (SELECT * FROM orders),
+    e AS (SELECT * REPLACE (CASE WHEN o_orderkey = 1 THEN o_totalprice + 0.01
+          ELSE o_totalprice END AS o_totalprice) FROM o),
+    t AS (SELECT * REPLACE (CASE WHEN o_orderkey = 1 THEN o_orderdate + INTERVAL 1 SECOND
+          ELSE o_orderdate END AS o_orderdate) FROM o),
     p AS (SELECT * FROM o UNION ALL SELECT * FROM o WHERE o_orderkey = 2
           UNION ALL SELECT * FROM o WHERE o_orderkey = 2),
-    m AS (SELECT CASE WHEN o_orderkey <> 3 THEN o_orderkey END AS o_orderkey, o_custkey, o_orderstatus,
-          o_totalprice, o_orderpriority FROM o),
+    m AS (SELECT * REPLACE (CASE WHEN o_orderkey <> 3 THEN o_orderkey END AS o_orderkey) FROM o),
     r AS (SELECT * FROM o ORDER BY o_totalprice DESC)
     SELECT 'reordered' AS variant, (SELECT count(*) FROM (FROM o EXCEPT ALL FROM r)) +
         (SELECT count(*) FROM (FROM r EXCEPT ALL FROM o)) = 0 AS same
     UNION ALL SELECT 'one_cell_edited', (SELECT count(*) FROM (FROM o EXCEPT ALL FROM e)) +
         (SELECT count(*) FROM (FROM e EXCEPT ALL FROM o)) = 0
+    UNION ALL SELECT 'one_second_later', (SELECT count(*) FROM (FROM o EXCEPT ALL FROM t)) +
+        (SELECT count(*) FROM (FROM t EXCEPT ALL FROM o)) = 0
     UNION ALL SELECT 'pair_added', (SELECT count(*) FROM (FROM o EXCEPT ALL FROM p)) +
         (SELECT count(*) FROM (FROM p EXCEPT ALL FROM o)) = 0
     UNION ALL SELECT 'null_moved', (SELECT count(*) FROM (FROM o EXCEPT ALL FROM m)) +
         (SELECT count(*) FROM (FROM m EXCEPT ALL FROM o)) = 0""")
 def fingerprint_equality(spark, d):
     """Equal fingerprints exactly where the tables hold the same rows."""
-    whole = fingerprint_frame(table(spark, d, "orders").drop("o_orderdate")).first()["fingerprint"]
+    whole = fingerprint_frame(table(spark, d, "orders")).first()["fingerprint"]
     out = None
     for name, frame in _marks(spark, d).items():
         one = fingerprint_frame(frame).select(
@@ -123,6 +129,39 @@ def catalog_sql(spark, d):
         FROM _2024_customers JOIN nations ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY n_name""")
 
 
+@query("catalog_two_roots", """
+    SELECT 'first' AS root, count(*) AS n, round(sum(c_acctbal), 2) + 0.0 AS balance FROM customer
+    UNION ALL SELECT 'second', count(*), round(sum(s_acctbal), 2) + 0.0 FROM supplier""")
+def catalog_two_roots(spark, d):
+    """The same name in two catalogs of one session: each answers from its own data."""
+    one, two = (DatasetCatalog(spark, scratch_path(spark, "catalog")) for _ in range(2))
+    one.register(table(spark, d, "customer").selectExpr("c_acctbal AS balance"), "parties")
+    two.register(table(spark, d, "supplier").selectExpr("s_acctbal AS balance"), "parties")
+    ask = "SELECT '{}' AS root, count(*) AS n, round(sum(balance), 2) AS balance FROM parties"
+    return one.query(ask.format("first")).unionByName(two.query(ask.format("second")))
+
+
+@query("catalog_load", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders")
+def catalog_load(spark, d):
+    """Some columns of a registered dataset."""
+    catalog = DatasetCatalog(spark, scratch_path(spark, "catalog"))
+    catalog.register(table(spark, d, "orders"), "orders")
+    return catalog.load("orders", ["o_orderkey", "o_orderdate", "o_totalprice"])
+
+
+@query("catalog_info", """
+    SELECT '2024-customers' AS name, 'parquet' AS file_type, count(*) AS row_count, 5 AS columns,
+           round(avg(c_acctbal), 4) + 0.0 AS mean, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer""")
+def catalog_info(spark, d):
+    found = _catalog(spark, d).info("2024-customers")
+    stats = found["statistics"]["c_acctbal"]
+    row = {"name": found["name"], "file_type": found["file_type"], "row_count": found["row_count"],
+           "columns": len(found["column_names"]), "mean": round(stats["mean"], 4),
+           "low": float(stats["min"]), "high": float(stats["max"])}
+    return small_frame(spark, [row], "name string, file_type string, row_count bigint, columns int, "
+                                     "mean double, low double, high double")
+
+
 @query("catalog_load_multiple", """
     SELECT count(*) AS n, round(sum(balance), 2) + 0.0 AS balance FROM (
         SELECT c_acctbal AS balance FROM customer UNION ALL SELECT s_acctbal FROM supplier)""")

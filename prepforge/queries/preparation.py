@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from prepforge.functions.columns import view_name, without_nan
@@ -123,6 +125,19 @@ def retype_all_text(spark, d):
     return retype_strings(text)
 
 
+@query("prep_roundtrip_types", f"""
+    SELECT {KEYS}, dense_rank() OVER (ORDER BY l_quantity) - 1 AS quantity,
+           dense_rank() OVER (ORDER BY CAST(l_shipdate AS DATE)) - 1 AS day FROM lineitem""")
+def prep_roundtrip_types(spark, d):
+    """Dictionaries of decimals and dates, applied after a trip through JSON."""
+    out = table(spark, d, "lineitem").select(
+        *KEY, F.col("l_quantity").cast("decimal(10,2)").alias("quantity"), F.to_date("l_shipdate").alias("day"))
+    for c in ("quantity", "day"):
+        saved = json.dumps(LabelEncoder().fit(out, c).to_dict())
+        out = LabelEncoder.from_dict(json.loads(saved)).transform(out)
+    return out
+
+
 @query("nan_counts_as_missing", f"""
     SELECT l_returnflag, count(price) AS present, round(avg(price), 4) + 0.0 AS mean
     FROM (SELECT l_returnflag, {GAPPY_PRICE} AS price FROM lineitem) GROUP BY l_returnflag""")

@@ -158,3 +158,14 @@ def test_fingerprint_of_special_values(spark):
     assert fingerprint(null) != fingerprint(null.limit(0))
     maps = spark.sql("SELECT map('a', 1, 'b', 2) AS m")
     assert fingerprint(maps) == fingerprint(spark.sql("SELECT map('b', 2, 'a', 1) AS m"))
+
+
+def test_two_catalogs_and_failing_queries(spark, root):
+    one, two = DatasetCatalog(spark, f"{root}/one"), DatasetCatalog(spark, f"{root}/two")
+    one.register(spark.range(3), "lines")
+    two.register(spark.range(7), "lines")
+    assert one.query("SELECT * FROM lines").count() == 3 and two.query("SELECT * FROM lines").count() == 7
+    with pytest.raises(DataError):
+        one.rows("SELECT raise_error('no') FROM lines")
+    with pytest.raises(DataError):
+        one.query("SELECT nothing FROM lines")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prepforge.errors import DuplicateDataError, RegistryError, TrainingError
+from prepforge.errors import DuplicateDataError, InferenceError, RegistryError, TrainingError
 from prepforge.models.linear import LinearModel
 from prepforge.plans.catalog import DatasetCatalog
 from prepforge.plans.registry import ModelRegistry
@@ -220,3 +220,16 @@ def test_delete_cuts_children_and_history(registry):
     assert registry.duplicate_datasets(child["version"], {"d": "h"}) == []
     with pytest.raises(RegistryError):
         registry.delete("1.0.0")
+
+
+def test_records_have_the_stored_types(spark):
+    from prepforge.plans.scoring import records_frame
+
+    types = {"a": "bigint", "b": "double", "c": "string"}
+    rows = records_frame(spark, [{"a": 1, "b": 2}, {"a": None, "c": "x", "d": 1}, {"b": None, "d": 2.5, "e": None}], types)
+    assert dict(rows.dtypes) == {"__row": "bigint", "a": "bigint", "b": "double", "c": "string", "d": "double", "e": "double"}
+    assert [tuple(r)[1:] for r in rows.orderBy("__row").collect()] == [
+        (1, 2.0, None, None, None), (None, None, "x", 1.0, None), (None, None, None, 2.5, None)]
+    assert dict(records_frame(spark, [{"a": 1}, {"a": 2.5}], types).dtypes)["a"] == "double"
+    with pytest.raises(InferenceError):
+        records_frame(spark, [{"b": "many"}], types)
