@@ -200,7 +200,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Q
     classes the network stays as initialised, with the shift of what there is.
     """
     spark = docs.sparkSession
-    known = (only(labels, doc_id="doc_id", label=label).where("doc_id IS NOT NULL AND label IS NOT NULL")
+    known = (only(labels, doc_id="doc_id", label=label).where("doc_id IS NOT NULL AND label IN (0, 1)")
              .groupBy("doc_id").agg(F.min("label").alias("label")).where(fold("doc_id", 3) != 1))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = counts.get(1, 0), counts.get(0, 0)

@@ -40,14 +40,14 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
     out = leaves.withColumn("cap", F.col("supply") * F.lit(epochs).cast("bigint"))
     for level in levels:
         out = out.withColumn("cap", F.when(weight(level) > 0, F.col("cap")).otherwise(F.lit(0).cast("bigint")))
-    plan = out.groupBy(F.lit(0).alias("root")).agg(F.sum("cap").alias("cap")).select(
-        F.least(total, F.col("cap")).alias("budget"))
+    plan: DataFrame | None = None
     parents: list[str] = []
     for level in levels:
         path = [*parents, level]
         nodes = out.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("weight", weight(level))
-        nodes = nodes.join(plan, parents) if parents else nodes.join(F.broadcast(plan))
         family = W.partitionBy(*[F.col(p) for p in parents] or [F.lit(0)])
+        nodes = (nodes.withColumn("budget", F.least(total, F.sum("cap").over(family))) if plan is None
+                 else nodes.join(plan, parents))
         by_need = family.orderBy(F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(-1.0)),
                                  level).rowsBetween(W.unboundedPreceding, W.currentRow)
         nodes = (nodes

@@ -182,7 +182,7 @@ def learn_rules(statistics: DataFrame, labels: DataFrame, label: str = "quality"
     from all labelled rows: each step is one aggregate over narrow rows.
     """
     scratch = Scratch(statistics.sparkSession, "rules")
-    known = (only(labels, doc_id="doc_id", label=label).where("doc_id IS NOT NULL AND label IS NOT NULL")
+    known = (only(labels, doc_id="doc_id", label=label).where("doc_id IS NOT NULL AND label IN (0, 1)")
              .groupBy("doc_id").agg(F.min("label").alias("label")))
     rows = scratch.write(
         statistics.join(known, "doc_id").where((fold("doc_id", 3) != 1) & ~base_failed())

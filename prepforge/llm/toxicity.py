@@ -149,7 +149,7 @@ def _evidence(segments: list[tuple[int, int, float]], words: int, rate: float, s
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """At most SAMPLE labelled documents: ``text, label, part``; a quarter, part 0, calibrates, the rest teaches."""
-    known = (only(labels, doc_id="doc_id", label=label).where("doc_id IS NOT NULL AND label IS NOT NULL")
+    known = (only(labels, doc_id="doc_id", label=label).where("doc_id IS NOT NULL AND label IN (0, 1)")
              .groupBy("doc_id").agg(F.max("label").alias("label"))
              .where(fold("doc_id", 3) != 1).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))

@@ -51,6 +51,9 @@ def test_stages(spark, tables):
     assert 0.3 * tokens(kept["near_dedup"]) < tokens(kept["mixing"]) <= 0.9 * tokens(kept["near_dedup"])
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert {x["doc_id"] for x in packed} == {i for i, _ in kept["mixing"]}
+    whole = corpus_pipeline.run(spark, folder).select("doc_id", "piece", "length", "ids_crc32").collect()
+    assert Counter(map(tuple, whole)) == Counter(
+        (x["doc_id"], x["piece"], x["length"], x["ids_crc32"]) for x in packed)
 
 
 def test_empty_table(spark, tables):
