@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import DATA, connect, differences
+from prepforge.queries import ORACLES, QUERIES
 
 SF_DIR = f"{DATA}/sf0.001"
 
@@ -13,10 +14,10 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    frame = entry.queries()[name](spark, SF_DIR)
-    sql = entry.oracle_sql().get(name)
+    frame = QUERIES[name](spark, SF_DIR)
+    sql = ORACLES.get(name)
     if sql is None:
         assert frame.count() > 0
     else:
