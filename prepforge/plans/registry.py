@@ -6,7 +6,7 @@ import json
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,10 +68,18 @@ class ModelRegistry:
             if newest is None:
                 return "1.0.0"
             base = newest
-        while True:
-            base = bumped(base, increment)
-            if current.where(F.col("version") == base).isEmpty():
-                return base
+        wanted = [int(x) for x in bumped(base, increment).split(".")]
+        at = ("major", "minor", "patch").index(increment)
+        # how many numbers from the wanted one on are taken without a gap
+        parts = F.split("version", r"\.")
+        numbers = [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(3)]
+        alike = F.size(parts) == 3
+        for i, number in enumerate(numbers):
+            alike = alike & (number >= wanted[i] if i == at else number == wanted[i])
+        taken = current.where(alike).select(numbers[at].alias("n")).distinct()
+        place = F.row_number().over(Window.orderBy("n")) + F.lit(wanted[at] - 1)
+        wanted[at] += taken.select((F.col("n") == place).alias("run")).agg(F.count_if("run")).first()[0]
+        return ".".join(map(str, wanted))
 
     def save(self, model, model_type: str, metrics: dict[str, float],
              preprocessor: PreprocessingPipeline | None = None,
@@ -138,15 +146,16 @@ class ModelRegistry:
     def delete(self, version: str, delete_files: bool = True) -> None:
         """Children lose their parent, the version's history rows go with it."""
         found = self.get(version)
-        if delete_files:
-            remove_path(self.spark, found["path"])
         orphans = self.models().where(F.col("parent") == version)
         if not orphans.isEmpty():
             self.log.append_frame(orphans.withColumn("parent", F.lit(None).cast("string")))
         used = self.history_log.current().where(F.col("version") == version)
         if not used.isEmpty():
             self.history_log.append_frame(used, deleted=True)
+        # the marker first: a crash in between leaves files without a row, not a row without files
         self.log.delete(F.col("version") == version)
+        if delete_files:
+            remove_path(self.spark, found["path"])
 
     # lineage -----------------------------------------------------------------
     def _start(self, version: str) -> DataFrame:
