@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepforge.llm.tables import Scratch, only
-from prepforge.llm.textblocks import SPACE, Block, blocks, powers
-from prepforge.llm import textblocks
+from prepforge.llm.textblocks import SPACE, Block, blocks
 
 ROLLING = 48            # bytes that decide whether a chunk ends after them
 LEAST, MOST = 256, 8192  # bytes of a chunk (the last of a text may be shorter)
@@ -37,9 +36,7 @@ def cut_points(block: Block) -> np.ndarray:
     n = len(block.data)
     if n < ROLLING:
         return np.empty(0, dtype=np.int64)
-    forth, back = powers(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(textblocks._BYTE[block.data] * forth[:n], out=total[1:])
+    total, back = block.running()
     rolled = (total[ROLLING:] - total[:-ROLLING]) * back[:n - ROLLING + 1]
     return np.flatnonzero(rolled >> np.uint64(64 - AVERAGE_BITS) == 0) + ROLLING
 

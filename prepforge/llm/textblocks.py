@@ -84,11 +84,16 @@ class Block:
         starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)
         return starts, ends, np.searchsorted(starts, self.bounds)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """One 64-bit hash per span, equal for equal bytes wherever they stand."""
+    def running(self) -> tuple[np.ndarray, np.ndarray]:
+        """Running polynomial total of the bytes, and what takes the place out of a difference of two."""
         forth, back = powers(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[self.data] * forth[:len(self.data)], out=total[1:])
+        return total, back
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """One 64-bit hash per span, equal for equal bytes wherever they stand."""
+        total, back = self.running()
         return mixed((total[ends] - total[starts]) * back[starts])
 
 
