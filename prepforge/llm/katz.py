@@ -331,6 +331,8 @@ def _back_off(ids: pa.DataType):
             out.append(("weights", rows[0]["bucket"], None, packed(before, weight, count), None, None))
         else:
             before, weight, count = np.empty(0, "<u8"), np.empty(0), np.empty(0, "<i8")
+        number: dict[str, int] = {}
+        batches, texts, adds = [], [], []
         for r in rows:
             if r["kind"] != "open":
                 continue
@@ -339,11 +341,20 @@ def _back_off(ids: pa.DataType):
             known = before[place] == wanted if len(before) else np.zeros(len(wanted), dtype=bool)
             add = np.zeros(len(wanted))
             add[known] = np.log10(weight[place[known]] * count[place[known]])
-            names = r["batch"].split("|")
-            for i in np.unique(batch).tolist():
-                held, row = np.unique(text[batch == i], return_inverse=True)
-                out.append(("backed", r["bucket"], names[i], packed(
-                    held.astype("<u4"), np.bincount(row, weights=add[batch == i])), None, None))
+            own = np.array([number.setdefault(n, len(number)) for n in r["batch"].split("|")], dtype=np.int64)
+            batches.append(own[batch])
+            texts.append(text)
+            adds.append(add)
+        if batches:                                     # one row per batch, whatever buckets its tokens came from
+            batch, text, add = map(np.concatenate, (batches, texts, adds))
+            order = np.lexsort((text, batch))
+            batch, text, add = batch[order], text[order], add[order]
+            at = stretches(batch, text)
+            batch, text, add = batch[at], text[at], np.add.reduceat(add, at) if len(at) else add
+            names, firsts = list(number), stretches(batch)
+            for s, e in zip(firsts, np.append(firsts[1:], len(batch)), strict=True):
+                out.append(("backed", rows[0]["bucket"], names[batch[s]], packed(
+                    text[s:e].astype("<u4"), add[s:e]), None, None))
         return _rows(out, ids)
     return weigh
 
