@@ -20,7 +20,7 @@ from prepforge.llm.textblocks import blocks
 
 LENGTH = 2048           # tokens of a sequence
 SHARD = 4096            # pieces that are packed together; loses less than one sequence per shard
-EFFORT = 1_000          # search steps per shard after which the best packing found stands
+EFFORT = 1_000          # fillings taken back or refused per shard after which the best packing found stands
 FILLINGS = 6            # fillings tried per bin, least waste first
 
 # fixed values: how a byte-level tokenizer splits text, and the order of bytes in its printable alphabet
@@ -123,16 +123,15 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def fewest_bins(lengths: list[int], capacity: int) -> int:
     """A lower bound: total length, sharpened by lengths over half a bin and what cannot join them."""
-    ordered = sorted(lengths, reverse=True)
-    total = sum(ordered)
-    best = -(-total // capacity)
-    large = [x for x in ordered if 2 * x > capacity]
-    for least in sorted({x for x in ordered if 2 * x <= capacity})[:64]:
-        full = [x for x in large if x + least > capacity]
-        rest = sum(x for x in ordered if x >= least) - sum(full)
-        half = len(large) - len(full)
-        best = max(best, len(full) + max(half, -(-rest // capacity)))
-    return max(best, len(large))
+    ordered = np.sort(np.array(lengths, dtype=np.int64))
+    upto = np.concatenate([[0], np.cumsum(ordered)])                        # total of the first k lengths
+    large = len(ordered) - np.searchsorted(2 * ordered, capacity, "right")
+    least = np.unique(ordered[2 * ordered <= capacity])
+    full = np.searchsorted(ordered, capacity - least, "right")              # from here on alone in their bins
+    rest = upto[full] - upto[np.searchsorted(ordered, least, "left")]
+    alone = len(ordered) - full
+    bounds = alone + np.maximum(large - alone, -(-rest // capacity))
+    return int(max([-(-upto[-1] // capacity), large, *bounds]))
 
 
 def fillings(counts: dict[int, int], sizes: list[int], room: int, limit: int = FILLINGS,
@@ -169,7 +168,10 @@ def bin_completion(lengths: list[int], capacity: int = LENGTH, effort: int = EFF
     Best-fit decreasing is the first incumbent. If it uses more bins than the
     lower bound, bins are completed one by one around the largest remaining
     length, by the undominated fillings in order of waste. A branch ends when
-    its waste so far leaves no room for fewer bins than the incumbent.
+    its waste so far leaves no room for fewer bins than the incumbent. Only
+    fillings that are taken back or refused count as ``effort``: however many
+    bins there are, the first descent goes on until it has placed every length
+    or wasted too much to be better.
     """
     incumbent = best_fit(lengths, capacity)
     bound = fewest_bins(lengths, capacity)
@@ -181,7 +183,7 @@ def bin_completion(lengths: list[int], capacity: int = LENGTH, effort: int = EFF
         counts[x] = counts.get(x, 0) + 1
     sizes = sorted(counts, reverse=True)
     path: list[list[int]] = []
-    wasted = 0
+    wasted, left = 0, len(lengths)
     choices: list[list[list[int]]] = []
 
     def open_bin() -> None:
@@ -194,10 +196,11 @@ def bin_completion(lengths: list[int], capacity: int = LENGTH, effort: int = EFF
 
     open_bin()
     while choices and effort > 0 and len(incumbent) > bound:
-        effort -= 1
         if len(path) == len(choices):                       # come back from below: undo this level's bin
+            effort -= 1
             undone = path.pop()
             wasted -= capacity - sum(undone)
+            left += len(undone)
             for x in undone:
                 counts[x] += 1
         if not choices[-1]:
@@ -205,12 +208,14 @@ def bin_completion(lengths: list[int], capacity: int = LENGTH, effort: int = EFF
             continue
         filling = choices[-1].pop()
         if wasted + capacity - sum(filling) > (len(incumbent) - 1) * capacity - total:
+            effort -= 1
             continue
         for x in filling:
             counts[x] -= 1
         path.append(filling)
         wasted += capacity - sum(filling)
-        if not any(counts.values()):
+        left -= len(filling)
+        if not left:
             incumbent = [list(b) for b in path]
             continue
         open_bin()

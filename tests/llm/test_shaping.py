@@ -74,6 +74,28 @@ def test_packing_search():
     assert bin_completion([], 10) == []
 
 
+def test_search_places_a_full_shard():
+    lengths = [853] * 1365 + [683] * 1365 + [512] * 1366      # 4,096 pieces; one of each fills a sequence
+    found = bin_completion(lengths)
+    assert sorted(x for b in found for x in b) == sorted(lengths) and max(map(sum, found)) <= 2048
+    assert len(best_fit(lengths, 2048)) == 1536 and len(found) == fewest_bins(lengths, 2048) == 1366
+
+
+def test_bound_looks_at_every_threshold():
+    def slow(lengths, capacity):
+        return max([-(-sum(lengths) // capacity), *[
+            len(full) + max(len(half), -(-(sum(x for x in lengths if x >= least) - sum(full)) // capacity))
+            for least in range(capacity // 2 + 1)
+            for full in [[x for x in lengths if x + least > capacity and 2 * x > capacity]]
+            for half in [[x for x in lengths if 2 * x > capacity and x + least <= capacity]]]])
+    r = rng(9)
+    for _ in range(60):
+        lengths = [r.choice([r.randrange(1, 99), r.randrange(30, 70)]) for _ in range(r.randrange(1, 40))]
+        assert fewest_bins(lengths, 100) == slow(lengths, 100)
+    late = [*range(1, 65), *[401] * 100, *[600] * 100]                   # the 65th threshold decides
+    assert fewest_bins(late, 1000) == slow(late, 1000) == 141
+
+
 def test_fillings_leave_no_room():
     ways = fillings({5: 1, 3: 2, 2: 1}, [5, 3, 2], 8)
     assert ways[0] in ((5, 3), (3, 3, 2)) and all(sum(w) <= 8 for w in ways)
