@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +22,7 @@ LENGTH = 2048           # tokens of a sequence
 SHARD = 4096            # pieces that are packed together; loses less than one sequence per shard
 EFFORT = 1_000          # fillings taken back or refused per shard after which the best packing found stands
 FILLINGS = 6            # fillings tried per bin, least waste first
+LOOKS = 400             # fillings looked at for them, dominated ones included
 
 # fixed values: how a byte-level tokenizer splits text, and the order of bytes in its printable alphabet
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -135,31 +136,78 @@ def fewest_bins(lengths: list[int], capacity: int) -> int:
 
 
 def fillings(counts: dict[int, int], sizes: list[int], room: int, limit: int = FILLINGS,
-             looks: int = 400) -> list[tuple[int, ...]]:
+             looks: int = LOOKS, most: int | None = None) -> list[tuple[int, ...]]:
     """Undominated ways to fill ``room``, least waste first.
 
     A filling is dominated when a remaining length still fits beside it, or in
-    place of one of its own lengths with less waste; only fillings that take the
-    largest lengths first and leave no such room are enumerated.
+    place of one of its own lengths with less waste. The sums that lengths can
+    reach are known before any filling is looked at, so that the least waste is
+    always found, whatever its partners are. Fillings of equal waste come one
+    per largest partner, then the second of each, and so on. The list ends after
+    ``limit`` fillings, ``looks`` of any kind, or at a waste over ``most``.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    smallest = sizes[-1] if sizes else room + 1
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and looks:
-        looks -= 1
-        at, left, taken = stack.pop()
-        while at < len(sizes) and (sizes[at] > left or counts[sizes[at]] <= taken.count(sizes[at])):
-            at += 1
-        if at == len(sizes):
-            if left < smallest or not any(
-                    s <= left and counts[s] > taken.count(s) for s in sizes):
-                heapq.heappush(found, (left, taken))
-                if not left:
-                    break
+    fits = [s for s in sizes if s <= room and counts[s]]
+    rising = fits[::-1]
+
+    def reached(end: int) -> list[int]:
+        """Bit t of number i: some of ``fits[i:end]`` are t tokens together."""
+        below, whole = [1], (2 << room) - 1
+        for s in reversed(fits[:end]):
+            sums, n, step = below[-1], counts[s], 1
+            if sums == whole:
+                break
+            while n > 1 and step * s <= room:
+                many = min(n - 1, step)
+                sums |= sums << many * s
+                n, step = n - many, 2 * step
+            below.append((sums | sums << s) & whole)
+        return below[::-1] if len(below) > end else [whole] * (end + 1 - len(below)) + below[::-1]
+
+    def exact(at: int, left: int, upto: int) -> Iterator[tuple[int, ...]]:
+        """Those of ``fits[at:end]`` whose largest length is one of ``fits[at:upto]``."""
+        if not left:
+            yield ()
+            return
+        for k in range(max(at, len(fits) - bisect_right(rising, left)), upto):
+            if not below[k] >> left & 1:
+                return
+            s = fits[k]
+            for n in range(min(counts[s], left // s) if counts[s] > 1 else 1, 0, -1):
+                if below[k + 1] >> (left - n * s) & 1:
+                    for rest in exact(k + 1, left - n * s, end):
+                        yield (s,) * n + rest
+
+    def replaceable(taken: tuple[int, ...], waste: int) -> bool:
+        return any(counts[s] > taken.count(s) for x in set(taken)
+                   for s in rising[bisect_right(rising, x):bisect_right(rising, x + waste)])
+
+    found: list[tuple[int, ...]] = []
+    end, below, beside = len(fits), reached(len(fits)), ()
+    for waste in range(min(room, room if most is None else most) + 1):
+        if end and fits[end - 1] <= waste:                  # lengths that would fit beside it are all in it
+            end = len(fits) - bisect_right(rising, waste)
+            below, beside = reached(end), tuple(s for s in fits[end:] for _ in range(counts[s]))
+        left = room - waste - sum(beside)
+        if left < 0:
+            break
+        if not below[0] >> left & 1:
             continue
-        stack.append((at + 1, left, taken))                               # without this length
-        stack.append((at, left - sizes[at], (*taken, sizes[at])))         # with it: looked at first
-    return [taken for _, taken in heapq.nsmallest(limit, found)]
+        ways = (exact(at, left, at + 1) for at in range(len(fits) - bisect_right(rising, left), end)) \
+            if left else [exact(end, 0, end)]
+        while ways:
+            open_ = []
+            for way in ways:
+                taken = next(way, None)
+                if taken is None:
+                    continue
+                open_.append(way)
+                looks -= 1
+                if not waste or not replaceable(taken + beside, waste):
+                    found.append(taken + beside)
+                if len(found) == limit or not looks:
+                    return found
+            ways = open_
+    return found
 
 
 def bin_completion(lengths: list[int], capacity: int = LENGTH, effort: int = EFFORT) -> list[list[int]]:
@@ -190,7 +238,8 @@ def bin_completion(lengths: list[int], capacity: int = LENGTH, effort: int = EFF
         first = next(s for s in sizes if counts[s])
         counts[first] -= 1
         rest = [s for s in sizes if counts[s]]
-        ways = [[first, *w] for w in fillings(counts, rest, capacity - first)] or [[first]]
+        spare = (len(incumbent) - 1) * capacity - total - wasted
+        ways = [[first, *w] for w in fillings(counts, rest, capacity - first, most=spare)]
         counts[first] += 1
         choices.append(ways[::-1])
 

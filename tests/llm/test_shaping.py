@@ -101,6 +101,35 @@ def test_fillings_leave_no_room():
     assert ways[0] in ((5, 3), (3, 3, 2)) and all(sum(w) <= 8 for w in ways)
 
 
+def undominated(counts, room):
+    """Every filling that no remaining length can join, or replace one of its own with less waste."""
+    ways = [()]
+    for x, n in sorted(counts.items(), reverse=True):
+        ways = [w + (x,) * k for w in ways for k in range(n + 1) if sum(w) + k * x <= room]
+    left = lambda w: [x for x, n in counts.items() if n > w.count(x)]
+    return {w for w in ways if not any(
+        x <= room - sum(w) or any(y < x <= y + room - sum(w) for y in w) for x in left(w))}
+
+
+def test_fillings_are_the_undominated_ones():
+    assert fillings({5: 1, 4: 1, 3: 1}, [5, 4, 3], 6) == [(5,)]          # five in place of four or three
+    r = rng(11)
+    for _ in range(200):
+        counts = {x: r.randrange(1, 4) for x in r.sample(range(1, 30), r.randrange(1, 7))}
+        sizes, room = sorted(counts, reverse=True), r.randrange(60)
+        ways = fillings(counts, sizes, room, 10 ** 6, -1)
+        assert set(ways) == undominated(counts, room) and len(set(ways)) == len(ways)
+        assert ways == sorted(ways, key=lambda w: -sum(w))
+        assert fillings(counts, sizes, room, most=3) == [
+            w for w in fillings(counts, sizes, room) if room - sum(w) <= 3]
+
+
+def test_the_best_partner_is_seen():
+    sizes = [*range(900, 858, -2), 858, *range(856, 777, -2), 777, *range(776, 400, -2)]
+    ways = fillings(dict.fromkeys(sizes, 1), sizes, 1635)                # odd, and 777 is the one odd length
+    assert ways[0] == (858, 777) and len(ways) == 6 and all(sum(w) >= 1634 for w in ways)
+
+
 def test_packed_sequences(spark):
     from tokenizers import Tokenizer
 
