@@ -60,14 +60,23 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id has a decision ``kept``, in the columns of ``docs``.
 
-    A null id matches a null id. Rows that repeat a kept id stay once per text,
-    so that no decision leaves the same document twice.
+    Rows that repeat a kept id stay once per text, so that no decision leaves
+    the same document twice. A null id matches a null id, and its text too where
+    decisions carry ``text_sha256``; such rows stay once per text, whose runs of
+    white space count as one space.
     """
-    key, n = fresh("kept_id", docs.columns), fresh("kept_n", docs.columns)
+    key, n, digest = (fresh(name, docs.columns) for name in ("kept_id", "kept_n", "kept_sha256"))
+    columns = [f"`{c}`" for c in docs.columns]
     kept = decisions.where("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(n))
     found = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept[key]))
-    more = F.col(key).isNotNull() & (F.col(n) > 1)
-    if kept.where(more).isEmpty():
-        return found.select(*[f"`{c}`" for c in docs.columns])
-    once = found.where(more).dropDuplicates([id_col, text_col])
-    return found.where(~more).unionByName(once).select(*[f"`{c}`" for c in docs.columns])
+    nameless, more = F.col(key).isNull(), F.col(n) > 1
+    if kept.where(nameless | more).isEmpty():
+        return found.select(*columns)
+    once = found.where(~nameless & more).dropDuplicates([id_col, text_col])
+    plain = F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    alone = found.where(nameless).withColumn(digest, F.sha2(plain.cast("binary"), 256))
+    if "text_sha256" in decisions.columns:
+        known = decisions.where("kept AND doc_id IS NULL").select(F.col("text_sha256").alias(digest)).distinct()
+        alone = alone.join(known, digest, "left_semi")
+    rows = [found.where(~nameless & ~more), once, alone.dropDuplicates([digest])]
+    return rows[0].select(*columns).unionByName(rows[1].select(*columns)).unionByName(rows[2].select(*columns))

@@ -144,3 +144,16 @@ def test_rows_keep_their_other_columns(spark):
         {(1, None): 1, (3, " \t\n"): 1, (4, "one"): 1, (5, "two words"): 1, (7, "x" * 300_000): 1,
          (8, "a b c d e " * 4000): 1, (9, "ÄÖ \u3000 é\x1c q"): 1})
     assert collected(kept)[4]["kept"] == "x"
+
+
+def test_null_ids_stay_once_per_text(spark):
+    from prepforge.llm.tables import keep_rows
+
+    rows = ODD + [(None, "no id")] * 30 + [(None, "no \t\n id")] * 5 + [(None, "another")]
+    docs = frame(spark, rows)
+    exact = keep_rows(docs, exact_duplicates(docs)).collect()
+    assert Counter(" ".join(words(x["text"])) for x in exact if x["doc_id"] is None) == {"no id": 1, "another": 1}
+    assert {x["doc_id"] for x in exact} == {None, 1, 3, 4, 5, 7, 8, 9}
+    near = keep_rows(docs, near_duplicates(docs)).collect()
+    assert Counter(" ".join(words(x["text"])) for x in near if x["doc_id"] is None) == {
+        "no id": 1, "another": 1, "two words": 1, "": 1}
