@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepforge.llm import mixing
+from prepforge.llm.alignment import align_tokens
 from prepforge.llm.byte_cnn import fit_quality, score_quality
 from prepforge.llm.chat import format_chats, read_back
 from prepforge.llm.chunk_dedup import exact_duplicates
@@ -248,3 +249,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = katz_scores(table(spark, sf_dir, "documents"))
     return scores.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
                          "train_tokens", "base_score", "score")
+
+
+def alignment_digest(documents: DataFrame) -> DataFrame:
+    """The numbers of ``align_tokens``, and a digest of the written groups."""
+    return documents.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.when(
+        F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("groups_sha256"))
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment_digest(align_tokens(
+        table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")),
+        str(public_tokenizers.path("piece_bpe_32k.model"))).documents)
