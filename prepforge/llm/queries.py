@@ -13,6 +13,7 @@ from prepforge.llm.byte_cnn import fit_quality, score_quality
 from prepforge.llm.chat import format_chats, read_back
 from prepforge.llm.chunk_dedup import exact_duplicates
 from prepforge.llm.katz import katz_scores
+from prepforge.llm.language_id import fit_languages, predict_language
 from prepforge.llm.near_dedup import near_duplicates
 from prepforge.llm.packing import pack, token_pieces
 from prepforge.llm.quality_rules import apply_rules, learn_rules, text_statistics
@@ -264,3 +265,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_digest(align_tokens(
         table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")),
         str(public_tokenizers.path("piece_bpe_32k.model"))).documents)
+
+
+@query("op12_compression")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = F.col("language")
+    return predict_language(docs.select("doc_id", "text"), fit_languages(docs)).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), found["lang"].alias("lang_pred"),
+        found["score"].alias("score"), found["margin"].alias("margin"), found["accepted"].alias("accepted"))
