@@ -19,9 +19,9 @@ from prepforge.llm.packing import _tokenizer
 from prepforge.llm.tables import Scratch, only
 from prepforge.llm.textblocks import sums
 
-BATCH = 4 << 20         # characters of the documents that travel as one row
-KEPT = 400_000          # different stretches of text that a worker remembers before it starts anew
-KEPT_TEXT = 32 << 20    # and their characters
+BATCH = 1 << 20         # characters of the documents that travel as one row
+KEPT = 200_000          # different stretches of text that a task remembers before it starts anew
+KEPT_TEXT = 16 << 20    # and their characters
 AT_ONCE = 4096          # stretches aligned at once: their index dictionaries stay in the cache
 OUTPUT = 8 << 20        # characters of alignments per emitted batch
 
@@ -98,7 +98,8 @@ class Aligner:
         if len(self.number) >= KEPT or self.size >= KEPT_TEXT:
             self.forget()
         known = len(self.number)
-        found = [list(map(self.number.__getitem__, self.stretches(" " + t))) if t else [] for t in texts]
+        found = [np.fromiter(map(self.number.__getitem__, self.stretches(" " + t)), np.int32)
+                 if t else np.empty(0, dtype=np.int32) for t in texts]
         if fresh := list(islice(self.number, known, None)):
             aligned = [self.align(fresh[i:i + AT_ONCE]) for i in range(0, len(fresh), AT_ONCE)]
             self.size += sum(map(len, fresh))
@@ -106,7 +107,7 @@ class Aligner:
             self.sizes = np.concatenate([self.sizes, *[x[1] for x in aligned]], axis=1)
             self.links = np.concatenate([self.links, *[x[2] for x in aligned]])
             self.first = np.concatenate([[0], np.cumsum(self.sizes[3])])
-        return np.fromiter(chain.from_iterable(found), np.int64), np.array([len(x) for x in found], dtype=np.int64)
+        return np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64)
 
     def align(self, stretches: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Written groups, the four sizes and all links of the stretches; sizes of 0 where tokens do not spell one."""
@@ -272,6 +273,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
                 ids.append(batch.column("doc_id").slice(first))
         if held:
             yield _packed(task + made, ids, held, own)
+        own.forget()            # the worker's memory is another task's now
 
     rows = scratch.write(texts.mapInArrow(packed, (
         f"batch bigint, doc_id array<{kind}>, sizes array<int>, words array<int>, n_a array<int>, n_b array<int>, "
