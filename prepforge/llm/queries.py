@@ -12,6 +12,7 @@ from prepforge.llm.alignment import align_tokens
 from prepforge.llm.byte_cnn import fit_quality, score_quality
 from prepforge.llm.chat import format_chats, read_back
 from prepforge.llm.chunk_dedup import exact_duplicates
+from prepforge.llm.collocations import collocations
 from prepforge.llm.katz import katz_scores
 from prepforge.llm.language_id import fit_languages, predict_language
 from prepforge.llm.near_dedup import near_duplicates
@@ -274,3 +275,45 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs.select("doc_id", "text"), fit_languages(docs)).select(
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), found["lang"].alias("lang_pred"),
         found["score"].alias("score"), found["margin"].alias("margin"), found["accepted"].alias("accepted"))
+
+
+OP13 = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece_no, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+words AS (SELECT lang, piece_no, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM pieces),
+windows AS (
+  SELECT lang, w1, lead(w1, 1) OVER run AS w2, lead(w1, 2) OVER run AS w3
+  FROM words WINDOW run AS (PARTITION BY piece_no ORDER BY i)),
+counts AS MATERIALIZED (
+  SELECT lang, 1 AS size, w1 AS phrase, count(*) AS f FROM windows GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM windows WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM windows WHERE w3 IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= 10),
+parts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r,
+    CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM parts c JOIN counts l ON l.lang = c.lang AND l.phrase = head JOIN counts r ON r.lang = c.lang AND r.phrase = tail),
+worst AS (
+  SELECT lang, phrase, a, l, r, score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM candidates WHERE size = 3),
+inside AS (SELECT lang, phrase, max(a) AS most FROM longer GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM worst JOIN totals USING (lang) LEFT JOIN inside USING (lang, phrase)
+WHERE coalesce(most, 0) * 100 < a * 50
+QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrase_tries", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
