@@ -25,7 +25,7 @@ def read_json(spark: SparkSession, path: str) -> dict:
 def save_model(spark: SparkSession, model, path: str) -> None:
     write_json(spark, model.to_dict(), f"{path}/state")
     if isinstance(model, ForestModel):
-        model.native.write().save(f"{path}/native")
+        model.units(spark).write.parquet(f"{path}/native")
 
 
 def load_model(spark: SparkSession, path: str):

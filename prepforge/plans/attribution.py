@@ -12,7 +12,9 @@ from prepforge.functions.columns import quoted
 from prepforge.models.forest import ForestModel
 from prepforge.models.linear import LinearModel
 from prepforge.models.mlp import MlpModel
+from prepforge.models.trees import Tree
 from prepforge.operators.ordering import background_sample
+from prepforge.session import settle
 
 BACKGROUND_ROWS = 100
 # Defaults of the local explanation.
@@ -61,42 +63,40 @@ def linear_contributions(df: DataFrame, model: LinearModel, keep: list[str] = ()
 
 # trees ---------------------------------------------------------------------
 
-def forest_leaves(df: DataFrame, model: ForestModel) -> tuple[list[tuple], float]:
-    """Per leaf (value, features, low, high, share), and the mean output.
+def tree_leaves(parts: dict[int, Tree]) -> list[tuple]:
+    """Per leaf of a tree (value, features, low, high, share).
 
     A leaf is described by one interval and one share per feature on its path:
     the part of the training rows that follow the path where that feature
     splits. Of several classes the first one is explained.
     """
-    trees: dict[int, dict[int, object]] = {}
-    for r in model.nodes(df.sparkSession).collect():
-        trees.setdefault(r["tree"], {})[r["id"]] = r
-    classify = model.labels is not None
-    leaves, expected = [], 0.0
-
-    def rows(node):
-        return sum(node["stats"]) if classify else node["stats"][0]
-
-    for nodes in trees.values():
-        open_ = [(nodes[0], {})]
-        while open_:
-            node, path = open_.pop()
-            if node["left"] < 0:
-                value = node["stats"][0] / rows(node) if classify else node["prediction"]
-                value /= len(trees)
-                expected += value * rows(node) / rows(nodes[0])
-                if path:
-                    f = sorted(path)
-                    leaves.append((value, np.array(f), *[
-                        np.array([path[k][i] for k in f]) for i in range(3)]))
-                continue
-            f, cut = node["feature"], node["threshold"]
-            low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-            for child, ends in ((nodes[node["left"]], (low, min(high, cut))),
-                                (nodes[node["right"]], (max(low, cut), high))):
-                part = share * rows(child) / rows(node)
-                open_.append((child, {**path, f: (*ends, part)}))
-    return leaves, float(expected)
+    out = []
+    start = -1 if -1 in parts else 0
+    open_ = [(start, 0, {})]
+    while open_:
+        unit, node, path = open_.pop()
+        tree = parts[unit]
+        f = int(tree.feature[node])
+        if f < -1:                              # the upper part ends where a unit begins
+            open_.append((-2 - f, 0, path))
+            continue
+        if f < 0:
+            known = sorted(path)
+            if path:
+                out.append((float(tree.value[node]), np.array(known), *[
+                    np.array([path[k][i] for k in known]) for i in range(3)]))
+            continue
+        cut, (low, high, share) = tree.threshold[node], path.get(f, (-np.inf, np.inf, 1.0))
+        whole = _weight(parts, unit, node)
+        for child, ends in ((tree.left[node], (low, min(high, cut))), (tree.right[node], (max(low, cut), high))):
+            part = share * _weight(parts, unit, child) / whole
+            open_.append((unit, child, {**path, f: (*ends, part)}))
+    return out
+
+
+def _weight(parts: dict[int, Tree], unit: int, node: int) -> float:
+    f = int(parts[unit].feature[node])
+    return float(parts[-2 - f].weight[0] if f < -1 else parts[unit].weight[node])
 
 
 def leaf_shapley(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
@@ -124,8 +124,34 @@ def leaf_shapley(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
 
 
 def forest_contributions(df: DataFrame, model: ForestModel, keep: list[str] = ()) -> DataFrame:
-    leaves, _ = forest_leaves(df, model)
-    return _in_batches(df, model.features, keep, lambda x: leaf_shapley(x, leaves))
+    """Trees are read in groups of bounded size; rows carry what the groups before added up."""
+    spark, width = df.sparkSession, len(model.features)
+    names = [f"__x{i}" for i in range(width)]
+    out = df.select(*[quoted(k) for k in keep], *[quoted(f).cast("double").alias(n) for f, n in zip(model.features, names)],
+                    F.lit(None).cast("array<double>").alias("__phi"))
+    for number, group in enumerate(model.groups(spark, whole_trees=True)):
+        if number:
+            out = settle(out, "forest-contributions")
+        out = out.withColumn("__phi", _adds_group(spark.sparkContext.broadcast(group), width)(*names, "__phi"))
+    return out.select(*[quoted(k) for k in keep], *[
+        (F.get("__phi", F.lit(i)) / model.trees).alias(contribution_name(f)) for i, f in enumerate(model.features)])
+
+
+def _adds_group(known, width: int):
+    """Adds the contributions in a broadcast group of trees to those that a row has so far."""
+    @F.pandas_udf("array<double>")
+    def add(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype=float) for c in columns[:width]])
+        parts: dict[int, dict[int, Tree]] = {}
+        for tree, unit, arrays, _ in known.value:
+            parts.setdefault(tree, {})[unit] = arrays
+        phi = np.zeros(x.shape)
+        for own in parts.values():
+            phi += leaf_shapley(x, tree_leaves(own))
+        before = columns[width]
+        return pd.Series([row if b is None else row + b for row, b in zip(phi, before, strict=True)])
+
+    return add
 
 
 # network -------------------------------------------------------------------

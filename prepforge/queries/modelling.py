@@ -14,7 +14,7 @@ from prepforge.operators.ordering import top_features
 from prepforge.operators.scale import StandardScaler
 from prepforge.operators.split import with_split
 from prepforge.plans.attribution import (
-    contributions, forest_leaves, lime, mean_absolute, shap_importance, standard_deviations)
+    contributions, lime, mean_absolute, shap_importance, standard_deviations)
 from prepforge.plans.preparation import apply_preprocessing_pipeline
 from prepforge.plans.scoring import Predictor
 from prepforge.plans.training import Trainer
@@ -262,10 +262,46 @@ def fine_tune_sgd(spark, d):
 @query("train_forest")
 def train_forest(spark, d):
     lines = with_split(_scaled_lines(spark, d), KEY)
-    model = fit_forest(lines.where("split = 'train'"), _INPUTS, "y", n_estimators=10, max_depth=6)
+    model = fit_forest(lines.where("split = 'train'"), _INPUTS, "y")
     return split_metrics(model.predict(lines), "y", "prediction", False)
 
 
+def _level_sql(level: int, parents: str) -> str:
+    """The best cut of every group of ``parents`` (g, x0, x1, y): lowest feature, then lowest value, of equal gains."""
+    return f"""
+    cells{level} AS (
+      SELECT g, f, x, count(*) AS w, sum(y) AS s
+      FROM (SELECT g, 0 AS f, x0 AS x, y FROM {parents} UNION ALL SELECT g, 1, x1, y FROM {parents}) GROUP BY ALL),
+    run{level} AS (
+      SELECT g, f, x, lead(x) OVER o AS nx, sum(w) OVER o AS wl, sum(s) OVER o AS sl,
+        sum(w) OVER (PARTITION BY g, f) AS wt, sum(s) OVER (PARTITION BY g, f) AS st
+      FROM cells{level} WINDOW o AS (PARTITION BY g, f ORDER BY x)),
+    best{level} AS (
+      SELECT g, f, (x + nx) / 2 AS cut, wt, st FROM run{level} WHERE nx IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY g ORDER BY
+        pow(sl - wl * st / wt, 2) * (1 / wl + 1 / (wt - wl)) DESC, f, x) = 1)"""
+
+
+@query("tree_nodes", f"""
+    WITH t0 AS (SELECT 0 AS g, l_quantity AS x0, l_discount AS x1, l_extendedprice AS y FROM lineitem),
+    {_level_sql(0, "t0")},
+    t1 AS (SELECT 2 * g + CASE WHEN CASE WHEN f = 0 THEN x0 ELSE x1 END <= cut THEN 1 ELSE 2 END AS g, x0, x1, y
+           FROM t0 JOIN best0 USING (g)),
+    {_level_sql(1, "t1")},
+    t2 AS (SELECT 2 * g + CASE WHEN CASE WHEN f = 0 THEN x0 ELSE x1 END <= cut THEN 1 ELSE 2 END AS g, y
+           FROM t1 JOIN best1 USING (g))
+    SELECT g AS node, CASE f WHEN 0 THEN 'l_quantity' ELSE 'l_discount' END AS feature, round(cut, 6) + 0.0 AS threshold,
+           CAST(wt AS DOUBLE) AS weight, round(st / wt, 4) + 0.0 AS value
+    FROM (SELECT * FROM best0 UNION ALL SELECT * FROM best1)
+    UNION ALL SELECT g, NULL, NULL, CAST(count(*) AS DOUBLE), round(avg(y), 4) + 0.0 FROM t2 GROUP BY g""")
+def tree_nodes(spark, d):
+    """One tree of two levels on all rows: its cuts are those that SQL finds."""
+    lines = table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    model = fit_forest(lines, ["l_quantity", "l_discount"], "l_extendedprice", n_estimators=1, max_depth=2, bootstrap=False)
+    return model.nodes(spark).select("node", "feature", F.when(
+        F.col("feature").isNotNull(), F.round("threshold", 6)).alias("threshold"), "weight", rounded("value", 4))
+
+
 def _documents(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     words = F.size(F.split(F.trim("text"), r"\s+")).cast("double")
@@ -279,14 +315,13 @@ def _documents(spark, d):
 def train_forest_classifier(spark, d):
     docs = with_split(_documents(spark, d), ["doc_id"])
     model = fit_forest_classifier(
-        docs.where("split = 'train'"), ["n_chars", "n_words", "digits"], "quality",
-        n_estimators=10, max_depth=5)
+        docs.where("split = 'train'"), ["n_chars", "n_words", "digits"], "quality")
     return split_metrics(model.predict(docs), "quality", "prediction", True)
 
 
 @query("feature_importance_top_n")
 def feature_importance_top_n(spark, d):
-    model = fit_forest(_scaled_lines(spark, d), _INPUTS, "y", n_estimators=10, max_depth=6)
+    model = fit_forest(_scaled_lines(spark, d), _INPUTS, "y")
     return top_features(model.importances(spark), 2)
 
 
@@ -302,7 +337,7 @@ def tree_shap_adds_up(spark, d):
     """Contributions of every row against its prediction less the mean output."""
     lines = _scaled_lines(spark, d)
     model = fit_forest(lines, _INPUTS, "y", n_estimators=5, max_depth=5)
-    _, expected = forest_leaves(lines, model)
+    expected = model.expected(spark)
     phi = contributions(model.predict(lines), model, [*KEY, "prediction"])
     total = sum(F.col(f"phi_{f}") for f in _INPUTS)
     return phi.agg(F.count(F.lit(1)).alias("n"), F.count_if(

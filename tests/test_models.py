@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from prepforge.errors import InferenceError, TrainingError
+from prepforge.models import forest
 from prepforge.models.forest import fit_forest, fit_forest_classifier
 from prepforge.models.linear import LinearModel, fit_least_squares
 from prepforge.models.mlp import Layers, MlpModel, fit_mlp
 from prepforge.models.sgd import fit_sgd, product_averages
 from prepforge.plans.attribution import (
-    contributions, forest_leaves, leaf_shapley, lime, shap_importance, standard_deviations)
+    contributions, lime, shap_importance, standard_deviations)
 from prepforge.plans.scoring import Predictor
 from prepforge.plans.training import Trainer
 
@@ -64,7 +65,7 @@ def test_missing_features_have_one_rule(spark, width):
     df = spark.range(40).select(*[
         F.when(F.col("id") % 20 != i % 7, F.rand(i)).alias(n) for i, n in enumerate(names)], F.rand(99).alias("y"))
     gaps = df.where(" OR ".join(f"{n} IS NULL" for n in names)).count()
-    for fit in (fit_sgd, fit_least_squares, fit_mlp):
+    for fit in (fit_sgd, fit_least_squares, fit_mlp, fit_forest, fit_forest_classifier):
         with pytest.raises(TrainingError, match=f"{gaps} rows lack"):
             fit(df, names, "y")
 
@@ -111,17 +112,20 @@ def test_linear_attribution(points):
     assert got["b"] > got["a"] > got["c"]
 
 
-def path_value(nodes, x, known, classify=False):
+def path_value(parts, x, known):
     """Mean output when only the features in ``known`` are given."""
-    def walk(node):
-        rows = lambda n: sum(n["stats"]) if classify else n["stats"][0]
-        if node["left"] < 0:
-            return node["stats"][0] / rows(node) if classify else node["prediction"]
-        left, right = nodes[node["left"]], nodes[node["right"]]
-        if node["feature"] in known:
-            return walk(left if x[node["feature"]] <= node["threshold"] else right)
-        return (rows(left) * walk(left) + rows(right) * walk(right)) / rows(node)
-    return walk(nodes[0])
+    def walk(unit, node):
+        tree = parts[unit]
+        f = tree.feature[node]
+        if f < -1:
+            return walk(-2 - f, 0)
+        if f < 0:
+            return tree.value[node], tree.weight[node]
+        (left, n_left), (right, n_right) = walk(unit, tree.left[node]), walk(unit, tree.right[node])
+        if f in known:
+            return (left if x[f] <= tree.threshold[node] else right), n_left + n_right
+        return (n_left * left + n_right * right) / (n_left + n_right), n_left + n_right
+    return walk(-1 if -1 in parts else 0, 0)[0]
 
 
 def brute_shapley(value, d):
@@ -135,23 +139,27 @@ def brute_shapley(value, d):
     return phi
 
 
-@pytest.mark.parametrize("classify", [False, True])
-def test_tree_attribution_against_all_subsets(spark, points, classify):
+@pytest.mark.parametrize("classify, unit, group", [(False, 10 ** 6, 10 ** 8), (True, 10 ** 6, 10 ** 8), (False, 30, 10 ** 8),
+                                                  (True, 30, 1)])
+def test_tree_attribution_against_all_subsets(spark, points, monkeypatch, classify, unit, group):
+    monkeypatch.setattr(forest, "UNIT_ROWS", unit)
+    monkeypatch.setattr(forest, "GROUP_BYTES", group)
     if classify:
         df = points.withColumn("k", F.when(F.col("y") > 4, "p").otherwise("n"))
         model = fit_forest_classifier(df, FEATURES, "k", n_estimators=3, max_depth=4)
     else:
         model = fit_forest(points, FEATURES, "y", n_estimators=3, max_depth=4)
-    leaves, expected = forest_leaves(points, model)
     trees = {}
-    for r in model.nodes(spark).collect():
-        trees.setdefault(r["tree"], {})[r["id"]] = r
-    x = np.array([[r[f] for f in FEATURES] for r in points.limit(5).collect()])
-    phi = leaf_shapley(x, leaves)
-    for row, got in zip(x, phi):
-        value = lambda known: np.mean([path_value(t, row, known, classify) for t in trees.values()])
+    for groups in model.groups(spark, whole_trees=True):
+        for t, u, tree, _ in groups:
+            trees.setdefault(t, {})[u] = tree
+    assert len(trees) == 3 and (unit > 30) == all(set(parts) == {0} for parts in trees.values())
+    rows = contributions(points.limit(5), model, FEATURES).collect()
+    for r in rows:
+        x, got = [r[f] for f in FEATURES], np.array([r[f"phi_{f}"] for f in FEATURES])
+        value = lambda known: np.mean([path_value(parts, x, known) for parts in trees.values()])
         assert got == pytest.approx(brute_shapley(value, 3), abs=1e-9)
-        assert got.sum() + expected == pytest.approx(value({0, 1, 2}))
+        assert got.sum() + model.expected(spark) == pytest.approx(value({0, 1, 2}))
 
 
 def test_network_attribution_adds_up(points):
