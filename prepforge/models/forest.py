@@ -205,6 +205,9 @@ def _numbered(df: DataFrame, features: list[str], target: str, code: str | None)
     x = F.array(*[as_number(df, f) for f in features])
     y = F.col(code).cast("double") if code else as_number(df, target)
     whole = reduce(and_, [clean(df, c).isNotNull() for c in [*features, target]])
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:      # every tree works on every row
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     data = settle(df.select(F.monotonically_increasing_id().alias("id"), x.alias("x"), y.alias("y"),
                             whole.alias("whole")), "forest-rows")
     cuts = [F.percentile_approx(F.get("x", F.lit(i)), F.array(*[F.lit(k / (BINS + 1)) for k in range(1, BINS + 1)]),
@@ -364,7 +367,10 @@ def _grow_upper(data, uppers, weights, edges, classify, mean, depth, least, trie
 
 def _histograms(data, known, weights, bins, width, mean, classify) -> DataFrame:
     """``slot, feature, bin, class, w, rows, s, q, low, high``: what each bin of each open node holds."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["slot", "feature", "bin", "class", "w", "rows", "s", "q", "low", "high", "y_low", "y_high"]
+
+    def placed(batches):
+        """Rows of open nodes, one tree and batch at a time: slot, bin of every feature, values, targets, weights."""
         tops, slots, edges = known.value
         for batch in batches:
             ids, x, y = _matrix(batch, width)
@@ -375,28 +381,50 @@ def _histograms(data, known, weights, bins, width, mean, classify) -> DataFrame:
                 node = -2 - top.feature[leaves(top, x[own])].astype(np.int64)
                 slot = np.array([*(slots[t].get(i, -1) for i in range(len(top.feature))), -1])[node]     # -1: a leaf
                 own, slot = own[slot >= 0], slot[slot >= 0]
-                code = y[own].astype(np.int64) if classify else np.zeros(len(own), np.int64)
-                for f in range(width):
-                    key = np.stack([slot, place[own, f], code])
-                    order = np.lexsort(key[::-1])
-                    key = key[:, order]
-                    new = np.ones(len(order), dtype=bool)
-                    new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
-                    first = np.flatnonzero(new)
-                    if not len(first):
-                        continue
-                    rows, value = own[order], x[own[order], f]
+                yield slot, place[own], x[own], y[own], w[own]
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of numeric targets: one set of cells per task, sent once."""
+        size = sum(map(len, known.value[1].values())) * width * bins
+        total = {k: np.zeros(size) for k in ("w", "rows", "s", "q")}
+        total |= {k: np.full(size, np.inf) for k in ("low", "y_low")}
+        total |= {k: np.full(size, -np.inf) for k in ("high", "y_high")}
+        for slot, place, x, y, w in placed(batches):
+            off = y - mean
+            for f in range(width):
+                cell = (slot * width + f) * bins + place[:, f]
+                for k, v in (("w", w), ("rows", None), ("s", w * off), ("q", w * off * off)):
+                    total[k] += np.bincount(cell, weights=v, minlength=size)
+                np.minimum.at(total["low"], cell, x[:, f])
+                np.maximum.at(total["high"], cell, x[:, f])
+                np.minimum.at(total["y_low"], cell, y)
+                np.maximum.at(total["y_high"], cell, y)
+        used = np.flatnonzero(total["rows"])
+        keys = used // (width * bins), used // bins % width, used % bins, np.zeros(len(used))
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array(k.astype(np.int32)) for k in keys],
+             *[pa.array(total[k][used].astype(np.int64 if k == "rows" else np.float64)) for k in names[4:]]], names)
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of classes, however many: one row per cell and class of a batch."""
+        for slot, place, x, y, w in placed(batches):
+            for f in range(width):
+                key = np.stack([slot, place[:, f], y.astype(np.int64)])
+                order = np.lexsort(key[::-1])
+                key, own, value, code = key[:, order], w[order], x[order, f], y[order]
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+                first = np.flatnonzero(new)
+                if len(first):
+                    zero = np.zeros(len(first))
                     yield pa.RecordBatch.from_arrays([
                         pa.array(key[0, first], pa.int32()), pa.array(np.full(len(first), f), pa.int32()),
                         pa.array(key[1, first], pa.int32()), pa.array(key[2, first], pa.int32()),
-                        pa.array(np.add.reduceat(w[rows], first)), pa.array(np.diff(first, append=len(rows))),
-                        pa.array(np.add.reduceat((w * (y - mean))[rows], first)),
-                        pa.array(np.add.reduceat((w * (y - mean) ** 2)[rows], first)),
-                        pa.array(np.minimum.reduceat(value, first)), pa.array(np.maximum.reduceat(value, first)),
-                        pa.array(np.minimum.reduceat(y[rows], first)), pa.array(np.maximum.reduceat(y[rows], first))],
-                        ["slot", "feature", "bin", "class", "w", "rows", "s", "q", "low", "high", "y_low", "y_high"])
-
-    return (data.mapInArrow(count, "slot int, feature int, bin int, class int, w double, rows bigint, s double, "
+                        pa.array(np.add.reduceat(own, first)), pa.array(np.diff(first, append=len(own))),
+                        pa.array(zero), pa.array(zero), pa.array(np.minimum.reduceat(value, first)),
+                        pa.array(np.maximum.reduceat(value, first)), pa.array(code[first]), pa.array(code[first])], names)
+
+    return (data.mapInArrow(classes if classify else numbers, "slot int, feature int, bin int, class int, w double, rows bigint, s double, "
                                    "q double, low double, high double, y_low double, y_high double")
             .groupBy("slot", "feature", "bin", "class").agg(
                 F.sum("w").alias("w"), F.sum("rows").alias("rows"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("low").alias("low"),

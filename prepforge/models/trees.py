@@ -205,13 +205,17 @@ def _best_places(column, y, w, perm, starts, sizes, at, classify) -> tuple[np.nd
 
 
 def leaves(tree: Tree, x: np.ndarray) -> np.ndarray:
-    """The leaf that each row ends in."""
+    """The leaf that each row ends in. A missing value goes right. Every right child follows its left one."""
+    number = np.arange(len(tree.feature))
+    ends = tree.feature < 0                     # a leaf leads to itself
+    feature = np.where(ends, 0, tree.feature).astype(np.int64)
+    left = np.where(ends, number, tree.left).astype(np.int64)
+    threshold = np.where(ends, np.inf, tree.threshold)
+    values = np.where(np.isnan(x), np.inf, x).ravel()
+    row = np.arange(len(x), dtype=np.int64) * x.shape[1]
     node = np.zeros(len(x), dtype=np.int64)
-    open_ = np.arange(len(x))
-    while len(open_):
-        here = node[open_]
-        f = tree.feature[here]
-        inner = f >= 0
-        open_, here, f = open_[inner], here[inner], f[inner]
-        node[open_] = np.where(x[open_, f] <= tree.threshold[here], tree.left[here], tree.right[here])
-    return node
+    while True:
+        following = left[node] + (values[row + feature[node]] > threshold[node])
+        if (following == node).all():
+            return node
+        node = following
