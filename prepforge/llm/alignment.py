@@ -11,7 +11,7 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +19,11 @@ from prepforge.llm.packing import _tokenizer
 from prepforge.llm.tables import Scratch, only
 from prepforge.llm.textblocks import sums
 
-BATCH = 1 << 20         # characters of the documents that travel as one row
+BATCH = 2 << 20         # characters of the documents that travel as one row
 KEPT = 200_000          # different stretches of text that a task remembers before it starts anew
 KEPT_TEXT = 16 << 20    # and their characters
 AT_ONCE = 4096          # stretches aligned at once: their index dictionaries stay in the cache
+PAIRS = 1 << 22         # different pairs of ids whose counts are broadcast (17 bytes each); more are joined
 OUTPUT = 8 << 20        # characters of alignments per emitted batch
 
 WORD_START = re.compile(r"(?<=\S)(?=[ \n])")
@@ -200,16 +201,24 @@ def _flat(column: pa.Array, row: int) -> np.ndarray:
     return column[row].values.to_numpy(zero_copy_only=False)
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of every batch row, with the corpus-wide counts of their links."""
+def _documents(batches: Iterator[pa.RecordBatch],
+               known: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
+    """The documents of every batch row, with the counts of their links: broadcast, or in the row as ``found``."""
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     for batch in batches:
         for r in range(batch.num_rows):
             at = {name: batch.column(name) for name in batch.schema.names}
             sizes, words = _flat(at["sizes"], r).astype(np.int64), _flat(at["words"], r)
             n_links, links = _flat(at["n_links"], r).astype(np.int64), _flat(at["links"], r)
-            counts, best = np.zeros(len(at["pairs"][r]), np.int64), np.zeros(len(at["pairs"][r]), np.int64)
-            if at["found"][r].is_valid:
+            pairs = _flat(at["pairs"], r)
+            counts, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+            if known is not None:
+                pair, count, highest = known.value
+                if len(pair):
+                    place = np.minimum(np.searchsorted(pair, pairs), len(pair) - 1)
+                    hit = pair[place] == pairs
+                    counts, best = np.where(hit, count[place], 0), np.where(hit, highest[place], 0).astype(np.int64)
+            elif at["found"][r].is_valid:
                 found = at["found"][r].values
                 place = found.field("pos").to_numpy(zero_copy_only=False)
                 counts[place] = found.field("count").to_numpy(zero_copy_only=False)
@@ -245,7 +254,8 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
 
     A batch of documents travels as one row that holds each different stretch
     once; only its different pairs are exchanged, so a frequent pair costs one
-    row per batch. The counts come back as one list per batch.
+    row per batch. Up to PAIRS different pairs, their counts are broadcast;
+    beyond, they come back by a join, as one list per batch.
 
     Texts that are null or empty, or that the tokens of either tokenizer do not
     spell, have zeros and the empty text. Repeated ids and null ids are rows of
@@ -286,10 +296,16 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))     # at most as many rows as B has ids
     pairs = scratch.write(counts.join(F.broadcast(highest), "b").select(
         "pair", "count", (F.col("count") == F.col("highest")).cast("int").alias("best")))
-    found = (met.drop("times").join(pairs, "pair").groupBy("batch")
-             .agg(F.collect_list(F.struct("pos", "count", "best")).alias("found")))
-    documents = rows.drop("times").join(found.hint("merge"), "batch", "left").mapInArrow(
-        _documents, f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, "
-                    "count_sum bigint, groups string")
+    out = (f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
+           "groups string")
+    if pairs.count() <= PAIRS:
+        table = pairs.toPandas().sort_values("pair")
+        known = docs.sparkSession.sparkContext.broadcast(
+            (table["pair"].to_numpy(), table["count"].to_numpy(), table["best"].to_numpy(dtype=np.int8)))
+        documents = rows.drop("times").mapInArrow(lambda batches: _documents(batches, known), out)
+    else:
+        found = (met.drop("times").join(pairs, "pair").groupBy("batch")
+                 .agg(F.collect_list(F.struct("pos", "count", "best")).alias("found")))
+        documents = rows.drop("times").join(found.hint("merge"), "batch", "left").mapInArrow(_documents, out)
     return Alignment(documents, pairs.select(F.shiftright("pair", 32).alias("a"), low.alias("b"), "count",
                                              (F.col("best") == 1).alias("best")))

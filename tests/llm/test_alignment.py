@@ -71,9 +71,10 @@ def found(spark, docs):
     return Counter(tuple(r) for r in rows)
 
 
-@pytest.mark.parametrize("batch", [1 << 22, 300])
-def test_equal_to_brute_force(spark, monkeypatch, batch):
+@pytest.mark.parametrize("batch, pairs", [(1 << 22, 1 << 22), (300, 0)])
+def test_equal_to_brute_force(spark, monkeypatch, batch, pairs):
     monkeypatch.setattr(alignment, "BATCH", batch)
+    monkeypatch.setattr(alignment, "PAIRS", pairs)
     r = rng(5)
     rows = ODD + [(100 + i, t) for i, t in enumerate(STRANGE)] + [(200, s) for s in STRANGE[:4]]
     rows += [(300 + i, some_text(r, r.randrange(1, 60), 90) + r.choice(STRANGE)) for i in range(60)]
