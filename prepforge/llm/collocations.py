@@ -23,8 +23,8 @@ LONGEST = 3             # words of the longest phrase
 PERCENT = 50            # share of its occurrences inside a longer candidate from which a phrase is dropped
 TOP = 2000              # phrases reported per language
 UNKNOWN = "und"
-BITS = 27               # size of the bitmap that tells which parts are frequent: 16 MB
-SHARD = 8 << 20         # bytes of the phrases of one trie
+BITS = 26               # size of the bitmap that tells which parts are frequent: 8 MB
+SHARD = 4 << 20         # bytes of the phrases of one trie
 MERGED = 1 << 21        # words or windows that a task merges before it passes them on
 
 _JOIN = np.uint64(0xD1B54A32D192ED03)
@@ -374,12 +374,12 @@ def counted_phrases(texts: DataFrame, candidates: DataFrame, width: int, scratch
         _built, "shard int, base binary, check binary, accept binary"))
     counts = []
     for k in range(shards):
-        for row in tries.where(F.col("shard") == k).collect():
-            known = texts.sparkSession.sparkContext.broadcast([bytes(row[x]) for x in Trie._fields])
+        for arrays in tries.where(F.col("shard") == k).select(*Trie._fields).toArrow().to_pylist():
+            known = texts.sparkSession.sparkContext.broadcast([arrays[x] for x in Trie._fields])
             found = texts.mapInArrow(_count_phrases(width, known), "id bigint, n bigint")
             counts.append(scratch.write(found.groupBy("id").agg(F.sum("n").alias("n"))
                                         .select(F.lit(k).alias("shard"), F.col("id").cast("int").alias("id"), "n")))
-            known.unpersist()
+            known.destroy()
     return numbered.join(reduce(DataFrame.unionByName, counts), ["shard", "id"]).drop("shard", "id")
 
 
@@ -428,7 +428,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, pe
         marks = bitmap(known, names[:-1])
         windows = texts.mapInArrow(_count_windows(width, marks), ", ".join(f"{x} bigint" for x in [*names, "n"]))
         near = scratch.write(windows.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*names))
-        marks.unpersist()
+        marks.destroy()
         spelled = near
         for i in range(width):
             word = single.select(F.col("lang").alias("of"), F.col("w1").alias(f"w{i + 1}"), F.col("h1").alias(f"h{i + 1}"))
