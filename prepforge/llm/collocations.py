@@ -156,7 +156,7 @@ def bitmap(frame: DataFrame, columns: list[str]) -> Broadcast:
 
 
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & np.uint64((1 << BITS) - 1)
+    place = keys & np.uint64(8 * len(bits) - 1)
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
