@@ -19,12 +19,12 @@ from prepforge.llm.packing import _tokenizer
 from prepforge.llm.tables import Scratch, only
 from prepforge.llm.textblocks import sums
 
-BATCH = 2 << 20         # characters of the documents that travel as one row
-KEPT = 200_000          # different stretches of text that a task remembers before it starts anew
+BATCH = 1 << 20         # characters of the documents that travel as one row
+KEPT = 150_000          # different stretches of text that a task remembers before it starts anew
 KEPT_TEXT = 16 << 20    # and their characters
 AT_ONCE = 4096          # stretches aligned at once: their index dictionaries stay in the cache
 PAIRS = 1 << 22         # different pairs of ids whose counts are broadcast (17 bytes each); more are joined
-OUTPUT = 8 << 20        # characters of alignments per emitted batch
+OUTPUT = 2 << 20        # characters of alignments per emitted batch
 
 WORD_START = re.compile(r"(?<=\S)(?=[ \n])")
 ODD_SPACE = re.compile(r"\s[ \n]|\0")
