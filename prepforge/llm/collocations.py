@@ -24,7 +24,7 @@ PERCENT = 50            # share of its occurrences inside a longer candidate fro
 TOP = 2000              # phrases reported per language
 UNKNOWN = "und"
 BITS = 26               # size of the bitmap that tells which parts are frequent: 8 MB
-SHARD = 4 << 20         # bytes of the phrases of one trie
+SHARD = 6 << 20         # bytes of the phrases of one trie
 MERGED = 1 << 21        # words or windows that a task merges before it passes them on
 
 _JOIN = np.uint64(0xD1B54A32D192ED03)
@@ -166,9 +166,16 @@ def _count_windows(width: int, known: Broadcast) -> Callable[[Iterator[pa.Record
 
     def merged(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        _, at, same, n = np.unique(combined(columns), return_index=True, return_inverse=True, return_counts=True)
-        if any((c[at][same] != c).any() for c in columns):      # different windows with one hash: leave all apart
-            at, n = np.arange(len(columns[0])), np.ones(len(columns[0]), dtype=np.int64)
+        key = combined(columns)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        for c in columns:           # different windows with one hash stand apart, perhaps more than once
+            near = c[order]
+            new[1:] |= near[1:] != near[:-1]
+        first = np.flatnonzero(new)
+        at, n = order[first], np.diff(first, append=len(order))
         return pa.RecordBatch.from_arrays([*[pa.array(c[at].view(np.int64)) for c in columns], pa.array(n)],
                                           [*names, "n"])
 
