@@ -1,100 +1,118 @@
-"""Linear regression by gradient descent.
+"""Linear regression by stochastic gradient descent.
 
-The gradient of the squared error depends on the data only through averages
-of products of columns. Those are gathered once, in one distributed pass; all
-descent steps then run on that small matrix. A run of a thousand steps costs
-the same single pass as one step.
+The rows are dealt to parts by their values and stay there. In every epoch each
+part goes through its rows one by one in a drawn order, all parts side by side
+from the same weights, which are then averaged. Work and memory grow with the
+number of features, not with its square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepforge.errors import TrainingError
-from prepforge.functions.columns import quoted
-from prepforge.models.linear import LinearModel
+from prepforge.functions.columns import as_number
+from prepforge.models.linear import LinearModel, numbers_of
 
-MAX_FEATURES = 2_000       # bounds the matrix held by the driver
 _PATIENCE = 5
+_COMBINERS = 8              # tasks that add up what the parts found
+PART_ROWS = 100_000         # rows from which another part is worth its averaging
+MAX_PARTS = 4096
 # Defaults of the usual stochastic gradient regressor.
-DEFAULTS = {"max_iter": 1000, "tol": 1e-3, "eta0": 0.01, "power_t": 0.25, "alpha": 1e-4,
-            "steps_per_epoch": 1000}
-
-
-def product_averages(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
-    """Row count and the matrix of averages of z_i * z_j, where z = (1, columns).
+DEFAULTS = {"max_iter": 1000, "tol": 1e-3, "eta0": 0.01, "power_t": 0.25, "alpha": 1e-4, "random_state": 42}
 
-    A row that lacks one of the columns raises, with the number of such rows.
-    """
-    if len(columns) > MAX_FEATURES:
-        raise TrainingError(f"more than {MAX_FEATURES} features")
-    size = len(columns) + 1
 
-    def partial(batches):
-        total, gaps = np.zeros((size, size)), 0
-        for batch in batches:
-            block = np.column_stack([np.ones(len(batch)), batch.to_numpy(dtype=float)])
-            whole = ~np.isnan(block).any(axis=1)
-            gaps += int((~whole).sum())
-            total += block[whole].T @ block[whole]
-        # the last row counts what was left out
-        yield pd.DataFrame({"i": np.arange(size + 1), "sums": [*total, np.full(size, float(gaps))]})
-
-    sums = (
-        df.select(*[quoted(c).cast("double") for c in columns])
-        .mapInPandas(partial, "i int, sums array<double>")
-        .select("i", F.posexplode("sums").alias("j", "v"))
-        .groupBy("i", "j").agg(F.sum("v").alias("v"))
-    )
-    matrix = np.zeros((size + 1, size))
-    for r in sums.collect():
-        matrix[r["i"], r["j"]] = r["v"]
-    if matrix[size, 0]:
-        raise TrainingError(f"{int(matrix[size, 0])} rows lack a feature or the target; impute or drop them first")
-    n = int(matrix[0, 0])
-    return n, matrix[:size] / max(n, 1)
+def descend(weights: np.ndarray, x: np.ndarray, y: np.ndarray, steps: float, eta0: float, power_t: float,
+            alpha: float) -> tuple[np.ndarray, float]:
+    """Weights (intercept first) after one step per row, and the sum of half squared errors before each step."""
+    w, bias, lost = weights[1:].copy(), float(weights[0]), 0.0
+    rates = eta0 / (steps + 1 + np.arange(len(y))) ** power_t
+    for row, wanted, rate in zip(x, y.tolist(), rates.tolist(), strict=True):
+        error = bias + float(row @ w) - wanted
+        lost += error * error
+        w *= 1 - rate * alpha
+        w -= (rate * error) * row
+        bias -= rate * error
+    return np.concatenate([[bias], w]), lost / 2
 
 
 def fit_sgd(df: DataFrame, features: list[str], target: str, start: LinearModel | None = None,
             **options) -> tuple[LinearModel, list[float]]:
-    """Model and the half mean squared error after each epoch of ``steps_per_epoch`` full-gradient steps.
+    """Model and the mean half squared error during each epoch.
 
-    With ``start`` the weights and the step counter continue from there; use
-    ``max_iter=1`` for the single pass of an incremental update.
+    An epoch takes one step per row; epochs end after ``max_iter`` or once five
+    in a row gain less than ``tol``. ``random_state`` decides the order of the
+    rows. The result does not depend on how the table is stored: rows are dealt
+    by their values to one part per PART_ROWS rows. With ``start`` the weights
+    and the step counter go on from there; ``max_iter=1`` is the single pass of
+    an incremental update. A row that lacks a feature or the target raises, with
+    the number of such rows.
     """
     setting = {**DEFAULTS, **{k: v for k, v in options.items() if k in DEFAULTS}}
-    n, products = product_averages(df, list(features) + [target])
+    seed, rate = int(setting["random_state"]), [float(setting[k]) for k in ("eta0", "power_t", "alpha")]
+    data = df.select(F.array(*[as_number(df, c) for c in [*features, target]]).alias("row"))
+    n = data.count()
     if n == 0:
         raise TrainingError("no rows to train on")
-    inputs, outputs = products[:-1, :-1], products[:-1, -1]
-    half_yy = products[-1, -1] / 2
-    ridge = np.full(len(features) + 1, setting["alpha"])
-    ridge[0] = 0.0
-    weights = np.zeros(len(features) + 1)
-    t = 0
+    parts = min(MAX_PARTS, -(-n // PART_ROWS))
+    # floats that print alike are dealt alike
+    data = data.repartition(parts, F.xxhash64(F.col("row").cast("string"))).sortWithinPartitions("row").persist()
+    weights, steps = np.zeros(len(features) + 1), 0.0
     if start is not None:
         weights[0], weights[1:] = start.intercept, start.weights
-        t = int(start.extra.get("steps", 0))
+        steps = float(start.extra.get("steps", 0))
+
+    def packed(rows: float, gaps: float, lost: float, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in (float(rows), float(gaps), float(lost))] + [
+            pa.array([total], pa.list_(pa.float64()))], ["rows", "gaps", "lost", "weights"])
 
-    def loss(w):
-        return float(half_yy - w @ outputs + w @ inputs @ w / 2)
+    def epoch(weights: np.ndarray, steps: float, number: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [numbers_of(b.column("row"), len(features) + 1) for b in batches]
+            if not held:
+                return
+            block = np.concatenate(held)
+            whole = ~np.isnan(block).any(axis=1)
+            gaps, block = int((~whole).sum()), block[whole]
+            rng = np.random.default_rng([seed & 0x7FFFFFFF, number, TaskContext.get().partitionId()])
+            block = block[rng.permutation(len(block))]
+            moved, lost = descend(weights, block[:, :-1], block[:, -1], steps, *rate)
+            yield packed(len(block), gaps, lost, moved * len(block))
+        return run
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, total = np.zeros(3), np.zeros(len(features) + 1)
+        for batch in batches:
+            sums += [batch.column(k).to_numpy().sum() for k in ("rows", "gaps", "lost")]
+            total += batch.column("weights").flatten().to_numpy().reshape(batch.num_rows, -1).sum(axis=0)
+        yield packed(*sums, total)
 
+    shape = "rows double, gaps double, lost double, weights array<double>"
     history, best, stale = [], np.inf, 0
-    for _ in range(int(setting["max_iter"])):
-        for _ in range(int(setting["steps_per_epoch"])):
-            t += 1
-            rate = setting["eta0"] / t ** setting["power_t"]
-            weights = weights - rate * (inputs @ weights - outputs + ridge * weights)
-        if not np.all(np.isfinite(weights)):
-            raise TrainingError("gradient descent diverged; scale the features")
-        history.append(loss(weights))
-        stale = stale + 1 if history[-1] > best - setting["tol"] else 0
-        best = min(best, history[-1])
-        if stale >= _PATIENCE:
-            break
-    model = LinearModel("sgd_regressor", features, weights[1:].tolist(), weights[0],
-                        {"steps": t})
-    return model, history
+    try:
+        for number in range(int(setting["max_iter"])):
+            partial = data.mapInArrow(epoch(weights, steps, number), shape)
+            if parts > _COMBINERS:
+                partial = partial.repartition(_COMBINERS).mapInArrow(add_up, shape)
+            found = partial.collect()
+            if gaps := sum(r["gaps"] for r in found):
+                raise TrainingError(f"{int(gaps)} rows lack a feature or the target; impute or drop them first")
+            rows = sum(r["rows"] for r in found)
+            weights = np.sum([np.asarray(r["weights"]) for r in found], axis=0) / rows
+            if not np.all(np.isfinite(weights)):
+                raise TrainingError("gradient descent diverged; scale the features")
+            steps += rows / parts
+            history.append(sum(r["lost"] for r in found) / rows)
+            stale = stale + 1 if history[-1] > best - setting["tol"] else 0
+            best = min(best, history[-1])
+            if stale >= _PATIENCE:
+                break
+    finally:
+        data.unpersist()
+    return LinearModel("sgd_regressor", features, weights[1:].tolist(), weights[0], {"steps": steps}), history

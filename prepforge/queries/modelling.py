@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepforge.functions.columns import split_threshold
+from prepforge.models import sgd
 from prepforge.models.forest import fit_forest, fit_forest_classifier
 from prepforge.models.linear import LinearModel, fit_least_squares
 from prepforge.models.mlp import fit_mlp
@@ -95,6 +96,17 @@ def train_ols_two_features(spark, d):
     return _weights(spark, model).select("term", rounded("weight", 4))
 
 
+@query("train_ols_collinear", _TWO + """
+    SELECT 'x1' AS term, round(w1 / 2, 4) + 0.0 AS weight FROM w
+    UNION ALL SELECT 'again', round(w1 / 2, 4) + 0.0 FROM w
+    UNION ALL SELECT 'x2', round(w2, 4) + 0.0 FROM w
+    UNION ALL SELECT 'intercept', round(my - w1 * m1 - w2 * m2, 4) + 0.0 FROM w""")
+def train_ols_collinear(spark, d):
+    """A feature given twice: of all best weights those of least length."""
+    model = fit_least_squares(_two(spark, d).withColumn("again", F.col("x1")), ["x1", "again", "x2"], "y")
+    return _weights(spark, model).select("term", rounded("weight", 4))
+
+
 @query("linear_shap", _TWO + """
     SELECT 'x1' AS feature, round(avg(abs(w1 * (x1 - m1))), 4) + 0.0 AS importance FROM t, w
     UNION ALL SELECT 'x2', round(avg(abs(w2 * (x2 - m2))), 4) + 0.0 FROM t, w""")
@@ -259,6 +271,22 @@ def fine_tune_sgd(spark, d):
     return _weights(spark, model).select("term", rounded("weight", 2))
 
 
+@query("fine_tune_rows", """
+    SELECT round(regr_slope(y, x), 1) + 0.0 AS slope, round(regr_intercept(y, x), 1) + 0.0 AS intercept, count(*) AS rows
+    FROM (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS x,
+                 l_quantity / 10 AS y FROM lineitem)""")
+def fine_tune_rows(spark, d):
+    """A model of an older relation goes once over the rows of a new one and ends there; steps count its rows."""
+    lines = StandardScaler().fit_transform(table(spark, d, "lineitem").select(
+        F.col("l_quantity").alias("x"), (F.col("l_quantity") / 10).alias("y")), ["x"])
+    old, _ = fit_sgd(lines.withColumn("y", -F.col("y")).limit(2000), ["x"], "y", max_iter=1)
+    model, history = fit_sgd(lines, ["x"], "y", start=old, max_iter=1)
+    parts = max(1, -(-lines.count() // sgd.PART_ROWS))
+    rows = round((model.extra["steps"] - old.extra["steps"]) * parts) if len(history) == 1 else 0
+    return small_frame(spark, [{"slope": round(model.weights[0], 1), "intercept": round(model.intercept, 1), "rows": rows}],
+                       "slope double, intercept double, rows bigint")
+
+
 @query("train_forest")
 def train_forest(spark, d):
     lines = with_split(_scaled_lines(spark, d), KEY)

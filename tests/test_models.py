@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from prepforge.errors import InferenceError, TrainingError
-from prepforge.models import forest
+from prepforge.models import forest, sgd
 from prepforge.models.forest import fit_forest, fit_forest_classifier
 from prepforge.models.linear import LinearModel, fit_least_squares
 from prepforge.models.mlp import Layers, MlpModel, fit_mlp
-from prepforge.models.sgd import fit_sgd, product_averages
+from prepforge.models.sgd import descend, fit_sgd
 from prepforge.plans.attribution import (
     contributions, lime, shap_importance, standard_deviations)
 from prepforge.plans.scoring import Predictor
@@ -48,15 +48,61 @@ def test_sgd_approaches_least_squares(points):
     assert model.intercept == pytest.approx(4, abs=5e-3)
     assert history[-1] <= history[0]
     more, _ = fit_sgd(points, FEATURES, "y", start=model, max_iter=1)
-    assert more.extra["steps"] == model.extra["steps"] + 1000
-    with pytest.raises(TrainingError):
+    assert more.extra["steps"] == model.extra["steps"] + 400
+    with pytest.raises(TrainingError, match="diverged"):
         fit_sgd(points.withColumn("a", F.col("a") * 1e6), FEATURES, "y")
 
 
-def test_product_averages(spark, points):
-    n, found = product_averages(points, FEATURES)
-    rows = np.array([[1.0, *[r[f] for f in FEATURES]] for r in points.collect()])
-    assert n == 400 and np.allclose(found, rows.T @ rows / 400)
+def test_descend_is_one_step_per_row():
+    r = np.random.default_rng(4)
+    x, y, w = r.normal(size=(9, 2)), r.normal(size=9), np.array([0.3, -1.0, 2.0])
+    want, lost = w.copy(), 0.0
+    for i in range(9):
+        rate = 0.01 / (5 + 1 + i) ** 0.25
+        error = want[0] + x[i] @ want[1:] - y[i]
+        lost += error ** 2 / 2
+        want = np.concatenate([[want[0] - rate * error], want[1:] - rate * (error * x[i] + 1e-3 * want[1:])])
+    got, found = descend(w, x, y, 5, 0.01, 0.25, 1e-3)
+    assert got == pytest.approx(want, rel=1e-12) and found == pytest.approx(lost)
+
+
+def test_sgd_order_layout_and_parts(points, monkeypatch):
+    one, other = (fit_sgd(points.repartition(n), FEATURES, "y", max_iter=2)[0] for n in (1, 7))
+    assert one.weights == other.weights
+    drawn, _ = fit_sgd(points, FEATURES, "y", max_iter=2, random_state=7)
+    assert drawn.weights != one.weights and drawn.weights == pytest.approx(one.weights, abs=0.2)
+    monkeypatch.setattr(sgd, "PART_ROWS", 30)
+    parts, history = fit_sgd(points, FEATURES, "y", max_iter=25, tol=1e-9)
+    assert parts.weights == pytest.approx([1.5, -2, 0.5], abs=0.5) and parts.extra["steps"] == pytest.approx(
+        len(history) * 400 / 14)
+
+
+@pytest.mark.parametrize("intercept", [True, False])
+def test_least_squares_of_least_length(spark, points, intercept):
+    df = points.select("a", "b", (F.col("a") + F.col("b")).alias("s"), F.lit(2.0).alias("one"), F.col("a").alias("a2"),
+                       (F.col("y") + F.sin("id")).alias("y")).repartition(40)
+    names = ["a", "b", "s", "one", "a2"]
+    model = fit_least_squares(df, names, "y", fit_intercept=intercept)
+    rows = np.array([list(r) for r in df.collect()])
+    x, y = rows[:, :-1], rows[:, -1]
+    mean_x, mean_y = (x.mean(axis=0), y.mean()) if intercept else (0, 0)
+    want = np.linalg.lstsq(x - mean_x, y - mean_y, rcond=None)[0]
+    assert model.weights == pytest.approx(want, abs=1e-9)
+    assert model.intercept == pytest.approx(mean_y - mean_x @ want if intercept else 0.0, abs=1e-9)
+
+
+def test_fewer_rows_than_features_and_wide_tables(spark):
+    r = np.random.default_rng(8)
+    x, w = r.normal(size=(300, 2050)), r.normal(size=2050)
+    names = [f"f{i}" for i in range(2050)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(y=x @ w + 3)).repartition(3).cache()
+    model = fit_least_squares(df, names, "y")
+    centred = x - x.mean(axis=0)
+    assert model.weights == pytest.approx(np.linalg.lstsq(centred, centred @ w, rcond=None)[0], abs=1e-6)
+    sgd_model, history = fit_sgd(df, names, "y", max_iter=2, eta0=1e-4)
+    assert len(sgd_model.weights) == 2050 and history[-1] < history[0]
+    with pytest.raises(TrainingError, match="no rows"):
+        fit_least_squares(df.limit(0).select("f1", "y"), ["f1"], "y")
 
 
 @pytest.mark.parametrize("width", [3, 25])
