@@ -45,9 +45,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the sources down to their weights; no document is used twice."""
-    chosen = mixing.mixture(docs, LEVELS, WEIGHTS, share=BUDGET, epochs=1)
-    return keep_rows(docs, chosen.withColumn("kept", F.lit(True)))
+    """Cuts the sources down to their weights; no row is used twice.
+
+    Rows that repeat an id within a leaf (null ids too) are kept together or
+    dropped together; the same id in another leaf is decided there.
+    """
+    return mixing.used_rows(docs, mixing.mixture(docs, LEVELS, WEIGHTS, share=BUDGET, epochs=1), LEVELS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

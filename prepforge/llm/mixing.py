@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prepforge.llm.tables import Scratch, only
+from prepforge.llm.tables import Scratch, fresh, only
 
 SHARE = 0.8             # tokens of the mixture, as a share of the tokens there are
 EPOCHS = 2              # times a document may be used
@@ -117,3 +117,19 @@ def mixture(docs: DataFrame, levels: Mapping[str, str], weights: Mapping[str, Ma
     whole = placed.where("whole > 0").select(
         "doc_id", *names, "tokens", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"))
     return whole.unionByName(early).unionByName(last)
+
+
+def used_rows(docs: DataFrame, chosen: DataFrame, levels: Mapping[str, str], id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``mixture`` uses at least once, in the columns of ``docs``.
+
+    A row is found by its leaf and its id, which ``mixture`` uses together or not
+    at all; a null id matches a null id. The tokens of what stays are those that
+    ``chosen`` has, each use counted once, however often an id is repeated within
+    a leaf or across leaves.
+    """
+    names = {n: fresh(f"of_{n}", docs.columns) for n in ["doc_id", *levels]}
+    uses = chosen.select(*[F.col(n).alias(own) for n, own in names.items()]).distinct()
+    on = docs[f"`{id_col}`"].eqNullSafe(uses[names["doc_id"]])
+    for level, expression in levels.items():
+        on = on & (F.coalesce(F.expr(expression).cast("string"), F.lit("")) == uses[names[level]])
+    return docs.join(uses, on, "left_semi")

@@ -7,9 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prepforge.llm.collocations import bitmap, marked
 from prepforge.llm.components import components
 from prepforge.llm.tables import Scratch, only
 from prepforge.llm.textblocks import Block, blocks, mixed, sets, sums, windows
@@ -17,8 +19,8 @@ from prepforge.llm.textblocks import Block, blocks, mixed, sets, sums, windows
 SIZE = 128              # positions of a signature
 ROWS = 4                # positions per band: a pair at 0.75 shares none of 32 bands once in 190,000 pairs
 PERCENT = 75            # similarity from which documents are linked
-SLOTS = 1 << 18         # hash buckets in which the crowding of shingles is counted
-CROWD = 64              # occurrences from which a bucket counts as crowded
+CROWD = 64              # texts from which a shingle is frequent
+MARKS = 1 << 22         # frequent shingles that are marked at most; with more, only the more frequent ones
 
 _DRAW = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -95,11 +97,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the texts that belong to their node's class; an id may stand on other texts too."""
     for batch in batches:
         for block in blocks(batch.column("text")):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node").slice(block.first, block.rows), _lists(*shingle_sets(block))],
-                ["node", "shingles"])
+            found, bounds = shingle_sets(block)
+            own = [batch.column(k).slice(block.first, block.rows) for k in ("node", "key_a", "key_b")]
+            rows = pa.array(np.flatnonzero(
+                (sums(mixed(found), bounds).view(np.int64) == own[1].to_numpy(zero_copy_only=False))
+                & (sums(mixed(found ^ _DRAW), bounds).view(np.int64) == own[2].to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([own[0].take(rows), _lists(found, bounds).take(rows)], ["node", "shingles"])
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +114,19 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
-def _crowding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SLOTS, dtype=np.int64)
-    for batch in batches:
-        values, _ = _flat(batch.column("shingles"))
-        counts += np.bincount((values % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["slot", "n"])
+def _frequent(sets_: DataFrame) -> Broadcast:
+    """A bitmap of the shingles that CROWD sets hold or more, by their own counts.
+
+    Counts are summed before they are exchanged. With more than MARKS of them the
+    limit rises fourfold until the bitmap tells them apart from others.
+    """
+    counted = Scratch(sets_.sparkSession, "near").write(
+        sets_.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        .where(f"n >= {CROWD}"))
+    least = CROWD
+    while counted.where(f"n >= {least}").count() > MARKS:
+        least *= 4
+    return bitmap(counted.where(f"n >= {least}"), ["token"])
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -135,17 +147,13 @@ def _sharing_a_rare_shingle(sets_: DataFrame, percent: int) -> DataFrame:
 
     In any common order of shingles, two sets that are similar enough share one
     of the first ``n - ceil(n * percent / 100) + 1``, and what stands after the
-    first shared one must suffice in both. Shingles of crowded hash buckets come
-    last, so a passage that very many texts hold pairs none that differ enough
-    elsewhere. For each shingle, nodes of its most frequent label are only
-    compared with the others, so a large group is not compared within itself.
+    first shared one must suffice in both. Frequent shingles come last, so a
+    passage that very many texts hold pairs none that differ enough elsewhere.
+    For each shingle, nodes of its most frequent label are only compared with
+    the others, so a large group is not compared within itself.
     """
     kind = sets_.schema["node"].dataType.simpleString()
-    counted = (sets_.select("shingles").mapInArrow(_crowding, "slot bigint, n bigint")
-               .groupBy("slot").agg(F.sum("n").alias("n")).where(f"n >= {CROWD}").select("slot").toPandas())
-    crowded = np.zeros(SLOTS, dtype=bool)
-    crowded[counted["slot"].to_numpy(dtype=np.int64)] = True
-    known = sets_.sparkSession.sparkContext.broadcast(crowded)
+    known = _frequent(sets_)
 
     def first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +161,7 @@ def _sharing_a_rare_shingle(sets_: DataFrame, percent: int) -> DataFrame:
             taken = []
             for i in range(batch.num_rows):
                 own = values[bounds[i]:bounds[i + 1]]
-                own = own[np.argsort(known.value[(own % np.uint64(SLOTS)).astype(np.int64)], kind="stable")]
+                own = own[np.argsort(marked(known.value, own), kind="stable")]
                 taken.append(own[:len(own) - -(-len(own) * percent // 100) + 1])
             size = np.array([len(t) for t in taken], dtype=np.int64)
             row = pa.array(np.repeat(np.arange(batch.num_rows), size))
@@ -178,8 +186,19 @@ def _sharing_a_rare_shingle(sets_: DataFrame, percent: int) -> DataFrame:
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
 
+def _same_id(filled: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    """Links ``a, b`` of the classes of ids that stand on several texts."""
+    key = F.struct(*keys)
+    several = (filled.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+               .where("low < high").select("doc_id"))
+    own = (filled.select("doc_id", *keys).join(several, "doc_id").distinct()
+           .join(classes.select("node", *keys), keys).select("doc_id", "node"))
+    heads = own.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return own.join(heads, "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", exact: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row per row of ``docs``.
 
     A document's set holds its distinct windows of five words (A-Z lower-cased);
@@ -195,11 +214,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     components are then compared across components by an exact join on their
     rarest shingles. So no pair that shares a band is left undecided, a group
     of n copies costs 2n pairs, not n squared, and texts that merely hold the
-    same passage are not paired at all.
-
-    A null text is empty. Rows that repeat an id share its component. A row with
-    a null id is kept by itself, with a null component, and does not link others.
-    No rows give no rows.
+    same passage are not paired at all. A pair that is just similar enough
+    shares no band once in 190,000; with ``exact`` all classes, not only those
+    of such buckets, go through the exact join, which loses none and moves a
+    quarter of all shingles.
+
+    A null text is empty. Rows that repeat an id are one document: the classes
+    of their texts are linked (an empty one stays by itself). A row with a null
+    id is kept by itself, with a null component, and does not link others. No
+    rows give no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -208,10 +231,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     sketch = scratch.write(texts.mapInArrow(
         _sketch, f"doc_id {kind}, n_shingles bigint, key_a bigint, key_b bigint, bands array<bigint>"))
     filled = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.write(filled.groupBy("key_a", "key_b", "n_shingles")
-                            .agg(F.min("doc_id").alias("node")))
-    entries = scratch.write(filled.join(classes.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
-                            .select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")))
+    keys = ["key_a", "key_b", "n_shingles"]
+    classes = scratch.write(filled.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+                            .withColumn("node", F.monotonically_increasing_id()))
+    entries = scratch.write(classes.select("node", F.explode("bands").alias("bucket")))
     heads = (entries.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last"))
              .where("head < last"))
     shared = scratch.write(entries.join(heads, "bucket"))
@@ -219,27 +242,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     spokes = scratch.write(
         shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
         .union(shared.where("node <> last").select(F.col("node").alias("a"), F.col("last").alias("b"))).distinct())
-    wanted = spokes.select("a").union(spokes.select("b")).distinct().withColumnRenamed("a", "node")
+    wanted = (classes.select("node") if exact
+              else spokes.select("a").union(spokes.select("b")).distinct().withColumnRenamed("a", "node"))
+    named = classes.select("node", "doc_id", "key_a", "key_b").join(wanted, "node")
     # a sort-merge join at every size: what is exchanged grows with the table, not in a step
-    full = scratch.write(texts.withColumnRenamed("doc_id", "node").join(wanted.hint("merge"), "node", "left_semi")
-                         .mapInArrow(_full_sets, f"node {kind}, shingles array<bigint>")
-                         .dropDuplicates(["node"]))
-    links = scratch.write(_confirmed(spokes, full, percent))
+    full = scratch.write(texts.join(named.hint("merge"), "doc_id").select("node", "key_a", "key_b", "text")
+                         .mapInArrow(_full_sets, "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+    links = scratch.write(_confirmed(spokes, full, percent).union(_same_id(filled, classes, keys)))
     joined = scratch.write(components(links))
     placed = (shared.join(joined, "node", "left")
               .select("bucket", "node", F.coalesce("label", "node").alias("label")))
     mixed_up = (placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                 .where("low < high").select("bucket"))
-    open_ = placed.join(mixed_up, "bucket").select("node", "label").distinct()
+    if exact:
+        open_ = classes.select("node").join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    else:
+        open_ = placed.join(mixed_up, "bucket").select("node", "label").distinct()
     undecided = scratch.write(full.join(open_, "node"))
     rest = scratch.write(_sharing_a_rare_shingle(undecided, percent).join(spokes, ["a", "b"], "left_anti"))
     more = scratch.write(_confirmed(rest, full, percent))
     label = joined if more.isEmpty() else components(links.union(more))
     scratch.drop(shared, undecided, rest, full, spokes)
-    place = classes.join(label, "node", "left").select(
-        "key_a", "key_b", "n_shingles", F.coalesce("label", "node").alias("component"))
-    rows = sketch.select("doc_id", "n_shingles", "key_a", "key_b")
-    on = reduce(lambda x, y: x & y, [rows[c] == place[c] for c in ("key_a", "key_b", "n_shingles")])
+    first = label.join(classes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component"))
+    place = classes.select("node", "doc_id", *keys).join(label.join(first, "label"), "node", "left").select(
+        *keys, F.coalesce("component", "doc_id").alias("component"))
+    rows = sketch.select("doc_id", *keys)
+    on = reduce(lambda x, y: x & y, [rows[c] == place[c] for c in keys])
     found = rows.join(place, on & rows["doc_id"].isNotNull(), "left").select(
         rows["doc_id"], rows["n_shingles"], F.coalesce("component", rows["doc_id"]).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -3,13 +3,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import ODD, collected, frame, groups, lower, rng, some_text, words
 
+from prepforge.llm import near_dedup
 from prepforge.llm.chunk_dedup import LEAST, MOST, chunk_ends, cut_points, exact_duplicates, normalised
 from prepforge.llm.components import components
 from prepforge.llm.near_dedup import SIZE, near_duplicates, superminhash
-from prepforge.llm.textblocks import Block, mixed
+from prepforge.llm.textblocks import Block, blocks, mixed
 
 
 def block(*texts):
@@ -106,7 +108,8 @@ def expected_near(rows):
     return Counter((i, len(s), found.get(i), i == found.get(i)) for i, s in sets)
 
 
-def test_near_duplicates_against_all_pairs(spark):
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_duplicates_against_all_pairs(spark, exact):
     r = rng(5)
     rows, number = list(ODD), 100
     for _ in range(12):
@@ -119,7 +122,7 @@ def test_near_duplicates_against_all_pairs(spark):
             number += 1
     passage = some_text(r, 120)
     rows += [(number + k, passage + " " + some_text(r, r.randrange(10, 90))) for k in range(40)]
-    out = near_duplicates(frame(spark, rows)).collect()
+    out = near_duplicates(frame(spark, rows), exact=exact).collect()
     assert Counter(tuple(x) for x in out) == expected_near(rows)
 
 
@@ -157,3 +160,33 @@ def test_null_ids_stay_once_per_text(spark):
     near = keep_rows(docs, near_duplicates(docs)).collect()
     assert Counter(" ".join(words(x["text"])) for x in near if x["doc_id"] is None) == {
         "no id": 1, "another": 1, "two words": 1, "": 1}
+
+
+@pytest.mark.parametrize("parts, turned", [(1, False), (1, True), (5, False)])
+def test_one_id_on_two_texts_links_both(spark, parts, turned):
+    r = rng(31)
+    a, b = some_text(r, 200), some_text(r, 200)
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, some_text(r, 50)), (1, None)]
+    out = near_duplicates(frame(spark, rows[::-1] if turned else rows, parts)).collect()
+    assert {(x["doc_id"], x["component_id"]) for x in out} == {(1, 1), (2, 1), (3, 1), (4, 4)} and len(out) == 6
+
+
+def test_a_passage_of_many_texts_pairs_none_of_them(spark):
+    r = rng(32)
+    shared = some_text(r, 120)
+    texts = [f"{some_text(r, 100)} {shared} {some_text(r, 100)}" for _ in range(300)]
+    found, bounds = near_dedup.shingle_sets(next(blocks(pa.array(texts))))
+    sets_ = spark.createDataFrame([(i, i, found[bounds[i]:bounds[i + 1]].view("int64").tolist()) for i in range(300)],
+                                  "node bigint, label bigint, shingles array<bigint>").repartition(4)
+    assert near_dedup._sharing_a_rare_shingle(sets_, 75).count() < 60      # of 44,850: ends of the passage
+
+
+def test_exact_join_of_all_classes(spark):
+    r = rng(33)
+    base = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:50] + ["x"] + base[51:])), (3, some_text(r, 90))]
+    sets_ = [set(zip(*[words(t)[i:] for i in range(5)])) for _, t in rows]
+    percent = 100 * len(sets_[0] & sets_[1]) // len(sets_[0] | sets_[1])
+    for least, linked in ((percent, True), (percent + 1, False)):
+        out = near_duplicates(frame(spark, rows), percent=least, exact=True).collect()
+        assert {x["doc_id"]: x["component_id"] for x in out} == {1: 1, 2: 1 if linked else 2, 3: 3}

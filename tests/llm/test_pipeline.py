@@ -56,6 +56,17 @@ def test_stages(spark, tables):
         (x["doc_id"], x["piece"], x["length"], x["ids_crc32"]) for x in packed)
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_mixture_keeps_rows_of_a_leaf_not_all_of_an_id(spark, key):
+    rows = [(key, "w " * 100, "en", "src1")] * 5 + [(key, "w " * 10, "en", "src2"), (8, "w " * 30, "de", "src1"),
+                                                   (9, "w " * 40, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+    chosen = corpus_pipeline.mixing.mixture(docs, corpus_pipeline.LEVELS, corpus_pipeline.WEIGHTS, share=0.9, epochs=1)
+    want = Counter((x["doc_id"], x["tokens"]) for x in chosen.collect())
+    got = Counter((x["doc_id"], len(words(x["text"]))) for x in corpus_pipeline.mix(spark, docs, "").collect())
+    assert got == want and sum(t * n for (_, t), n in got.items()) <= 0.9 * 580
+
+
 def test_empty_table(spark, tables):
     folder, _, _ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
