@@ -167,7 +167,12 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def _packed(batch_id: int, ids: list[pa.Array], texts: list[str | None], own: Aligner) -> pa.RecordBatch:
-    """All documents of a batch as one row: their stretches by number, and the different stretches' alignments."""
+    """All documents of a batch as one row.
+
+    What only Python reads again, the documents' stretches by number and the
+    different stretches' alignments, is one compressed value; the different
+    pairs of ids and their numbers stand beside it.
+    """
     word, sizes = own.numbers(texts)
     unusable = own.sizes[0] == 0
     if unusable[word].any():
@@ -184,21 +189,25 @@ def _packed(batch_id: int, ids: list[pa.Array], texts: list[str | None], own: Al
     pairs, link = np.unique(own.links[inside], return_inverse=True)
     n = np.bincount(link, weights=np.repeat(total[used], n_links), minlength=len(pairs)).astype(np.int64)
     key = pa.concat_arrays(ids)
-    columns = {
-        "batch": pa.array([batch_id], pa.int64()),
+    inner = {
         "doc_id": pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), key),
         "sizes": _lists(sizes, pa.int32()), "words": _lists(place[word], pa.int32()),
         "n_a": _lists(n_a, pa.int32()), "n_b": _lists(n_b, pa.int32()), "n_groups": _lists(n_groups, pa.int32()),
         "texts": pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()),
                                           pa.array([own.text[i] for i in used.tolist()], pa.string())),
-        "n_links": _lists(n_links, pa.int32()), "links": _lists(link, pa.int32()),
-        "pairs": _lists(pairs, pa.int64()), "times": _lists(n, pa.int64()),
+        "n_links": _lists(n_links, pa.int32()), "links": _lists(link, pa.int32()), "pairs": _lists(pairs, pa.int64()),
     }
-    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    content = pa.RecordBatch.from_arrays(list(inner.values()), list(inner))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, content.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(content)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([batch_id], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), inner["pairs"],
+         _lists(n, pa.int64())], ["batch", "content", "pairs", "times"])
 
 
-def _flat(column: pa.Array, row: int) -> np.ndarray:
-    return column[row].values.to_numpy(zero_copy_only=False)
+def _flat(column: pa.Array) -> np.ndarray:
+    return column[0].values.to_numpy(zero_copy_only=False)
 
 
 def _documents(batches: Iterator[pa.RecordBatch],
@@ -207,10 +216,11 @@ def _documents(batches: Iterator[pa.RecordBatch],
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     for batch in batches:
         for r in range(batch.num_rows):
-            at = {name: batch.column(name) for name in batch.schema.names}
-            sizes, words = _flat(at["sizes"], r).astype(np.int64), _flat(at["words"], r)
-            n_links, links = _flat(at["n_links"], r).astype(np.int64), _flat(at["links"], r)
-            pairs = _flat(at["pairs"], r)
+            inner = pa.ipc.open_stream(batch.column("content")[r].as_buffer()).read_next_batch()
+            at = {name: inner.column(name) for name in inner.schema.names}
+            sizes, words = _flat(at["sizes"]).astype(np.int64), _flat(at["words"])
+            n_links, links = _flat(at["n_links"]).astype(np.int64), _flat(at["links"])
+            pairs = _flat(at["pairs"])
             counts, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
             if known is not None:
                 pair, count, highest = known.value
@@ -218,17 +228,17 @@ def _documents(batches: Iterator[pa.RecordBatch],
                     place = np.minimum(np.searchsorted(pair, pairs), len(pair) - 1)
                     hit = pair[place] == pairs
                     counts, best = np.where(hit, count[place], 0), np.where(hit, highest[place], 0).astype(np.int64)
-            elif at["found"][r].is_valid:
-                found = at["found"][r].values
+            elif batch.column("found")[r].is_valid:
+                found = batch.column("found")[r].values
                 place = found.field("pos").to_numpy(zero_copy_only=False)
                 counts[place] = found.field("count").to_numpy(zero_copy_only=False)
                 best[place] = found.field("best").to_numpy(zero_copy_only=False)
             bounds = np.concatenate([[0], np.cumsum(n_links)])
-            per_word = {name: _flat(at[name], r).astype(np.int64) for name in names[:4]}
+            per_word = {name: _flat(at[name]).astype(np.int64) for name in names[:4]}
             per_word |= {"n_best": sums(best[links], bounds), "count_sum": sums(counts[links], bounds)}
             ends = np.concatenate([[0], np.cumsum(sizes)])
             per_doc = [pa.array(sums(per_word[name][words], ends)) for name in names]
-            texts, ids = at["texts"][r].values.to_pylist(), at["doc_id"][r].values
+            texts, ids = at["texts"][0].values.to_pylist(), at["doc_id"][0].values
             first, held, size = 0, [], 0
             for i in range(len(sizes)):
                 held.append(";".join(map(texts.__getitem__, words[ends[i]:ends[i + 1]].tolist())))
@@ -285,10 +295,8 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
             yield _packed(task + made, ids, held, own)
         own.forget()            # the worker's memory is another task's now
 
-    rows = scratch.write(texts.mapInArrow(packed, (
-        f"batch bigint, doc_id array<{kind}>, sizes array<int>, words array<int>, n_a array<int>, n_b array<int>, "
-        "n_groups array<int>, texts array<string>, n_links array<int>, links array<int>, pairs array<bigint>, "
-        "times array<bigint>")))
+    rows = scratch.write(texts.mapInArrow(
+        packed, "batch bigint, content binary, pairs array<bigint>, times array<bigint>"))
     met = rows.select("batch", F.posexplode(F.arrays_zip("pairs", "times")).alias("pos", "met")).select(
         "batch", "pos", F.col("met.pairs").alias("pair"), F.col("met.times").alias("times"))
     low = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
@@ -302,10 +310,10 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
         table = pairs.toPandas().sort_values("pair")
         known = docs.sparkSession.sparkContext.broadcast(
             (table["pair"].to_numpy(), table["count"].to_numpy(), table["best"].to_numpy(dtype=np.int8)))
-        documents = rows.drop("times").mapInArrow(lambda batches: _documents(batches, known), out)
+        documents = rows.select("content").mapInArrow(lambda batches: _documents(batches, known), out)
     else:
         found = (met.drop("times").join(pairs, "pair").groupBy("batch")
                  .agg(F.collect_list(F.struct("pos", "count", "best")).alias("found")))
-        documents = rows.drop("times").join(found.hint("merge"), "batch", "left").mapInArrow(_documents, out)
+        documents = rows.select("batch", "content").join(found.hint("merge"), "batch", "left").mapInArrow(_documents, out)
     return Alignment(documents, pairs.select(F.shiftright("pair", 32).alias("a"), low.alias("b"), "count",
                                              (F.col("best") == 1).alias("best")))
