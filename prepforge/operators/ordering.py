@@ -33,6 +33,30 @@ def ordered_totals(df: DataFrame, order: list, sums: list[str]) -> DataFrame:
         (F.col(f"__off_{s}") + F.col(f"__in_{s}")).alias(f"{s}_before") for s in sums])
 
 
+def last_so_far(df: DataFrame, keys: list[str], place: list[str], order: list[str], value: str, into: str) -> DataFrame:
+    """Adds ``into``: the last non-null ``value`` of the row's key up to the row, in the order of ``place``.
+
+    Rows are dealt by ranges of (keys, place), so one key may fill all tasks;
+    ``order`` begins with ``place`` and decides between rows at one place, which
+    stay together. Every partition runs its own window. What reaches it from
+    partitions before is a table of the keys that cross its ends, a few rows per
+    partition. Keys must not be null.
+    """
+    parted = settle(df.repartitionByRange(*[F.col(c) for c in [*keys, *place]])
+                    .withColumn(_PART, F.spark_partition_id()), "ordered")
+    key = F.struct(*keys)
+    ends = parted.groupBy(_PART).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    crossing = ends.select("high.*").intersect(ends.select("low.*"))
+    held = parted.join(F.broadcast(crossing), keys, "left_semi").groupBy(_PART, *keys).agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.select(_PART, *keys, F.last("__end", ignorenulls=True).over(before).alias("__before"))
+    own = Window.partitionBy(_PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = parted.withColumn(into, F.last(value, ignorenulls=True).over(own))
+    return within.join(F.broadcast(carried), [_PART, *keys], "left").select(
+        *df.columns, F.coalesce(into, "__before").alias(into))
+
+
 def newest_first(df: DataFrame, timestamp: str, tiebreak: str, limit: int | None = None) -> DataFrame:
     """Latest rows on top; with a limit this is a top-k, not a full sort."""
     out = df.orderBy(F.col(timestamp).desc(), F.col(tiebreak))

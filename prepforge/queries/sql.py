@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepforge.operators.asof import asof_join
+from prepforge.operators.bands import band_join
 from prepforge.queries.base import query, rounded, table, views
 
 
@@ -91,6 +92,22 @@ def sql_asof(spark, d):
     return out.withColumns(micros)
 
 
+@query("band_join_events", """
+    SELECT h.event_id AS home, count(*) AS n, count(DISTINCT e.user_id) AS users,
+           round(sum(e.value), 2) + 0.0 AS value
+    FROM (SELECT event_id, ts, value FROM events WHERE event_type = 'purchase') h
+    JOIN events e ON e.ts >= h.ts AND e.ts <= h.ts + to_seconds(CAST(floor(h.value) AS BIGINT) * 60 + 600)
+    GROUP BY h.event_id""")
+def band_join_events(spark, d):
+    """What happens during a while after every purchase: intervals of one table against the times of another."""
+    events = table(spark, d, "events")
+    length = F.make_interval(secs=F.floor("value") * 60 + 600)
+    spans = events.where("event_type = 'purchase'").select(
+        F.col("event_id").alias("home"), F.col("ts").alias("low"), (F.col("ts") + length).alias("high"))
+    return band_join(events.select("ts", "user_id", "value"), spans, "ts", "low", "high").groupBy("home").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), rounded(F.sum("value"), 2, "value"))
+
+
 # aggregation ------------------------------------------------------------------------
 
 same("sql_group_having", ["lineitem"], """

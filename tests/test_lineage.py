@@ -1,12 +1,14 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from prepforge.errors import DataError
 from prepforge.operators.asof import asof_join
+from prepforge.operators.bands import band_join
 from prepforge.operators.lineage import duplicate_datasets, lineage, used_hashes, with_row_counts
-from prepforge.operators.ordering import latest_per_key, newest_first, ordered_totals
+from prepforge.operators.ordering import last_so_far, latest_per_key, newest_first, ordered_totals
 
 
 def test_long_chain(spark):
@@ -86,8 +88,41 @@ def test_asof_against_brute_force(spark):
     assert len(got) == len(left)
 
 
+def test_asof_on_one_key_spreads(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        left = spark.range(4000).select("id", F.lit("k").alias("k"), (F.col("id") * 37 % 4001).alias("t"))
+        right = spark.range(40).select(F.lit("k").alias("k"), (F.col("id") * 101 % 4001).alias("s"), F.col("id").alias("v"))
+        got = {r["id"]: (r["asof_s"], r["asof_v"]) for r in asof_join(left, right, ["k"], "t", "s", ["v"]).collect()}
+        known = sorted((r["s"], r["v"]) for r in right.collect())
+        for r in left.collect():
+            assert got[r["id"]] == max([x for x in known if x[0] <= r["t"]], default=(None, None))
+        both = left.select("k", F.col("t").alias("at"), F.lit(None).cast("bigint").alias("v")).unionByName(
+            right.select("k", F.col("s").alias("at"), "v"))
+        parts = last_so_far(both, ["k"], ["at"], ["at", "v"], "v", "found").groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) > 3 and max(r["count"] for r in parts) < 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_popular_ancestor(spark):
     models = spark.range(500).select("id", F.when(F.col("id") >= 2, F.col("id") % 2).when(
         F.col("id") == 1, F.lit(0)).cast("bigint").alias("parent"))
     got = lineage(models, version="id").groupBy("depth").count().collect()
     assert {r["depth"]: r["count"] for r in got} == {0: 500, 1: 499, 2: 249}
+
+
+def test_band_join_against_brute_force(spark):
+    r = random.Random(1)
+    points = [(i, r.choice("ab"), r.choice([None, r.randrange(-50, 300), r.randrange(-50, 300)])) for i in range(300)]
+    bands = [(j, r.choice(["a", "b", None]), (low := r.randrange(-60, 320)), low + r.choice([-1, 0, 0, 1, 3, 17, 200]))
+             for j in range(60)] + [(99, "a", None, 4), (98, "b", -2 ** 40, 2 ** 40)]
+    p = spark.createDataFrame(points, "i int, k string, v bigint")
+    q = spark.createDataFrame(bands, "j int, k string, lo bigint, hi bigint")
+    for by in (["k"], []):
+        joined = band_join(p, q if by else q.drop("k"), "v", "lo", "hi", by)
+        got = sorted((x["i"], x["j"]) for x in joined.collect())
+        assert got == sorted((i, j) for i, k, v in points for j, kk, low, high in bands if None not in (v, low)
+                             and low <= v <= high and (not by or k == kk)) and len(got) > 200
+        assert "NestedLoop" not in joined._jdf.queryExecution().toString() and "Cartesian" not in str(joined)
+    assert band_join(p, q.limit(0).drop("k"), "v", "lo", "hi").count() == 0
