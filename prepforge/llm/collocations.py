@@ -25,6 +25,7 @@ TOP = 2000              # phrases reported per language
 UNKNOWN = "und"
 BITS = 26               # size of the bitmap that tells which parts are frequent: 8 MB
 SHARD = 6 << 20         # bytes of the phrases of one trie
+AT_ONCE = 2             # tries that one scan walks
 MERGED = 1 << 21        # words or windows that a task merges before it passes them on
 
 _JOIN = np.uint64(0xD1B54A32D192ED03)
@@ -326,37 +327,44 @@ def _built(shard: pd.DataFrame) -> pd.DataFrame:
 
 
 def _count_phrases(width: int, known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Occurrences of the phrases of a trie, by id: all word starts of a block take one byte at a time."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(*[np.frombuffer(x, dtype=np.int32) for x in known.value])
+    """Occurrences of the phrases of some tries, by id: all word starts of a block take one byte at a time."""
+    def walked(trie: Trie, state: np.ndarray, at: np.ndarray, content: np.ndarray, total: np.ndarray) -> None:
         base, check, accept = trie
-        total = np.zeros(int(accept.max(initial=-1)) + 1, dtype=np.int64)
-        roots: dict[str, int] = {}
+        while len(at):
+            to = base[state] + content[at]
+            on = np.flatnonzero(check[to] == state)
+            state, at = to[on], at[on] + np.int32(1)
+            ended = accept[state[_END[content[at]]]]
+            ended = ended[ended >= 0]
+            if len(ended):
+                total += np.bincount(ended, minlength=len(total))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries = {k: Trie(*[np.frombuffer(x, dtype=np.int32) for x in arrays]) for k, arrays in known.value.items()}
+        totals = {k: np.zeros(int(t.accept.max(initial=-1)) + 1, dtype=np.int64) for k, t in tries.items()}
+        roots: dict[tuple[int, str], int] = {}
         for words, langs, place in _each(batches):
             sizes = words.ends - words.starts + 1
             begins = np.cumsum(sizes) - sizes
             # every word and one byte after it: a space within a piece, else a line break
             content = spans(np.append(words.block.data, np.uint8(0)), words.starts, sizes)
             content[begins + sizes - 1] = np.where(words.joined, 0x20, 0x0A)
-            for lang in langs:
-                if lang not in roots:
-                    roots[lang] = trie.walk(_key(lang, ""))
-            root = np.array([roots[x] for x in langs], dtype=np.int32)[place[words.text]]
-            able = root >= 0
+            able = np.ones(len(words.starts), dtype=bool)
             for i in range(width - 1):
                 able[:len(able) - i] &= words.joined[i:]
                 able[len(able) - i:] = False
-            state, at = root[able], begins[able].astype(np.int32)
-            while len(at):
-                to = base[state] + content[at]
-                on = np.flatnonzero(check[to] == state)
-                state, at = to[on], at[on] + np.int32(1)
-                ended = accept[state[_END[content[at]]]]
-                ended = ended[ended >= 0]
-                if len(ended):
-                    total += np.bincount(ended, minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+            begins, whose = begins[able].astype(np.int32), place[words.text[able]]
+            for k, trie in tries.items():
+                for lang in langs:
+                    if (k, lang) not in roots:
+                        roots[k, lang] = trie.walk(_key(lang, ""))
+                root = np.array([roots[k, x] for x in langs], dtype=np.int32)[whose]
+                walked(trie, root[root >= 0], begins[root >= 0], content, totals[k])
+        for k, total in totals.items():
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(used), k, dtype=np.int32)), pa.array(used.astype(np.int32)), pa.array(total[used])],
+                ["shard", "id", "n"])
 
     return count
 
@@ -366,7 +374,7 @@ def counted_phrases(texts: DataFrame, candidates: DataFrame, width: int, scratch
 
     Candidates are cut into shards of about SHARD bytes. A shard's trie is built
     in a task, collected and broadcast (at most some 12 bytes per byte of
-    phrases, whatever the corpus); all texts are scanned once per shard.
+    phrases, whatever the corpus); all texts are scanned once per AT_ONCE shards.
     """
     key = F.concat(F.hex(F.encode("lang", "UTF-8")), F.lit("\n"), "phrase")
     held = scratch.write(candidates)
@@ -380,13 +388,13 @@ def counted_phrases(texts: DataFrame, candidates: DataFrame, width: int, scratch
     tries = scratch.write(numbered.select("shard", "id", "lang", "phrase").groupBy("shard").applyInPandas(
         _built, "shard int, base binary, check binary, accept binary"))
     counts = []
-    for k in range(shards):
-        for arrays in tries.where(F.col("shard") == k).select(*Trie._fields).toArrow().to_pylist():
-            known = texts.sparkSession.sparkContext.broadcast([arrays[x] for x in Trie._fields])
-            found = texts.mapInArrow(_count_phrases(width, known), "id bigint, n bigint")
-            counts.append(scratch.write(found.groupBy("id").agg(F.sum("n").alias("n"))
-                                        .select(F.lit(k).alias("shard"), F.col("id").cast("int").alias("id"), "n")))
-            known.destroy()
+    for k in range(0, shards, AT_ONCE):
+        known = texts.sparkSession.sparkContext.broadcast({
+            row["shard"]: [row[x] for x in Trie._fields]
+            for row in tries.where(F.col("shard").between(k, k + AT_ONCE - 1)).toArrow().to_pylist()})
+        found = texts.mapInArrow(_count_phrases(width, known), "shard int, id int, n bigint")
+        counts.append(scratch.write(found.groupBy("shard", "id").agg(F.sum("n").alias("n"))))
+        known.destroy()
     return numbered.join(reduce(DataFrame.unionByName, counts), ["shard", "id"]).drop("shard", "id")
 
 
