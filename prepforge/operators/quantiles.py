@@ -12,13 +12,16 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepforge.errors import DataError
-from prepforge.functions.columns import as_number
+from prepforge.functions.columns import as_number, quoted
 from prepforge.operators.longform import ITEM, MAX_STACKED, stacked
+from prepforge.operators.ordering import ordered_totals
 
 ACCURACY = 10_000          # rank error of the sketch is at most 1 / ACCURACY
 MAX_BRACKET_VALUES = 50_000
@@ -178,3 +181,37 @@ def _at(values: list[tuple[float, int]], rank: int) -> float:
             return value
         rank -= n
     raise DataError("rank outside the collected bracket")
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], column: str, probs: list[float], names: list[str]) -> DataFrame:
+    """``by`` and one column per probability: exact interpolated quantiles of every group.
+
+    Equal values are counted first; the counts are added up along ranges of
+    (group, value), so a group of any size is spread over the tasks, and the
+    values at the two ranks around each quantile are picked by an aggregate.
+    NULL and NaN are ignored, a group without values has NULLs, and NULL is a
+    group of its own.
+    """
+    keys = [f"__k{i}" for i in range(len(by))]
+    rows = df.select(*[quoted(b).alias(k) for b, k in zip(by, keys)], as_number(df, column).alias("__v"))
+    cells = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    groups = cells.select(*keys).distinct()
+    run = ordered_totals(cells.where("__v IS NOT NULL"), [F.col(c) for c in [*keys, "__v"]], ["__n"])
+    sizes = run.groupBy(*keys).agg(F.min("__n_before").alias("__start"), F.sum("__n").alias("__total"))
+
+    def same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        other = right.select(*[F.col(k).alias(f"{k}_") for k in keys], *[c for c in right.columns if c not in keys])
+        on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], F.lit(True))
+        return left.join(other, on, how).drop(*[f"{k}_" for k in keys])
+
+    below = F.col("__n_before") - F.col("__start")
+    place = [F.lit(float(p)) * (F.col("__total") - 1) for p in probs]
+    holds = lambda rank: F.max(F.when((below <= rank) & (rank < below + F.col("__n")), F.col("__v")))
+    picked = same(run, sizes, "inner").groupBy(*keys, "__total").agg(*[
+        expr for i, at in enumerate(place) for expr in (
+            holds(F.floor(at)).alias(f"__a{i}"), holds(F.ceil(at)).alias(f"__b{i}"))])
+    values = [(F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * (at - F.floor(at))).alias(f"__q{i}")
+              for i, at in enumerate(place)]
+    found = same(groups, picked.select(*keys, *values), "left")
+    return found.select(*[F.col(k).alias(b) for k, b in zip(keys, by)],
+                        *[F.col(f"__q{i}").alias(n) for i, n in enumerate(names)])

@@ -1,6 +1,6 @@
 """The registered queries and the SQL each one is checked against."""
 
-from prepforge.queries import evaluation, governance, modelling, preparation, sql
+from prepforge.queries import evaluation, governance, lifecycle, modelling, preparation, sql
 from prepforge.queries.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "governance", "modelling", "preparation", "sql"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "governance", "lifecycle", "modelling", "preparation", "sql"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prepforge.operators.asof import asof_join
 from prepforge.operators.bands import band_join
+from prepforge.operators.quantiles import grouped_quantiles
 from prepforge.queries.base import query, rounded, table, views
 
 
@@ -132,17 +133,34 @@ same("sql_grouping_sets", ["orders"], """
     SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders
     GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())""")
 
-dialect("sql_statistics", ["lineitem"], """
-    SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(corr(l_quantity, l_extendedprice), 8) AS r,
-           round(skewness(l_discount), 3) AS skew, count_if(l_tax > 0.04) AS taxed,
-           percentile(l_linenumber, 0.9) AS p90, max_by(l_orderkey, struct(l_extendedprice, l_orderkey)) AS dearest
-    FROM lineitem GROUP BY l_returnflag""", """
+@query("sql_statistics", """
     SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(corr(l_quantity, l_extendedprice), 8) AS r,
            round(skewness(l_discount) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)), 3) + 0.0 AS skew,
            CAST(count_if(l_tax > 0.04) AS BIGINT) AS taxed,
            quantile_cont(CAST(l_linenumber AS DOUBLE), 0.9) AS p90,
            arg_max(l_orderkey, {'p': l_extendedprice, 'k': l_orderkey}) AS dearest
     FROM lineitem GROUP BY l_returnflag""")
+def sql_statistics(spark, d):
+    """Moments by SQL; the quantile of each group without holding a group's values."""
+    views(spark, d, "lineitem")
+    moments = spark.sql("""
+        SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(corr(l_quantity, l_extendedprice), 8) AS r,
+               round(skewness(l_discount), 3) AS skew, count_if(l_tax > 0.04) AS taxed,
+               max_by(l_orderkey, struct(l_extendedprice, l_orderkey)) AS dearest
+        FROM lineitem GROUP BY l_returnflag""")
+    tops = grouped_quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_linenumber", [0.9], ["p90"])
+    return moments.join(tops, "l_returnflag")
+
+
+@query("grouped_quantiles", """
+    SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.1), 6) + 0.0 AS low,
+           round(median(l_extendedprice), 6) + 0.0 AS middle,
+           round(quantile_cont(l_extendedprice, 0.99), 6) + 0.0 AS high FROM lineitem GROUP BY ALL""")
+def quantiles_by_group(spark, d):
+    return grouped_quantiles(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice",
+                             [0.1, 0.5, 0.99], ["low", "middle", "high"]).select(
+        "l_returnflag", "l_linestatus", *[rounded(c, 6) for c in ("low", "middle", "high")])
+
 
 # windows ------------------------------------------------------------------------------
 # Ranks keep only the first rows of each group and running frames go over days,
@@ -363,6 +381,8 @@ def sql_sample(spark, d):
     SELECT lang, count(*) AS n, round(avg(n_chars), 4) + 0.0 AS mean, median(n_chars) AS middle,
            CAST(sum(length(text)) AS BIGINT) AS letters FROM documents GROUP BY lang""")
 def sql_describe_values(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(
+    docs = table(spark, d, "documents")
+    middle = grouped_quantiles(docs, ["lang"], "n_chars", [0.5], ["middle"])
+    return docs.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), rounded(F.avg("n_chars"), 4, "mean"),
-        F.median("n_chars").alias("middle"), F.sum(F.length("text")).alias("letters"))
+        F.sum(F.length("text")).alias("letters")).join(middle, "lang")

@@ -11,7 +11,7 @@ from prepforge.operators.encode import LabelEncoder, OneHotEncoder
 from prepforge.operators.features import create_polynomial_features
 from prepforge.operators.impute import handle_missing_values, modes
 from prepforge.operators.profile import profile
-from prepforge.operators.quantiles import exact_quantiles
+from prepforge.operators.quantiles import exact_quantiles, grouped_quantiles
 from prepforge.operators.scale import ColumnScaler, MinMaxScaler, RobustScaler, StandardScaler
 from prepforge.operators.split import train_test_split, with_split
 from prepforge.plans.preparation import PreprocessingPipeline, apply_preprocessing_pipeline
@@ -312,3 +312,16 @@ def test_names_of_a_table_dictionary(spark):
     assert encoder.categories["y"].values is None
     assert encoder.get_feature_names() == ["x0_a", "x0_b", "x0_c"]
     assert encoder.get_feature_names(["y"]) == ["y_a", "y_b", "y_c"]
+
+
+def test_quantiles_of_groups(spark):
+    rows = [(k, None if i % 11 == 5 else float("nan") if i % 13 == 5 else float(i * 37 % 91))
+            for i in range(400) for k in ["a" if i % 5 else None]] + [("b", 3.5), ("c", None), ("d", 1.0), ("d", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    got = {r["g"]: (r["lo"], r["mid"], r["hi"]) for r in grouped_quantiles(
+        df, ["g"], "v", [0.0, 0.5, 0.93], ["lo", "mid", "hi"]).collect()}
+    assert set(got) == {"a", None, "b", "c", "d"} and got["c"] == (None, None, None)
+    for g in ("a", None, "b", "d"):
+        known = [v for k, v in rows if k == g and v is not None and v == v]
+        assert got[g] == pytest.approx(tuple(np.quantile(known, [0.0, 0.5, 0.93])))
+    assert grouped_quantiles(df.limit(0), ["g"], "v", [0.5], ["m"]).count() == 0
