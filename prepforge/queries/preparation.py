@@ -103,24 +103,25 @@ def load_columns_limit(spark, d):
 @query("csv_round_trip", """
     SELECT o_orderkey, o_custkey, o_orderstatus,
            CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS o_totalprice,
-           o_orderpriority FROM orders""")
+           strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders""")
 def csv_round_trip(spark, d):
     """Orders written as CSV text with 'NA' for missing prices, read back typed."""
     path = scratch_path(spark, "orders_csv")
     price = F.when(F.col("o_orderstatus") == "P", "NA").otherwise(F.col("o_totalprice").cast("string"))
     table(spark, d, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", price.alias("o_totalprice"), "o_orderpriority",
+        "o_orderkey", "o_custkey", "o_orderstatus", price.alias("o_totalprice"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority",
     ).write.option("header", True).csv(path)
     return read_csv(spark, path)
 
 
 @query("retype_strings", """
-    SELECT event_id, user_id, event_type, value,
+    SELECT event_id, user_id, event_type, value, CAST(ts AS VARCHAR) AS ts,
            CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
 def retype_all_text(spark, d):
     """Every column as text first; types come back from the values."""
     events = table(spark, d, "events")
-    text = events.select(*[F.col(c).cast("string") for c in ("event_id", "user_id", "event_type", "value")],
+    text = events.select(*[F.col(c).cast("string") for c in ("event_id", "user_id", "event_type", "value", "ts")],
                          F.get_json_object("props", "$.k").alias("k"))
     return retype_strings(text)
 
