@@ -13,6 +13,7 @@ from prepforge.plans.catalog import DatasetCatalog
 from prepforge.plans.registry import list_versions
 from prepforge.queries.base import query, rounded, table
 from prepforge.session import scratch_path, small_frame
+from prepforge.sources.digest import file_digests
 
 # fingerprints --------------------------------------------------------------------
 
@@ -185,6 +186,21 @@ def latest_catalog_rows(spark, d):
                           {"created_at": "ts"}).drop("ts")
 
 
+@query("file_digest", """
+    WITH t AS (SELECT string_agg(CAST(o_orderkey AS VARCHAR) || ',' || o_orderpriority || chr(10), ''
+                                 ORDER BY o_orderkey) AS c FROM orders),
+    leaves AS (SELECT i, sha256(substr(c, i * 4096 + 1, 4096)) AS h
+               FROM t, (SELECT unnest(range((SELECT (length(c) + 4095) // 4096 FROM t))) AS i))
+    SELECT length(c) AS length, (SELECT sha256(string_agg(h, '' ORDER BY i)) FROM leaves) AS sha256 FROM t""")
+def file_digest(spark, d):
+    """A file of all orders, hashed in ranges of 4,096 bytes."""
+    path = scratch_path(spark, "digest")
+    table(spark, d, "orders").orderBy("o_orderkey").select(
+        F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("line")
+    ).coalesce(1).write.text(path)
+    return file_digests(spark, path, 4096).select("length", "sha256")
+
+
 # versions and lineage ------------------------------------------------------------
 # Orders serve as models: half the number is the parent. Their lines are the
 # training history, the part number standing for the dataset.

@@ -1,3 +1,7 @@
+import hashlib
+import random
+from urllib.parse import unquote
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +80,25 @@ def test_malformed_and_multi_line_csv(spark, root):
     spark.createDataFrame([('a,b\n1,"x\ny"\n2,z',)], "value string").coalesce(1).write.text(f"{root}/long")
     assert [tuple(r) for r in read_file(spark, f"{root}/long", "csv", multiline=True).orderBy("a").collect()] == [
         (1, "x\ny"), (2, "z")]
+
+
+def test_digest_of_files_in_ranges(spark, tmp_path):
+    r = random.Random(3)
+    contents = {"a.bin": r.randbytes(50_000), "b.txt": b"line\n" * 3000, "c": b"x" * 20_000, "d": r.randbytes(999), "e": b"",
+                "f": b"\xef\xbb\xbf" + b"ab\r\n" * 4000 + b"end", "g h": b"\n" * 5000, "i": b"\n\n" + r.randbytes(4096) * 2}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    for block in ("128m", "7000b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        try:
+            for leaf in (1000, 4096, 1 << 20):
+                got = {x["name"]: (x["length"], x["sha256"]) for x in file_digests(spark, str(tmp_path), leaf).collect()}
+                want = {}
+                for name, c in contents.items() - {("e", b"")}:          # the source skips empty files
+                    parts = [hashlib.sha256(c[i:i + leaf]).hexdigest() for i in range(0, len(c), leaf)]
+                    want[name] = (len(c), hashlib.sha256(c).hexdigest() if len(c) <= leaf
+                                  else hashlib.sha256("".join(parts).encode()).hexdigest())
+                assert {unquote(k): v for k, v in got.items()} == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
