@@ -340,7 +340,8 @@ def _count_phrases(width: int, known: Broadcast) -> Callable[[Iterator[pa.Record
                 total += np.bincount(ended, minlength=len(total))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = {k: Trie(*[np.frombuffer(x, dtype=np.int32) for x in arrays]) for k, arrays in known.value.items()}
+        tries = {k: Trie(*[np.frombuffer(known.value.column(x)[i].as_buffer(), dtype=np.int32) for x in Trie._fields])
+                 for i, k in enumerate(known.value.column("shard").to_pylist())}
         totals = {k: np.zeros(int(t.accept.max(initial=-1)) + 1, dtype=np.int64) for k, t in tries.items()}
         roots: dict[tuple[int, str], int] = {}
         for words, langs, place in _each(batches):
@@ -389,9 +390,8 @@ def counted_phrases(texts: DataFrame, candidates: DataFrame, width: int, scratch
         _built, "shard int, base binary, check binary, accept binary"))
     counts = []
     for k in range(0, shards, AT_ONCE):
-        known = texts.sparkSession.sparkContext.broadcast({
-            row["shard"]: [row[x] for x in Trie._fields]
-            for row in tries.where(F.col("shard").between(k, k + AT_ONCE - 1)).toArrow().to_pylist()})
+        known = texts.sparkSession.sparkContext.broadcast(
+            tries.where(F.col("shard").between(k, k + AT_ONCE - 1)).toArrow())
         found = texts.mapInArrow(_count_phrases(width, known), "shard int, id int, n bigint")
         counts.append(scratch.write(found.groupBy("shard", "id").agg(F.sum("n").alias("n"))))
         known.destroy()
