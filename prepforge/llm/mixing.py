@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prepforge.llm.tables import Scratch, fresh, only
+from prepforge.llm.tables import Scratch, fresh
 
 SHARE = 0.8             # tokens of the mixture, as a share of the tokens there are
 EPOCHS = 2              # times a document may be used
