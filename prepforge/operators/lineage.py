@@ -9,31 +9,58 @@ from pyspark.sql import functions as F
 
 from prepforge.errors import DataError
 from prepforge.functions.columns import quoted
+from prepforge.operators.ordering import highest_so_far, ordered_totals
 from prepforge.session import settle
 
 
+LEVELS = 5              # rounds of doubling that gather ancestors in arrays: 32 of them at most
+
+
 def lineage(models: DataFrame, starts: DataFrame | None = None,
             version: str = "version", parent: str = "parent") -> DataFrame:
     """Ancestors of the start versions: start, version, depth (0 = the model itself).
 
     ``models`` has one row per version; ``starts`` is a one-column frame (all
     versions when absent). Pointer doubling: after k rounds the chains reach
-    2^k levels up, so even very long chains take few joins. Each round writes
-    only what it adds. Ancestors shared by very many chains are split by the
-    engine at run time.
+    2^k levels up, so even very long chains take few joins. Of all versions,
+    each gathers its nearest 2^LEVELS ancestors in an array, one row per version
+    and round; only longer chains are continued by rows, one for each array.
+    Ancestors shared by very many chains are split by the engine at run time.
     """
-    edges = models.select(quoted(version).alias("version"), quoted(parent).alias("up"))
+    edges = models.select(quoted(version).alias("version"), quoted(parent).alias("up")).where("version IS NOT NULL")
+    if starts is None:
+        edges = settle(edges, "models")
+        if edges.groupBy("version").count().where("count > 1").isEmpty():
+            edges = settle(_known(edges), "models")
+            chain = _gathered(edges)
+            chain.forest = edges
+            return chain
     jump = settle(edges.where("up IS NOT NULL").join(
         edges.select(F.col("version").alias("up")), "up", "left_semi"), "jump")
     first = starts if starts is not None else edges.select("version")
-    first = first.toDF("version").join(edges, "version", "left_semi")
+    return _walked(first.toDF("version").join(edges, "version", "left_semi"), jump, 1)
+
+
+def _known(edges: DataFrame) -> DataFrame:
+    """Parents that have no row of their own become null."""
+    names = edges.select(F.col("version").alias("up"))
+    inner = edges.where("up IS NOT NULL")
+    return edges.where("up IS NULL").unionByName(inner.join(names, "up", "left_semi")).unionByName(
+        inner.join(names, "up", "left_anti").withColumn("up", F.lit(None).cast(edges.schema["up"].dataType)))
+
+
+def _walked(first: DataFrame, jump: DataFrame, stride: int) -> DataFrame:
+    """Rows start, version, depth of every ``stride``-th ancestor; ``jump`` leads from version to up, as far away.
+
+    Each round writes only what it adds.
+    """
     parts = [first.select(F.col("version").alias("start"), "version",
                           F.lit(0).cast("bigint").alias("depth"))]
     step, longest = 1, jump.count()
     while True:
         reached = reduce(DataFrame.union, parts)
         more = reached.join(jump, "version").select(
-            "start", F.col("up").alias("version"), (F.col("depth") + step).alias("depth"))
+            "start", F.col("up").alias("version"), (F.col("depth") + step * stride).alias("depth"))
         more = settle(more, "chain")
         added = more.count()
         if not added:
@@ -47,6 +74,70 @@ def lineage(models: DataFrame, starts: DataFrame | None = None,
         step *= 2
 
 
+def _climbed(state: DataFrame, value: str, combine, rounds: int | None = None) -> DataFrame:
+    """Pointer doubling on rows ``version, up, value, ...``: what lies above is combined into ``value``.
+
+    Every round looks up only those rows that someone points to. Rows whose
+    ``up`` is null are done and stay as written; with ``rounds`` given, the ``up``
+    of the others leads 2^rounds levels up.
+    """
+    done, active = [state.where("up IS NULL")], state.where("up IS NOT NULL")
+    turn = 0
+    while turn != rounds:
+        turn += 1
+        wanted = settle(active.select(F.col("up").alias("version")).distinct(), "wanted")
+        if wanted.isEmpty():
+            break
+        above = settle(reduce(DataFrame.unionByName, [*done, active]).join(wanted, "version", "left_semi").select(
+            F.col("version").alias("up"), F.col("up").alias("top"), F.col(value).alias("__above")), "above")
+        moved = settle(active.join(above, "up").withColumn(value, combine(F.col(value), F.col("__above"))).withColumn(
+            "up", F.col("top")).select(*state.columns), "climbed")
+        done.append(moved.where("up IS NULL"))
+        active = moved.where("up IS NOT NULL")
+    return reduce(DataFrame.unionByName, [*done, active])
+
+
+def _gathered(edges: DataFrame) -> DataFrame:
+    """The chains of all versions, of which each has one row."""
+    arrays = _climbed(edges.withColumn("path", F.array("version")), "path", F.concat, LEVELS)
+    jump = arrays.where("up IS NOT NULL").select("version", "up")
+    if jump.isEmpty():
+        heads = arrays.select(F.col("version").alias("start"), F.lit(0).cast("bigint").alias("base"), "path")
+    else:
+        heads = _walked(edges.select("version"), settle(jump, "jump"), 2 ** LEVELS).withColumnRenamed("depth", "base").join(
+            arrays.select("version", "path"), "version")
+    return heads.select("start", "base", F.posexplode("path").alias("place", "version")).select(
+        "start", "version", (F.col("base") + F.col("place")).alias("depth"))
+
+
+def _intervals(edges: DataFrame) -> DataFrame:
+    """``version, low, high``: a version's descendants and itself are those whose ``low`` lies in [low, high).
+
+    ``edges`` is a forest, one row per version. Sizes of subtrees come by
+    doubling; siblings are placed one behind the other, below their parent.
+    """
+    state = edges.withColumn("size", F.lit(1).cast("bigint"))
+    while True:
+        below = settle(state.where("up IS NOT NULL").groupBy(F.col("up").alias("version")).agg(
+            F.sum("size").alias("more")), "below")
+        if below.isEmpty():
+            break
+        above = settle(state.join(below, "version", "left_semi").select(
+            F.col("version").alias("up"), F.col("up").alias("top")), "above")
+        grown = state.join(below, "version", "left").select(
+            "version", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        state = settle(grown.where("up IS NULL").unionByName(
+            grown.where("up IS NOT NULL").join(above, "up").select("version", F.col("top").alias("up"), "size")), "sizes")
+    sized = edges.join(state.select("version", "size"), "version")
+    placed = settle(ordered_totals(sized, [F.col("up"), F.col("version")], ["size"]), "placed")
+    roots, inner = placed.where("up IS NULL"), placed.where("up IS NOT NULL")
+    firsts = inner.groupBy("up").agg(F.min("size_before").alias("first"))
+    offsets = roots.select("version", "up", "size", F.col("size_before").alias("low")).unionByName(
+        inner.join(firsts, "up").select("version", "up", "size", (F.col("size_before") - F.col("first") + 1).alias("low")))
+    found = _climbed(settle(offsets, "offsets"), "low", lambda own, above: own + above)
+    return settle(found.select("version", "low", (F.col("low") + F.col("size")).alias("high")), "intervals")
+
+
 def children(models: DataFrame, version: str = "version", parent: str = "parent") -> DataFrame:
     """Pairs (version, child) for every model that has children."""
     return models.where(quoted(parent).isNotNull()).select(
@@ -62,14 +153,75 @@ def used_hashes(chain: DataFrame, history: DataFrame) -> DataFrame:
     """Distinct (start, dataset_hash) used by a model or any of its ancestors.
 
     ``chain`` comes from ``lineage``; ``history`` has version, dataset_hash.
+    ``hash_counts`` and ``duplicate_datasets`` need no such pairs if the chain
+    is that of all versions.
     """
     per_model = history.select("version", "dataset_hash")
-    return chain.join(per_model, "version").select("start", "dataset_hash").distinct()
+    used = chain.join(per_model, "version").select("start", "dataset_hash").distinct()
+    if (forest := vars(chain).get("forest")) is not None:
+        used.lineage = (forest, per_model)
+    return used
+
+
+def _short(mark):
+    """A hash as bytes, half as long if it is written in hexadecimal digits; ``_long`` turns it back."""
+    packed = F.unhex(mark)
+    return F.when(F.lower(F.hex(packed)) == mark, F.concat(F.unhex(F.lit("01")), packed)).when(
+        mark.isNotNull(), F.concat(F.unhex(F.lit("00")), F.encode(mark, "UTF-8")))
+
+
+def _long(mark):
+    rest = F.substring(mark, 2, 2 ** 31 - 1)
+    return F.when(F.hex(F.substring(mark, 1, 1)) == "01", F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
+def _hash_intervals(forest: DataFrame, per_model: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The intervals of all versions, and ``mark, low, high`` where a version itself uses a hash; none is an empty mark."""
+    intervals = _intervals(forest)
+    own = per_model.select("version", F.coalesce(_short(F.col("dataset_hash").cast("string")), F.unhex(F.lit(""))).alias("mark"))
+    return intervals, own.join(intervals, "version").select("mark", "low", "high")
+
+
+def hash_counts(used: DataFrame) -> DataFrame:
+    """start, hashes: how many rows of ``used_hashes`` a start has.
+
+    A hash counts where it first appears on the way from the root: in the
+    version that uses it with no ancestor doing so. A start's count is the sum
+    of those along its chain, a running total over the ends of intervals.
+    """
+    if (source := vars(used).get("lineage")) is None:
+        return used.groupBy("start").agg(F.count(F.lit(1)).alias("hashes"))
+    intervals, own = _hash_intervals(*source)
+    seen = highest_so_far(own, ["mark"], "low", "high", "reach", -1)
+    fresh = settle(seen.where("reach IS NULL OR reach <= low").groupBy("low", "high").agg(
+        F.countDistinct("mark").alias("n")), "fresh")
+    events = fresh.select(F.col("low").alias("at"), "n").unionByName(fresh.select(F.col("high").alias("at"), -F.col("n")).toDF("at", "n"))
+    starts = intervals.select(F.col("low").alias("at"), F.lit(0).cast("bigint").alias("n"), F.col("version").alias("start"))
+    totals = ordered_totals(events.withColumn("start", F.lit(None).cast(starts.schema["start"].dataType)).unionByName(starts)
+                            .groupBy("at").agg(F.sum("n").alias("n"), F.max("start").alias("start")), [F.col("at")], ["n"])
+    return totals.where("start IS NOT NULL").select("start", (F.col("n_before") + F.col("n")).alias("hashes")).where("hashes > 0")
 
 
 def duplicate_datasets(candidates: DataFrame, used: DataFrame) -> DataFrame:
-    """Candidate rows (start, dataset_hash, …) whose data the lineage has seen."""
-    return candidates.join(used, ["start", "dataset_hash"], "left_semi")
+    """Candidate rows (start, dataset_hash, …) whose data the lineage has seen.
+
+    Of the intervals of versions that use a hash, those that hold a start's place
+    begin before it and end behind it: the farthest end so far decides.
+    """
+    if (source := vars(used).get("lineage")) is None:
+        return candidates.join(used, ["start", "dataset_hash"], "left_semi")
+    intervals, own = _hash_intervals(*source)
+    kind = candidates.schema["dataset_hash"].dataType
+    rest = [c for c in candidates.columns if c != "dataset_hash"]
+    asked = candidates.where("dataset_hash IS NOT NULL").withColumn(
+        "__mark", _short(F.col("dataset_hash").cast("string"))).drop("dataset_hash").join(
+        intervals.select(F.col("version").alias("start"), F.col("low").alias("__low")), "start").select(
+        F.col("__mark").alias("mark"), F.col("__low").alias("low"), F.struct(*[quoted(c) for c in rest]).alias("row"))
+    both = asked.withColumn("high", F.lit(None).cast("bigint")).unionByName(
+        own.where(F.length("mark") > 0), allowMissingColumns=True)
+    found = highest_so_far(both, ["mark"], "low", "high", "reach", 0)
+    return found.where("row IS NOT NULL AND reach > low").select("row.*", _long(F.col("mark")).cast(kind).alias(
+        "dataset_hash")).select(*[quoted(c) for c in candidates.columns])
 
 
 def with_row_counts(names: DataFrame, datasets: DataFrame, key: str = "dataset_name") -> DataFrame:

@@ -57,6 +57,27 @@ def last_so_far(df: DataFrame, keys: list[str], place: list[str], order: list[st
         *df.columns, F.coalesce(into, "__before").alias(into))
 
 
+def highest_so_far(df: DataFrame, keys: list[str], place: str, value: str, into: str, reach: int) -> DataFrame:
+    """Adds ``into``: the highest ``value`` of the row's key at places up to ``place + reach``, a whole number.
+
+    As in ``last_so_far``, rows are dealt by ranges of (keys, place), those at
+    one place together, and the keys that cross the ends of a range carry over
+    what came before it. Keys must not be null.
+    """
+    parted = settle(df.repartitionByRange(*[F.col(c) for c in [*keys, place]])
+                    .withColumn(_PART, F.spark_partition_id()), "ordered")
+    key = F.struct(*keys)
+    ends = parted.groupBy(_PART).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    crossing = ends.select("high.*").intersect(ends.select("low.*"))
+    held = parted.join(F.broadcast(crossing), keys, "left_semi").groupBy(_PART, *keys).agg(F.max(value).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.select(_PART, *keys, F.max("__end").over(before).alias("__before"))
+    own = Window.partitionBy(_PART, *keys).orderBy(place).rangeBetween(Window.unboundedPreceding, reach)
+    within = parted.withColumn(into, F.max(value).over(own))
+    return within.join(F.broadcast(carried), [_PART, *keys], "left").select(
+        *df.columns, F.greatest(into, "__before").alias(into))
+
+
 def newest_first(df: DataFrame, timestamp: str, tiebreak: str, limit: int | None = None) -> DataFrame:
     """Latest rows on top; with a limit this is a top-k, not a full sort."""
     out = df.orderBy(F.col(timestamp).desc(), F.col(tiebreak))
