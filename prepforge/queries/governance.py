@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prepforge.functions.columns import bump_version
 from prepforge.operators.fingerprint import fingerprint_frame
 from prepforge.operators.lineage import (
-    children, duplicate_datasets, job_history, lineage, used_hashes, with_row_counts)
+    children, duplicate_datasets, hash_counts, job_history, lineage, used_hashes, with_row_counts)
 from prepforge.operators.ordering import latest_per_key
 from prepforge.plans.catalog import DatasetCatalog
 from prepforge.plans.registry import list_versions
@@ -243,7 +243,7 @@ def all_children(spark, d):
 def lineage_hashes(spark, d):
     """How many different datasets went into each model and its ancestors."""
     used = used_hashes(lineage(_models(spark, d)), _history(spark, d))
-    return used.groupBy("start").agg(F.count(F.lit(1)).alias("hashes"))
+    return hash_counts(used)
 
 
 @query("duplicate_datasets", _CHAIN + """,
