@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from prepforge.errors import DataError
 from prepforge.operators.asof import asof_join
 from prepforge.operators.bands import band_join
-from prepforge.operators.lineage import duplicate_datasets, lineage, used_hashes, with_row_counts
-from prepforge.operators.ordering import last_so_far, latest_per_key, newest_first, ordered_totals
+from prepforge.operators.lineage import duplicate_datasets, hash_counts, lineage, used_hashes, with_row_counts
+from prepforge.operators.ordering import highest_so_far, last_so_far, latest_per_key, newest_first, ordered_totals
 
 
 def test_long_chain(spark):
@@ -126,3 +126,67 @@ def test_band_join_against_brute_force(spark):
                              and low <= v <= high and (not by or k == kk)) and len(got) > 200
         assert "NestedLoop" not in joined._jdf.queryExecution().toString() and "Cartesian" not in str(joined)
     assert band_join(p, q.limit(0).drop("k"), "v", "lo", "hi").count() == 0
+
+
+def test_hash_counts_and_reuse_without_pairs(spark):
+    r = random.Random(3)
+    parent = {i: r.choice([None, i - 1, i // 2, r.randrange(i), 10 ** 6]) if i else None for i in range(400)}
+    models = spark.createDataFrame(list(parent.items()) + [(None, 5)], "version bigint, parent bigint")
+    used_by = [(r.randrange(420), r.choice(["", "ab", "AB", "abc", "x", None, "0f", f"{r.randrange(60):064x}"])) for _ in range(900)]
+    history = spark.createDataFrame(used_by, "version bigint, dataset_hash string")
+    asked = [(r.randrange(420), r.choice(used_by)[1], i) for i in range(800)] + [(7, "new", 800), (None, "x", 801)]
+    per = {}
+    for v, h in used_by:
+        per.setdefault(v, set()).add(h)
+    want = {}
+    for start in parent:
+        at, seen = start, set()
+        while at is not None and at in parent:
+            seen |= per.get(at, set())
+            at = parent[at]
+        want[start] = seen
+    used = used_hashes(lineage(models), history)
+    plans = []
+    for frame, got in ((hash_counts(used), {s: len(h) for s, h in want.items() if h}),
+                       (duplicate_datasets(spark.createDataFrame(asked, "start bigint, dataset_hash string, i int"), used),
+                        {i for s, h, i in asked if h is not None and h in want.get(s, ())})):
+        rows = frame.collect()
+        assert len(rows) == len(got)
+        assert ({x["start"]: x["hashes"] for x in rows} if isinstance(got, dict) else {
+            x["i"] for x in rows if (x["start"], x["dataset_hash"], x["i"]) in asked}) == got
+        plans.append(frame._jdf.queryExecution().toString())
+    assert {(s, h) for s, hs in want.items() for h in hs} == {tuple(x) for x in used.collect()}
+    assert not any("posexplode" in p or "Generate" in p for p in plans)      # no row per version and ancestor
+
+
+def test_lineage_of_all_versions_in_a_deep_forest(spark):
+    parent = {i: i - 1 if i % 150 else None for i in range(300)} | {1000 + i: 140 for i in range(200)}
+    chain = lineage(spark.createDataFrame(list(parent.items()), "version bigint, parent bigint"))
+    want = set()
+    for start in parent:
+        at, depth = start, 0
+        while at is not None:
+            want.add((start, at, depth))
+            at, depth = parent[at], depth + 1
+    got = [tuple(x) for x in chain.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_repeated_versions_multiply_their_chains(spark):
+    twice = spark.createDataFrame([(1, None), (2, 1), (2, 1), (3, 2), (4, 1), (4, 3)], "version bigint, parent bigint")
+    counts = {(x["start"], x["version"], x["depth"]): x["count"]
+              for x in lineage(twice).groupBy("start", "version", "depth").count().collect()}
+    assert counts[(3, 2, 1)] == 1 and counts[(3, 1, 2)] == 2 and counts[(2, 1, 1)] == 4 and counts[(4, 1, 1)] == 2
+    history = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "version bigint, dataset_hash string")
+    used = used_hashes(lineage(twice), history)
+    assert {(x["start"], x["hashes"]) for x in hash_counts(used).collect()} == {(1, 1), (2, 2), (3, 2), (4, 2)}
+
+
+def test_running_highest_of_one_key_spreads(spark):
+    rows = [("k" if i % 9 else "j", i * 37 % 500 // 2, i * 101 % 997 if i % 4 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, at bigint, v bigint").repartition(3)
+    for reach in (0, -1):
+        got = highest_so_far(df, ["k"], "at", "v", "top", reach).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            assert x["top"] == max([v for k, at, v in rows if k == x["k"] and at <= x["at"] + reach and v is not None], default=None)
