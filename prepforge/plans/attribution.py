@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +21,8 @@ from prepforge.session import settle
 BACKGROUND_ROWS = 100
 # Defaults of the local explanation.
 LIME_SAMPLES, LIME_RIDGE, LIME_WIDTH = 5000, 1.0, 0.75
+GRID_CELLS = 1 << 15        # boxes of a tree whose contributions a task works out beforehand
+BLOCK_ROWS = 512            # rows that a network explains at once, so that its layers stay in the cache
 
 
 def contribution_name(feature: str) -> str:
@@ -123,6 +127,28 @@ def leaf_shapley(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
     return phi
 
 
+def tree_shapley(leaves: list[tuple], width: int):
+    """A function from rows to their contributions in one tree.
+
+    Between the cuts of its features a tree's contributions are constant: if
+    there are at most GRID_CELLS such boxes, they are worked out once and looked
+    up for every row. A missing value and minus infinity lie in no interval.
+    """
+    ends = [np.unique([e for _, known, low, high, _ in leaves for k, *pair in zip(known, low, high) if k == f
+                       for e in pair if np.isfinite(e)]) for f in range(width)]
+    shape = [len(e) + 2 for e in ends]
+    if np.prod(shape, dtype=float) > GRID_CELLS:
+        return lambda x: leaf_shapley(x, leaves)
+    inside = [np.concatenate([e, [np.inf, np.nan]]) for e in ends]
+    grid = leaf_shapley(np.stack(np.meshgrid(*inside, indexing="ij"), axis=-1).reshape(-1, width), leaves)
+
+    def look_up(x):
+        place = [np.where(np.isnan(c) | (c == -np.inf), len(e) + 1, np.searchsorted(e, c)) for e, c in zip(ends, x.T)]
+        return grid[np.ravel_multi_index(place, shape)]
+
+    return look_up
+
+
 def forest_contributions(df: DataFrame, model: ForestModel, keep: list[str] = ()) -> DataFrame:
     """Trees are read in groups of bounded size; rows carry what the groups before added up."""
     spark, width = df.sparkSession, len(model.features)
@@ -140,16 +166,18 @@ def forest_contributions(df: DataFrame, model: ForestModel, keep: list[str] = ()
 def _adds_group(known, width: int):
     """Adds the contributions in a broadcast group of trees to those that a row has so far."""
     @F.pandas_udf("array<double>")
-    def add(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in columns[:width]])
+    def add(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         parts: dict[int, dict[int, Tree]] = {}
         for tree, unit, arrays, _ in known.value:
             parts.setdefault(tree, {})[unit] = arrays
-        phi = np.zeros(x.shape)
-        for own in parts.values():
-            phi += leaf_shapley(x, tree_leaves(own))
-        before = columns[width]
-        return pd.Series([row if b is None else row + b for row, b in zip(phi, before, strict=True)])
+        trees = [tree_shapley(tree_leaves(own), width) for own in parts.values()]
+        for columns in batches:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in columns[:width]])
+            phi = np.zeros(x.shape)
+            for explain in trees:
+                phi += explain(x)
+            before = columns[width]
+            yield pd.Series([row if b is None else row + b for row, b in zip(phi, before, strict=True)])
 
     return add
 
@@ -169,18 +197,30 @@ def network_contributions(df: DataFrame, model: MlpModel, keep: list[str] = ())
             x = np.maximum(out[-1], 0.0)
         return out
 
+    there = [[v.T for v in activations(reference[None, :])[::-1]] for reference in background]
+    last, inner = layers[-1][0], [np.ascontiguousarray(weights) for weights, _ in layers[-2::-1]]
+
+    def explain_block(x):
+        """A column for each row, so that every unit's values lie side by side."""
+        here, total = [np.ascontiguousarray(v.T) for v in activations(x)[::-1]], np.zeros(x.T.shape)
+        positive, columns = [np.maximum(a, 0.0) for a in here], np.ascontiguousarray(x.T)
+        moved, slope, small = ([np.empty(a.shape, t) for a in here] for t in (float, float, bool))
+        for reference, ends in zip(background, there):
+            back = last
+            for k, (weights, a, b) in enumerate(zip(inner, here, ends)):
+                np.subtract(a, b, out=moved[k])
+                np.abs(moved[k], out=slope[k])
+                still = np.less(slope[k], 1e-9, out=small[k])
+                np.subtract(positive[k], np.maximum(b, 0.0), out=slope[k])
+                if still.any():
+                    moved[k][still], slope[k][still] = 1.0, a[still] > 0
+                np.divide(slope[k], moved[k], out=slope[k])
+                back = weights @ np.multiply(back, slope[k], out=slope[k])
+            total += back * (columns - reference[:, None])
+        return total.T / len(background)
+
     def explain(x):
-        here, total = activations(x), np.zeros(x.shape)
-        for reference in background:
-            there = activations(reference[None, :])
-            back = np.repeat(layers[-1][0].T, len(x), axis=0)
-            for (weights, _), a, b in zip(layers[-2::-1], here[::-1], there[::-1]):
-                moved = a - b
-                still = np.abs(moved) < 1e-9
-                slope = (np.maximum(a, 0) - np.maximum(b, 0)) / np.where(still, 1.0, moved)
-                back = (back * np.where(still, a > 0, slope)) @ weights.T
-            total += back * (x - reference)
-        return total / len(background)
+        return np.concatenate([explain_block(x[at:at + BLOCK_ROWS]) for at in range(0, len(x), BLOCK_ROWS)] or [x])
 
     return _in_batches(df, model.features, keep, explain)
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from prepforge.errors import InferenceError, TrainingError
 from prepforge.models import forest, sgd
+from prepforge.models import trees as trees_module
 from prepforge.models.forest import fit_forest, fit_forest_classifier
 from prepforge.models.linear import LinearModel, fit_least_squares
 from prepforge.models.mlp import Layers, MlpModel, fit_mlp
 from prepforge.models.sgd import descend, fit_sgd
+from prepforge.plans import attribution
 from prepforge.plans.attribution import (
     contributions, lime, shap_importance, standard_deviations)
 from prepforge.plans.scoring import Predictor
@@ -277,3 +279,51 @@ def test_analysis(predictor):
     assert shap["method"] == "shap" and set(shap["feature_importance"]) == {"x1", "x2"}
     near = service.predict(version, data, analyze=True, analysis_method="lime")["analysis"]
     assert near["method"] == "lime" and set(near["feature_importance"]) == {"x1", "x2"}
+
+
+def test_tree_contributions_are_looked_up_between_cuts(monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 3))
+    tree = trees_module.grow(x, x @ [1.0, 2.0, -1.0], np.ones(3000), False, 5, 2, 3, r)
+    leaves = attribution.tree_leaves({0: tree})
+    cuts = tree.threshold[tree.feature == 0]
+    odd = [(v, w, 0.1) for v in (np.nan, np.inf, -np.inf, cuts[0], np.nextafter(cuts[0], 9)) for w in (0.0, np.nan, -np.inf)]
+    rows = np.concatenate([x, odd])
+    want, seen = attribution.leaf_shapley(rows, leaves), []
+    plain = attribution.leaf_shapley
+    monkeypatch.setattr(attribution, "leaf_shapley", lambda at, known: seen.append(len(at)) or plain(at, known))
+    explain = attribution.tree_shapley(leaves, 3)
+    assert (explain(rows) == want).all() and (explain(rows[::-1]) == want[::-1]).all()
+    assert len(seen) == 1 and seen[0] <= attribution.GRID_CELLS      # nothing is worked out row by row
+    monkeypatch.setattr(attribution, "GRID_CELLS", 3)
+    assert (attribution.tree_shapley(leaves, 3)(rows) == want).all() and seen[-1] == len(rows)
+
+
+def test_network_attribution_in_blocks_against_plain_formula(spark, points, monkeypatch):
+    model, _ = fit_mlp(points, FEATURES, "y", epochs=1)
+    base = [[float(v) for v in x] for x in points.select(*FEATURES).limit(3).collect()]
+    monkeypatch.setattr(attribution, "background_sample", lambda *a: spark.createDataFrame(base, FEATURES))
+    layers, widest = model.layers.views(model.weights), []
+
+    def one(x):
+        total = np.zeros(len(x))
+        for ref in np.array(base):
+            a, b, pre = x, ref, []
+            for w, bias in layers[:-1]:
+                a, b = a @ w + bias, b @ w + bias
+                pre.append((a, b))
+                a, b = np.maximum(a, 0), np.maximum(b, 0)
+            back = layers[-1][0][:, 0]
+            for (w, _), (p, q) in zip(layers[-2::-1], pre[::-1]):
+                slope = [(u > 0) if abs(u - v) < 1e-9 else (max(u, 0) - max(v, 0)) / (u - v) for u, v in zip(p, q)]
+                back = w @ (back * np.array(slope, float))
+            total += back * (x - ref)
+        return total / len(base)
+
+    monkeypatch.setattr(attribution, "BLOCK_ROWS", 7)
+    real = attribution._in_batches
+    monkeypatch.setattr(attribution, "_in_batches", lambda df, f, keep, explain: widest.append(explain) or real(df, f, keep, explain))
+    for r in contributions(points.limit(40), model, FEATURES).collect():
+        assert [r[f"phi_{f}"] for f in FEATURES] == pytest.approx(one(np.array([r[f] for f in FEATURES])), abs=1e-12)
+    x = np.array(base * 5)
+    assert widest[0](x) == pytest.approx(np.array([one(v) for v in x]), abs=1e-12) and widest[0](x[:0]).shape == (0, 3)
