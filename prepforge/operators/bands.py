@@ -6,46 +6,116 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepforge.functions.columns import quoted
+from prepforge.operators.ordering import highest_so_far, ordered_totals
+from prepforge.session import settle
 
 
-def band_join(points: DataFrame, bands: DataFrame, value: str, low: str, high: str, by: list[str] = ()) -> DataFrame:
-    """All pairs of a point and a band with ``low <= value <= high`` (and equal ``by``).
+def _number(df: DataFrame, name: str):
+    kind = df.schema[name].dataType.typeName()
+    if kind == "date":
+        return F.unix_date(quoted(name)).cast("bigint")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(quoted(name).cast("timestamp"))
+    return quoted(name).cast("bigint")
 
-    Every band is cut into aligned stretches whose lengths are powers of two, at
-    most two of each length; a point lies in one stretch of each length that
-    occurs. So both sides meet in an equality join, whatever the lengths of the
-    bands, and no pair is met twice. Values are whole numbers, dates or
-    timestamps (by microseconds). A point, band or key with a null joins nothing.
-    The columns of both sides must differ but for ``by``.
-    """
-    def number(df: DataFrame, name: str):
-        kind = df.schema[name].dataType.typeName()
-        if kind == "date":
-            return F.unix_date(quoted(name)).cast("bigint")
-        if kind.startswith("timestamp"):
-            return F.unix_micros(quoted(name).cast("timestamp"))
-        return quoted(name).cast("bigint")
 
+def _shift(c, level):
+    return F.call_function("shiftright", c, level)
+
+
+def _cut(bands: DataFrame, columns: list[str]) -> tuple[DataFrame, list[int]]:
+    """``columns`` of the bands, which have ``__low`` and ``__high`` (exclusive), once for each stretch: ``__level, __cell``.
+
+    And the levels that occur, 63 at most.
+    """
     span = F.when(quoted("__low") <= quoted("__high"), F.sequence(F.lit(0), F.lit(62)))
-    cells = bands.withColumn("__low", number(bands, low)).withColumn("__high", number(bands, high) + 1)
-    shift = lambda c, level: F.call_function("shiftright", c, level)
 
     def ends(level):
         """Of one length, the stretch at the left end and that at the right end, where the bounds are odd."""
-        first = shift(F.col("__low") + F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1, level)
-        last = shift(F.col("__high"), level)
+        first = _shift(F.col("__low") + F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1, level)
+        last = _shift(F.col("__high"), level)
         odd = lambda c: (first < last) & (F.pmod(c, F.lit(2)) == 1)
         return F.filter(F.array(F.when(odd(first), first), F.when(odd(last), last - 1)), lambda c: c.isNotNull())
 
     pieces = F.flatten(F.transform(span, lambda k: F.transform(
         ends(k.cast("int")), lambda c: F.struct(k.cast("int").alias("level"), c.alias("cell")))))
-    cells = cells.withColumn("__piece", F.explode(pieces)).select(
-        *[quoted(c) for c in bands.columns], F.col("__piece.level").alias("__level"), F.col("__piece.cell").alias("__cell"))
-    used = cells.agg(F.sort_array(F.collect_set("__level")).alias("levels")).first()["levels"]     # 63 at most
-    at = number(points, value)
+    cells = bands.withColumn("__piece", F.explode(pieces)).select(
+        *[quoted(c) for c in columns], F.col("__piece.level").alias("__level"), F.col("__piece.cell").alias("__cell"))
+    return cells, cells.agg(F.sort_array(F.collect_set("__level")).alias("levels")).first()["levels"]
+
+
+def _placed(points: DataFrame, at, used: list[int]) -> DataFrame:
+    """The points, once for each of the ``used`` levels: ``__level, __cell``."""
     placed = points.withColumn("__p", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("level"), shift(at, F.lit(k)).alias("cell")) for k in used]) if used else F.array().cast(
+        F.struct(F.lit(k).alias("level"), _shift(at, F.lit(k)).alias("cell")) for k in used]) if used else F.array().cast(
             "array<struct<level:int,cell:bigint>>")))
-    placed = placed.select(*[quoted(c) for c in points.columns], F.col("__p.level").alias("__level"),
-                           F.col("__p.cell").alias("__cell"))
-    return placed.join(cells, [*by, "__level", "__cell"]).drop("__level", "__cell")
+    return placed.select(*[quoted(c) for c in points.columns], F.col("__p.level").alias("__level"),
+                         F.col("__p.cell").alias("__cell"))
+
+
+def band_join(points: DataFrame, bands: DataFrame, value: str, low: str, high: str, by: list[str] = ()) -> DataFrame:
+    """All pairs of a point and a band with ``low <= value <= high`` (and equal ``by``).
+
+    Every band is cut into aligned stretches whose lengths are powers of two, at
+    most two of each length; a point lies in one stretch of each length that
+    occurs. So both sides meet in an equality join, whatever the lengths of the
+    bands, and no pair is met twice. Values are whole numbers, dates or
+    timestamps (by microseconds). A point, band or key with a null joins nothing.
+    The columns of both sides must differ but for ``by``.
+    """
+    cells = bands.withColumn("__low", _number(bands, low)).withColumn("__high", _number(bands, high) + 1)
+    cells, used = _cut(cells, bands.columns)
+    joined = _placed(points, _number(points, value), used).join(cells, [*by, "__level", "__cell"]).drop("__level", "__cell")
+    joined.sides = (points, bands, value, low, high, list(by))
+    return joined
+
+
+def band_totals(joined: DataFrame, band: str, distinct: str, total: str) -> DataFrame:
+    """Of a band join, per value of the bands' column ``band``: its pairs ``n``, their different values
+    ``n_distinct`` of the points' column ``distinct``, and the sum ``total`` of another one.
+
+    The same as grouping the pairs, of which there may be very many, but no pair
+    is made. Stretches add up their points. In a band, a value counts at its first
+    point, the one whose predecessor of that value lies before the band; how many
+    such points a stretch holds is a running count in the order of predecessors.
+    Only a ``band`` that has several different intervals goes by its pairs.
+    """
+    points, bands, value, low, high, by = vars(joined)["sides"]
+    grouped = lambda pairs: pairs.groupBy(band).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(quoted(distinct)).alias("n_distinct"), F.sum(quoted(total)).alias("total"))
+    keys = [*by, "__level", "__cell"]
+    place = F.struct(*[quoted(c) for c in by], F.col("__low"), F.col("__high"))
+    spans = bands.withColumn("__low", _number(bands, low)).withColumn("__high", _number(bands, high) + 1).where(
+        "__low < __high").groupBy(band).agg(F.min(place).alias("__span"), F.max(place).alias("__other"),
+                                            F.count(F.lit(1)).alias("__times"))
+    spans = settle(spans, "bands")
+    several = spans.where("__span <> __other").select(F.col(band).alias("__band"))
+    single = spans.where("__span = __other").select(band, "__times", "__span.*")
+    pieces, used = _cut(single, [band, "__times", *by, "__low"])
+    pieces = settle(pieces, "pieces")
+    number = points.withColumn("__at", _number(points, value)).select(*by, "__at", quoted(distinct).alias("__v"), quoted(total).alias("__t"))
+    number = number.where(F.col("__at").isNotNull()).dropna(subset=by or ["__at"])
+    held = _placed(number.select(*by, "__at", "__t"), F.col("__at"), used).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("__t").alias("total"))
+    sums = pieces.join(held, keys).groupBy(band).agg(
+        F.sum(F.col("n") * F.col("__times")).alias("n"), F.sum(F.col("total") * F.col("__times")).alias("total"))
+    once = highest_so_far(number.where("__v IS NOT NULL").select(*by, "__v", "__at").distinct(), [*by, "__v"], "__at", "__at", "__last", -1)
+    marks = _placed(once, F.col("__at"), used).select(
+        *keys, F.coalesce("__last", F.lit(-2 ** 63)).alias("__key"), F.lit(1).alias("__kind"),
+        F.xxhash64("__v").alias("__tie"), F.lit(1).cast("bigint").alias("c"), F.lit(None).cast(pieces.schema[band].dataType).alias(band))
+    asked = pieces.select(*keys, F.col("__low").alias("__key"), F.lit(0).alias("__kind"), F.xxhash64(band).alias("__tie"),
+                          F.lit(0).cast("bigint").alias("c"), band)
+    ranks = ordered_totals(marks.unionByName(asked), [F.col(c) for c in [*keys, "__key", "__kind", "__tie"]], ["c"])
+    before = ordered_totals(marks.groupBy(*keys).agg(F.sum("c").alias("c")), [F.col(c) for c in keys], ["c"])
+    counts = ranks.where("__kind = 0").select(*keys, band, "c_before").join(
+        before.select(*keys, F.col("c_before").alias("__base")), keys).groupBy(band).agg(
+        F.sum(F.col("c_before") - F.col("__base")).alias("n_distinct"))
+    parts = [sums, counts]
+    if not several.isEmpty():
+        rest = bands.join(several, quoted(band).eqNullSafe(F.col("__band")), "left_semi")
+        parts.append(grouped(band_join(points, rest, value, low, high, by)))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part, allowMissingColumns=True)
+    return found.groupBy(band).agg(F.sum("n").alias("n"), F.coalesce(F.sum("n_distinct"), F.lit(0)).alias("n_distinct"),
+                                   F.sum("total").alias("total")).where("n > 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepforge.operators.asof import asof_join
-from prepforge.operators.bands import band_join
+from prepforge.operators.bands import band_join, band_totals
 from prepforge.operators.quantiles import grouped_quantiles
 from prepforge.queries.base import query, rounded, table, views
 
@@ -105,8 +105,9 @@ def band_join_events(spark, d):
     length = F.make_interval(secs=F.floor("value") * 60 + 600)
     spans = events.where("event_type = 'purchase'").select(
         F.col("event_id").alias("home"), F.col("ts").alias("low"), (F.col("ts") + length).alias("high"))
-    return band_join(events.select("ts", "user_id", "value"), spans, "ts", "low", "high").groupBy("home").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), rounded(F.sum("value"), 2, "value"))
+    pairs = band_join(events.select("ts", "user_id", "value"), spans, "ts", "low", "high")
+    return band_totals(pairs, "home", "user_id", "value").select(
+        "home", "n", F.col("n_distinct").alias("users"), rounded("total", 2, "value"))
 
 
 # aggregation ------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prepforge.errors import DataError
 from prepforge.operators.asof import asof_join
-from prepforge.operators.bands import band_join
+from prepforge.operators.bands import band_join, band_totals
 from prepforge.operators.lineage import duplicate_datasets, hash_counts, lineage, used_hashes, with_row_counts
 from prepforge.operators.ordering import highest_so_far, last_so_far, latest_per_key, newest_first, ordered_totals
 
@@ -190,3 +190,24 @@ def test_running_highest_of_one_key_spreads(spark):
         assert len(got) == len(rows)
         for x in got:
             assert x["top"] == max([v for k, at, v in rows if k == x["k"] and at <= x["at"] + reach and v is not None], default=None)
+
+
+def test_totals_of_a_band_join_without_its_pairs(spark):
+    r = random.Random(5)
+    points = [(r.choice([None, *range(9)]), r.choice("ab"), r.choice([None, *range(-40, 200)]), r.choice([None, 1.5, 2.25])) for _ in range(400)]
+    bands = [(j if j % 7 else None, r.choice(["a", "b", None]), (low := r.randrange(-60, 220)), low + r.choice([-1, 0, 1, 3, 17, 90]))
+             for j in range(60)]
+    bands += bands[:20] + [(3, "a", 0, 50), (3, "b", 20, 90), (99, "a", None, 4), (98, "b", -2 ** 40, 2 ** 40)]
+    p = spark.createDataFrame(points, "u int, k string, v bigint, x double")
+    q = spark.createDataFrame(bands, "j int, k string, lo bigint, hi bigint")
+    for by in (["k"], []):
+        joined = band_join(p, q if by else q.drop("k"), "v", "lo", "hi", by)
+        want = {}
+        for j, kk, low, high in bands:
+            for u, k, v, x in points:
+                if None not in (v, low) and low <= v <= high and (not by or k == kk):
+                    want.setdefault(j, []).append((u, x))
+        got = band_totals(joined, "j", "u", "x").collect()
+        assert {g["j"]: (g["n"], g["n_distinct"], g["total"]) for g in got} == {
+            j: (len(m), len({u for u, _ in m} - {None}), sum(t) if (t := [x for _, x in m if x is not None]) else None)
+            for j, m in want.items()} and len(got) == len(want) > 15
