@@ -25,6 +25,9 @@ KEPT_TEXT = 16 << 20    # and their characters
 AT_ONCE = 4096          # stretches aligned at once: their index dictionaries stay in the cache
 PAIRS = 1 << 22         # different pairs of ids whose counts are broadcast (17 bytes each); more are joined
 OUTPUT = 2 << 20        # characters of alignments per emitted batch
+#: Rows of about a megabyte: Parquet looks at sizes every 100 rows by itself, and a task's whole output became one page.
+LARGE_ROWS = {"compression": "none", "parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1,
+              "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
 
 WORD_START = re.compile(r"(?<=\S)(?=[ \n])")
 ODD_SPACE = re.compile(r"\s[ \n]|\0")
@@ -296,7 +299,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
         own.forget()            # the worker's memory is another task's now
 
     rows = scratch.write(texts.mapInArrow(
-        packed, "batch bigint, content binary, pairs array<bigint>, times array<bigint>"))
+        packed, "batch bigint, content binary, pairs array<bigint>, times array<bigint>"), **LARGE_ROWS)
     met = rows.select("batch", F.posexplode(F.arrays_zip("pairs", "times")).alias("pos", "met")).select(
         "batch", "pos", F.col("met.pairs").alias("pair"), F.col("met.times").alias("times"))
     low = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))

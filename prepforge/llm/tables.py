@@ -14,16 +14,17 @@ class Scratch:
     """Intermediate tables below ``spark.checkpoint.dir``, dropped when nothing reads them any more.
 
     ``write`` cuts the lineage: the table survives lost executors and is not
-    recomputed. ``drop`` removes tables that no returned frame reads.
+    recomputed. ``drop`` removes tables that no returned frame reads. Options
+    are those of the Parquet writer.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label, self.paths = spark, label, {}
 
-    def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    def write(self, df: DataFrame, partition_by: str | None = None, **options: str | int) -> DataFrame:
         path = scratch_path(self.spark, self.label)
-        writer = df.write.partitionBy(partition_by) if partition_by else df.write
-        writer.parquet(path)
+        writer = df.write.options(**options)
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

@@ -2,14 +2,17 @@
 
 import hashlib
 from collections import Counter
+from pathlib import Path
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from helpers import ODD, frame, rng, some_text
 from tokenizers import Tokenizer
 
 from prepforge.llm import alignment, queries
+from prepforge.session import shared_root
 
 PATHS = str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model"))
 STRANGE = [" lead", "trail ", "a  b   c", "line\nbreak\n\n next", "tab\t x \t", "x \n y\n z", "naïve Größe 北京 🎉🎉", "a▁b plain",
@@ -109,5 +112,22 @@ def test_worker_starts_anew_without_a_difference(monkeypatch):
     assert [x.tolist() for x in first] == [x.tolist() for x in second] and len(own.number) == 4
 
 
+def test_batches_of_a_task_are_written_in_small_parts(spark, monkeypatch):
+    small = getattr(alignment, "LARGE_ROWS", {}) | {"parquet.block.size": 1 << 20}
+    monkeypatch.setattr(alignment, "LARGE_ROWS", small, raising=False)
+    monkeypatch.setattr(alignment, "BATCH", 1 << 16)
+    r = rng(7)
+    letters = "abcdefghijklmnopqrstuvwxyzäéßñ北京"
+    root = Path(shared_root(spark).removeprefix("file://"))
+    before = set(root.glob("alignment-*"))
+    rows = [(i, " ".join("".join(r.choices(letters, k=r.randrange(2, 12))) for _ in range(800))) for i in range(150)]
+    found = alignment.align_tokens(frame(spark, rows).coalesce(1), *PATHS).documents
+    parts = [pq.ParquetFile(p).metadata for d in set(root.glob("alignment-*")) - before for p in d.glob("*.parquet")]
+    batches = [m for m in parts if "content" in m.schema.to_arrow_schema().names]
+    sizes = [m.row_group(i).total_byte_size for m in batches for i in range(m.num_row_groups)]
+    assert len(batches) == 1 and sum(sizes) > 2 << 20 and max(sizes) < 3 << 19
+    assert found.count() == len(rows)
+
+
 def test_empty_table(spark):
     assert not found(spark, frame(spark, ODD).limit(0))
