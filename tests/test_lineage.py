@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from prepforge.errors import DataError
+from prepforge.operators import bands as bands_module
+from prepforge.operators import ordering as ordering_module
 from prepforge.operators.asof import asof_join
 from prepforge.operators.bands import band_join, band_totals
 from prepforge.operators.lineage import duplicate_datasets, hash_counts, lineage, used_hashes, with_row_counts
@@ -211,3 +213,39 @@ def test_totals_of_a_band_join_without_its_pairs(spark):
         assert {g["j"]: (g["n"], g["n_distinct"], g["total"]) for g in got} == {
             j: (len(m), len({u for u, _ in m} - {None}), sum(t) if (t := [x for _, x in m if x is not None]) else None)
             for j, m in want.items()} and len(got) == len(want) > 15
+
+
+@pytest.mark.parametrize("block, blocks, kind", [(7, 1000, "double"), (1, 5, "int"), (7, 512, "decimal(12,2)")])
+def test_totals_of_bands_over_many_blocks(spark, monkeypatch, block, blocks, kind):
+    monkeypatch.setattr(bands_module, "BLOCK", block)
+    monkeypatch.setattr(bands_module, "BLOCKS", blocks)
+    r = random.Random(block)
+    points = [(r.choice([None, *range(12)]), r.randrange(0, 10 ** 12), r.choice([None, 2, 7])) for _ in range(150)]
+    points += [(1, 10 ** 12 + 1, 10 ** 9 if kind != "double" else 10 ** 18), (2, 5 * 10 ** 11, 3), (2, 5 * 10 ** 11, 4)]
+    bands = [(j, (low := r.randrange(0, 10 ** 12)), low + r.randrange(10 ** r.randrange(1, 13))) for j in range(80)]
+    bands += [(80, -2 ** 60, 2 ** 60), (81, 5 * 10 ** 11, 5 * 10 ** 11), (82, 5, 4)]
+    p = spark.createDataFrame(points, "u int, v bigint, x bigint").withColumn("x", F.col("x").cast(kind))
+    joined = band_join(p, spark.createDataFrame(bands, "j int, lo bigint, hi bigint"), "v", "lo", "hi")
+    want = {j: [(u, x) for u, v, x in points if low <= v <= high] for j, low, high in bands}
+    found = band_totals(joined, "j", "u", "x")
+    assert found.schema["total"].dataType == joined.select(F.sum("x")).schema[0].dataType
+    assert {g["j"]: (g["n"], g["n_distinct"], g["total"]) for g in found.collect()} == {
+        j: (len(m), len({u for u, _ in m} - {None}), pytest.approx(sum(t), rel=1e-15) if (t := [x for _, x in m if x is not None]) else None)
+        for j, m in want.items() if m}
+
+
+def test_totals_of_bands_move_a_row_a_fixed_number_of_times(spark, monkeypatch):
+    """However long the bands are, and from how fine a scale; before, a point was written once for each power of two."""
+    written = []
+    for module in (bands_module, ordering_module):
+        def counted(df, label="stage", kept=module.settle):
+            out = kept(df, label)
+            written.append(out.count())
+            return out
+        monkeypatch.setattr(module, "settle", counted)
+    p = spark.range(2000).selectExpr("id % 50 AS u", "id * 1000003 % 900000000007 AS v", "CAST(id AS DOUBLE) AS x")
+    q = spark.range(300).selectExpr("id AS j", "id * 7919 AS lo", "id * 7919 + id * id * 1000000 AS hi")
+    rows = band_totals(band_join(p, q, "v", "lo", "hi"), "j", "u", "x").collect()
+    assert len(rows) == 300 - sum(1 for j in range(300) if not any(
+        j * 7919 <= i * 1000003 % 900000000007 <= j * 7919 + j * j * 1000000 for i in range(2000)))
+    assert sum(written) < 12 * (2000 + 2 * 300)
