@@ -1,4 +1,4 @@
-"""Phrase collocations: candidates level by level, counted by double-array tries over whole texts."""
+"""Phrase collocations: candidates level by level, counted over whole texts by double-array tries in shards."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,8 +24,9 @@ PERCENT = 50            # share of its occurrences inside a longer candidate fro
 TOP = 2000              # phrases reported per language
 UNKNOWN = "und"
 BITS = 26               # size of the bitmap that tells which parts are frequent: 8 MB
-SHARD = 6 << 20         # bytes of the phrases of one trie
-AT_ONCE = 2             # tries that one scan walks
+SHARD = 6 << 20         # bytes of the phrases of one trie, at most about
+SPREAD = 1 << 16        # and of a trie of few phrases, so that all tasks have one
+PACKED = 512            # phrases that travel in one row
 MERGED = 1 << 21        # words or windows that a task merges before it passes them on
 
 _JOIN = np.uint64(0xD1B54A32D192ED03)
@@ -33,8 +34,6 @@ _WORD, _SPACE, _BREAK = 0, 1, 2
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = _SPACE
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = _BREAK
-_END = np.zeros(256, dtype=bool)
-_END[[0x20, 0x0A]] = True
 
 
 class Words(NamedTuple):
@@ -318,84 +317,165 @@ def _key(lang: str, phrase: str) -> bytes:
     return f"{lang.encode().hex().upper()}\n{phrase}".encode()
 
 
-def _built(shard: pd.DataFrame) -> pd.DataFrame:
-    """One row with the arrays of the trie of a shard's phrases; ids are places in the order of ``id``."""
-    shard = shard.sort_values("id")
-    trie = build_trie(list(map(_key, shard["lang"], shard["phrase"])))
-    return pd.DataFrame({"shard": [shard["shard"].iloc[0]], **{
-        name: [array.tobytes()] for name, array in trie._asdict().items()}})
+def _spelled(lang: pa.Array, phrase: pa.Array, n: np.ndarray, into: np.ndarray, trie: Trie,
+             roots: dict[str, int]) -> None:
+    """Adds the counts ``n`` of phrases to the ids that the trie finds: all phrases take one byte at a time."""
+    coded = lang.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    for x in names:
+        if x not in roots:
+            roots[x] = trie.walk(_key(x, ""))
+    state = np.array([roots[x] for x in names], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+    offsets = np.frombuffer(phrase.buffers()[1], dtype=np.int32)[phrase.offset:phrase.offset + len(phrase) + 1].astype(np.int64)
+    data = np.frombuffer(phrase.buffers()[2], dtype=np.uint8)
+    base, check, accept = trie
+    rows = np.flatnonzero(state >= 0)
+    at, end, state = offsets[rows], offsets[rows + 1], state[rows]
+    while len(rows):
+        done = at == end
+        if done.any():
+            found, count = accept[state[done]], n[rows[done]]
+            np.add.at(into, found[found >= 0], count[found >= 0])
+            rows, at, end, state = rows[~done], at[~done], end[~done], state[~done]
+        to = base[state] + data[at]
+        on = check[to] == state
+        rows, at, end, state = rows[on], at[on] + 1, end[on], to[on].astype(np.int64)
+
+
+def _count_in_tries(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come by shard, candidates (kind 0) before occurrences (kind 1): a shard's trie is built, then counts."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, trie, total, roots = None, [], None, np.empty(0, np.int64), {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if trie is not None:
+                used = np.flatnonzero(total)
+                out = held[0].take(pa.array(used)).set_column(columns.index("n"), "n", pa.array(total[used]))
+                yield from out.to_batches(MERGED // 8)
+
+        for batch in batches:
+            own, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "kind"))
+            cuts = np.flatnonzero((np.diff(own) != 0) | (np.diff(kind) != 0)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(own)], strict=True):
+                if low == high:
+                    continue
+                if own[low] != shard:
+                    yield from counted()
+                    shard, held, trie, roots = own[low], [], None, {}
+                part = batch.slice(low, high - low)
+                if kind[low] == 0:
+                    held.append(part.select(columns))
+                    continue
+                if not held:
+                    continue            # windows let through by the bitmap, in a shard without candidates
+                if trie is None:
+                    rows = pa.Table.from_batches(held)
+                    keys = list(map(_key, rows.column("lang").to_pylist(), rows.column("phrase").to_pylist()))
+                    order = sorted(range(len(keys)), key=keys.__getitem__)
+                    held = [rows.take(pa.array(order))]
+                    trie, total = build_trie([keys[i] for i in order]), np.zeros(len(keys), dtype=np.int64)
+                sizes = pc.list_value_length(part.column("phrases")).to_numpy(zero_copy_only=False)
+                _spelled(part.column("lang").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), part.column("phrases").flatten().cast(pa.string()),
+                         part.column("counts").flatten().to_numpy(), total, trie, roots)
+        yield from counted()
 
+    return count
 
-def _count_phrases(width: int, known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Occurrences of the phrases of some tries, by id: all word starts of a block take one byte at a time."""
-    def walked(trie: Trie, state: np.ndarray, at: np.ndarray, content: np.ndarray, total: np.ndarray) -> None:
-        base, check, accept = trie
-        while len(at):
-            to = base[state] + content[at]
-            on = np.flatnonzero(check[to] == state)
-            state, at = to[on], at[on] + np.int32(1)
-            ended = accept[state[_END[content[at]]]]
-            ended = ended[ended >= 0]
-            if len(ended):
-                total += np.bincount(ended, minlength=len(total))
 
+def _occurrences(width: int, known: Broadcast, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Word windows that are marked, spelled, with the shard that may have their phrase; equal ones of a task are merged."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = {k: Trie(*[np.frombuffer(known.value.column(x)[i].as_buffer(), dtype=np.int32) for x in Trie._fields])
-                 for i, k in enumerate(known.value.column("shard").to_pylist())}
-        totals = {k: np.zeros(int(t.accept.max(initial=-1)) + 1, dtype=np.int64) for k, t in tries.items()}
-        roots: dict[tuple[int, str], int] = {}
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        size, names = 0, {}
+
+        def merged() -> pa.RecordBatch:
+            coded = pa.concat_arrays([x[0] for x in held]).dictionary_encode()
+            whose, shard = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            _, at, n = np.unique(place * len(names) + whose, return_index=True, return_counts=True)
+            order = np.lexsort((whose[at], shard[at]))
+            at, n = at[order], n[order]
+            shard, whose = shard[at].astype(np.int64), whose[at]
+            new = np.flatnonzero((np.diff(shard) != 0) | (np.diff(whose) != 0)) + 1
+            starts = np.concatenate([[0], new])
+            run = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))
+            cuts = np.append(np.flatnonzero(run % PACKED == 0), len(at)).astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array(list(names), pa.string()).take(pa.array(whose[cuts[:-1]])),
+                 pa.ListArray.from_arrays(pa.array(cuts), coded.dictionary.take(pa.array(place[at]))),
+                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(n))], ["shard", "lang", "phrases", "counts"])
+
         for words, langs, place in _each(batches):
+            h = _hashes(words, langs, place)
+            n = len(h) - width + 1
+            if n <= 0:
+                continue
+            parts = [h[i:n + i] for i in range(width)]
+            together = marked(known.value, combined(parts))
+            for i in range(width - 1):
+                together &= words.joined[i:n + i]
+            at = np.flatnonzero(together)
+            if not len(at):
+                continue
+            # every word and one byte after it, within a piece a space
             sizes = words.ends - words.starts + 1
-            begins = np.cumsum(sizes) - sizes
-            # every word and one byte after it: a space within a piece, else a line break
+            ends = np.cumsum(sizes)
             content = spans(np.append(words.block.data, np.uint8(0)), words.starts, sizes)
-            content[begins + sizes - 1] = np.where(words.joined, 0x20, 0x0A)
-            able = np.ones(len(words.starts), dtype=bool)
-            for i in range(width - 1):
-                able[:len(able) - i] &= words.joined[i:]
-                able[len(able) - i:] = False
-            begins, whose = begins[able].astype(np.int32), place[words.text[able]]
-            for k, trie in tries.items():
-                for lang in langs:
-                    if (k, lang) not in roots:
-                        roots[k, lang] = trie.walk(_key(lang, ""))
-                root = np.array([roots[k, x] for x in langs], dtype=np.int32)[whose]
-                walked(trie, root[root >= 0], begins[root >= 0], content, totals[k])
-        for k, total in totals.items():
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(used), k, dtype=np.int32)), pa.array(used.astype(np.int32)), pa.array(total[used])],
-                ["shard", "id", "n"])
+            content[ends - 1] = 0x20
+            own = np.array([names.setdefault(x, len(names)) for x in langs], dtype=np.int64)
+            for some in np.split(at, range(MERGED, len(at), MERGED)):
+                low, high = (ends - sizes)[some], ends[some + width - 1] - 1
+                offsets = np.concatenate([[0], np.cumsum(high - low)]).astype(np.int32)
+                spelled = pa.StringArray.from_buffers(
+                    len(some), pa.py_buffer(offsets), pa.py_buffer(spans(content, low, high - low)))
+                held.append((spelled, own[place[words.text[some]]], _shard_of([x[some] for x in parts], shards)))
+                size += len(some)
+                if size >= MERGED:
+                    yield merged()
+                    held, size = [], 0
+        if held:
+            yield merged()
 
     return count
 
 
-def counted_phrases(texts: DataFrame, candidates: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """``candidates`` (``lang, phrase`` and more) with ``n``, the exact number of their occurrences.
+def _shard_of(hashes: list[np.ndarray], shards: int) -> np.ndarray:
+    mixed_up = reduce(np.bitwise_xor, [h >> np.uint64(7 * i) for i, h in enumerate(hashes)])
+    return (mixed_up & np.uint64(2 ** 62 - 1)) % np.uint64(shards)
 
-    Candidates are cut into shards of about SHARD bytes. A shard's trie is built
-    in a task, collected and broadcast (at most some 12 bytes per byte of
-    phrases, whatever the corpus); all texts are scanned once per AT_ONCE shards.
+
+def _shard_column(names: list[str], shards: int) -> Column:
+    """The same as ``_shard_of``."""
+    mixed_up = reduce(Column.bitwiseXOR, [F.shiftrightunsigned(name, 7 * i) for i, name in enumerate(names)])
+    return F.pmod(mixed_up.bitwiseAND(F.lit(2 ** 62 - 1)), F.lit(shards).cast("bigint")).cast("int")
+
+
+def counted_phrases(texts: DataFrame, candidates: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """``candidates`` (``lang, phrase``, the hashes ``h1 ...`` of their words and more) with ``n``, the exact number of
+    their occurrences.
+
+    Candidates are cut by their hashes into shards of at most about SHARD bytes.
+    One scan of all texts, however many shards there are, spells the windows
+    whose hashes are those of a candidate (a bitmap of fixed size lets a few
+    others through) and sends them to the shard, once per task. There a task
+    builds the shard's trie and walks it with every phrase that arrives, so only
+    the spelling decides. Nothing but the bitmap is collected or broadcast.
     """
     key = F.concat(F.hex(F.encode("lang", "UTF-8")), F.lit("\n"), "phrase")
+    names = [f"h{i + 1}" for i in range(width)]
     held = scratch.write(candidates)
-    total = held.agg(F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()[0]
-    shards = -(-int(total) // SHARD)
-    if not shards:
+    total = int(held.agg(F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()[0])
+    if not total:
         return held.withColumn("n", F.lit(0).cast("bigint"))
-    shard = F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int")
-    order = W.partitionBy("shard").orderBy(key)
-    numbered = scratch.write(held.withColumn("shard", shard).withColumn("id", F.row_number().over(order) - 1))
-    tries = scratch.write(numbered.select("shard", "id", "lang", "phrase").groupBy("shard").applyInPandas(
-        _built, "shard int, base binary, check binary, accept binary"))
-    counts = []
-    for k in range(0, shards, AT_ONCE):
-        known = texts.sparkSession.sparkContext.broadcast(
-            tries.where(F.col("shard").between(k, k + AT_ONCE - 1)).toArrow())
-        found = texts.mapInArrow(_count_phrases(width, known), "shard int, id int, n bigint")
-        counts.append(scratch.write(found.groupBy("shard", "id").agg(F.sum("n").alias("n"))))
-        known.destroy()
-    return numbered.join(reduce(DataFrame.unionByName, counts), ["shard", "id"]).drop("shard", "id")
+    spread = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(-(-total // SHARD), min(spread, -(-total // SPREAD)))
+    marks = bitmap(held, names)
+    found = texts.mapInArrow(_occurrences(width, marks, shards), "shard int, lang string, phrases array<string>, counts array<bigint>")
+    columns = [*held.columns, "n"]
+    both = held.withColumns({"shard": _shard_column(names, shards), "kind": F.lit(0), "n": F.lit(0).cast("bigint")}).unionByName(
+        found.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in both.select(*columns).dtypes)
+    return both.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_count_in_tries(columns), schema)
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741

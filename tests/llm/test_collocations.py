@@ -69,6 +69,23 @@ def test_equal_to_brute_force(spark, monkeypatch, shard, merged):
     assert {tuple(r) for r in found} == brute(rows) and len(found) == len(brute(rows)) > 100
 
 
+def test_scans_do_not_grow_with_the_number_of_tries(spark, monkeypatch):
+    """The texts are read once for words and twice per width, before once for every two tries."""
+    monkeypatch.setattr(C, "SHARD", 100)
+    rows = texts(5, 300, 6)
+    read = spark.sparkContext.accumulator(0)
+
+    def tapped(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = frame(spark, rows)
+    got = collected(C.collocations(docs.mapInArrow(tapped, SCHEMA)))
+    assert got == brute(rows) and len(got) > 50
+    assert read.value <= 5 * len(rows)
+
+
 def test_parameters_top_and_other_widths(spark):
     rows = texts(2, 60, 5)
     assert collected(C.collocations(frame(spark, rows), least=4, top=7, percent=90)) == brute(rows, 4, 3, 90, 7)
