@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prepforge.errors import TrainingError
 from prepforge.models import forest, store
 from prepforge.models.forest import fit_forest, fit_forest_classifier
-from prepforge.models.trees import bootstrap_weights, grow, leaves
+from prepforge.models.trees import bootstrap_weights, grow, leaves, merged
 
 SEED = lambda: np.random.default_rng(1)
 
@@ -171,3 +171,31 @@ def test_saved_forest_and_gaps(spark, rows, tmp_path):
         fit_forest(rows.limit(0), NAMES, "y")
     with pytest.raises(TrainingError):
         fit_forest(rows, NAMES, "y", n_estimators=0)
+
+
+@pytest.mark.parametrize("classify", [False, True])
+def test_equal_rows_grow_as_one(classify):
+    r = np.random.default_rng(7)
+    x, y = r.integers(0, 4, (400, 2)).astype(float), r.integers(0, 3, 400).astype(float)
+    w = r.integers(1, 3, 400).astype(float)
+    for least in (2, 9):
+        u, v, place = merged(x, y)
+        one = grow(u, v, np.bincount(place, w), classify, np.inf, least, 2, SEED(), np.bincount(place))
+        every = grow(x, y, w, classify, np.inf, least, 2, SEED())
+        assert len(u) < 60 and same(nested(one, classify), nested(every, classify))
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_rounds_bound_what_trees_send(spark, monkeypatch, distinct):
+    """Whatever the number of trees, a round sends no more than the room; before, all trees sent all rows at once."""
+    rounds = []
+    kept = forest.freed_shuffles
+    monkeypatch.setattr(forest, "freed_shuffles", lambda s: rounds.append(1) or kept(s))
+    monkeypatch.setattr(forest, "ROUND_BYTES", 1)
+    df = spark.range(800).select((F.col("id") if distinct else F.col("id") % 5).cast("double").alias("a"),
+                                 (F.col("id") % 5).cast("double").alias("y"))
+    model = fit_forest(df, ["a"], "y", n_estimators=6)
+    assert model.units(spark).count() == 6 and (len(rounds) >= 4 if distinct else len(rounds) <= 2)
+    monkeypatch.setattr(forest, "ROUND_BYTES", 1 << 30)
+    assert [list(r) for r in fit_forest(df, ["a"], "y", n_estimators=6).nodes(spark).orderBy("tree", "unit", "node").collect()] == [
+        list(r) for r in model.nodes(spark).orderBy("tree", "unit", "node").collect()]
