@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepforge.errors import DataError
 from prepforge.functions.columns import quoted
 from prepforge.operators.ordering import highest_so_far, ordered_totals
-from prepforge.session import settle
+from prepforge.session import drop, settle
 
 
 LEVELS = 5              # rounds of doubling that gather ancestors in arrays: 32 of them at most
@@ -92,6 +96,8 @@ def _climbed(state: DataFrame, value: str, combine, rounds: int | None = None) -
             F.col("version").alias("up"), F.col("up").alias("top"), F.col(value).alias("__above")), "above")
         moved = settle(active.join(above, "up").withColumn(value, combine(F.col(value), F.col("__above"))).withColumn(
             "up", F.col("top")).select(*state.columns), "climbed")
+        drop(wanted)
+        drop(above)
         done.append(moved.where("up IS NULL"))
         active = moved.where("up IS NOT NULL")
     return reduce(DataFrame.unionByName, [*done, active])
@@ -116,7 +122,7 @@ def _intervals(edges: DataFrame) -> DataFrame:
     ``edges`` is a forest, one row per version. Sizes of subtrees come by
     doubling; siblings are placed one behind the other, below their parent.
     """
-    state = edges.withColumn("size", F.lit(1).cast("bigint"))
+    state, settled = edges.withColumn("size", F.lit(1).cast("bigint")), False
     while True:
         below = settle(state.where("up IS NOT NULL").groupBy(F.col("up").alias("version")).agg(
             F.sum("size").alias("more")), "below")
@@ -126,15 +132,22 @@ def _intervals(edges: DataFrame) -> DataFrame:
             F.col("version").alias("up"), F.col("up").alias("top")), "above")
         grown = state.join(below, "version", "left").select(
             "version", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
-        state = settle(grown.where("up IS NULL").unionByName(
+        before, state = state, settle(grown.where("up IS NULL").unionByName(
             grown.where("up IS NOT NULL").join(above, "up").select("version", F.col("top").alias("up"), "size")), "sizes")
+        for frame in [below, above, *([before] if settled else [])]:
+            drop(frame)
+        settled = True
     sized = edges.join(state.select("version", "size"), "version")
     placed = settle(ordered_totals(sized, [F.col("up"), F.col("version")], ["size"]), "placed")
+    if settled:
+        drop(state)
     roots, inner = placed.where("up IS NULL"), placed.where("up IS NOT NULL")
     firsts = inner.groupBy("up").agg(F.min("size_before").alias("first"))
     offsets = roots.select("version", "up", "size", F.col("size_before").alias("low")).unionByName(
         inner.join(firsts, "up").select("version", "up", "size", (F.col("size_before") - F.col("first") + 1).alias("low")))
-    found = _climbed(settle(offsets, "offsets"), "low", lambda own, above: own + above)
+    offsets = settle(offsets, "offsets")
+    drop(placed)
+    found = _climbed(offsets, "low", lambda own, above: own + above)
     return settle(found.select("version", "low", (F.col("low") + F.col("size")).alias("high")), "intervals")
 
 
@@ -164,17 +177,12 @@ def used_hashes(chain: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def _short(mark):
-    """A hash as bytes, half as long if it is written in hexadecimal digits; ``_long`` turns it back."""
+    """A hash as bytes, half as long if it is written in hexadecimal digits."""
     packed = F.unhex(mark)
     return F.when(F.lower(F.hex(packed)) == mark, F.concat(F.unhex(F.lit("01")), packed)).when(
         mark.isNotNull(), F.concat(F.unhex(F.lit("00")), F.encode(mark, "UTF-8")))
 
 
-def _long(mark):
-    rest = F.substring(mark, 2, 2 ** 31 - 1)
-    return F.when(F.hex(F.substring(mark, 1, 1)) == "01", F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
-
-
 def _hash_intervals(forest: DataFrame, per_model: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The intervals of all versions, and ``mark, low, high`` where a version itself uses a hash; none is an empty mark."""
     intervals = _intervals(forest)
@@ -202,26 +210,82 @@ def hash_counts(used: DataFrame) -> DataFrame:
     return totals.where("start IS NOT NULL").select("start", (F.col("n_before") + F.col("n")).alias("hashes")).where("hashes > 0")
 
 
+def _keyed(mark):
+    """128 bits that stand for a hash."""
+    text = mark.cast("string")
+    return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one range of rows in the order of (k1, k2, low), those with an end first, which rows without one (-1) lie
+    before the farthest end so far (kind 0); which do not, but have the range's first key, so ranges before may tell
+    (kind 1); and the farthest ends of the first key and of the last one (kind 2)."""
+    part, key, best, first = TaskContext.get().partitionId(), None, -1, None
+    names = ["part", "kind", "k1", "k2", "low", "high"]
+
+    def rows(kind, *columns):
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int64)), pa.array(np.full(n, kind, np.int64)),
+                                           *[pa.array(np.asarray(c, dtype=np.int64)) for c in columns]], names)
+
+    for batch in batches:
+        k1, k2, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in names[2:])
+        if not len(k1):
+            continue
+        new = np.empty(len(k1), dtype=bool)
+        new[0] = key != (k1[0], k2[0])
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        if first is None:
+            first, new[0] = (k1[0], k2[0]), False
+        seg = np.cumsum(new)
+        ends = high.copy()
+        if seg[0] == 0:
+            ends[0] = max(ends[0], best)
+        span = int(ends.max()) + 2
+        reach = np.maximum.accumulate(seg * span + ends + 1) - seg * span - 1
+        hit = (high < 0) & (reach > low)
+        open_ = (high < 0) & ~hit & (k1 == first[0]) & (k2 == first[1])
+        if key in (None, first) and new.any():      # the first key ends
+            at = int(np.flatnonzero(new)[0]) - 1
+            yield rows(2, [first[0]], [first[1]], [0], [reach[at] if at >= 0 else best])
+        for kind, some in ((0, hit), (1, open_)):
+            if some.any():
+                yield rows(kind, k1[some], k2[some], low[some], high[some])
+        key, best = (k1[-1], k2[-1]), int(reach[-1])
+    if key is not None:
+        yield rows(2, [key[0]], [key[1]], [0], [best])
+
+
 def duplicate_datasets(candidates: DataFrame, used: DataFrame) -> DataFrame:
     """Candidate rows (start, dataset_hash, …) whose data the lineage has seen.
 
     Of the intervals of versions that use a hash, those that hold a start's place
-    begin before it and end behind it: the farthest end so far decides.
+    begin before it and end behind it: the farthest end so far decides. Only
+    places and 128 bits of a hash are put in order, by ranges; a range answers for
+    itself, and what its first key needs to know of the ranges before is a row of
+    each.
     """
     if (source := vars(used).get("lineage")) is None:
         return candidates.join(used, ["start", "dataset_hash"], "left_semi")
-    intervals, own = _hash_intervals(*source)
-    kind = candidates.schema["dataset_hash"].dataType
-    rest = [c for c in candidates.columns if c != "dataset_hash"]
-    asked = candidates.where("dataset_hash IS NOT NULL").withColumn(
-        "__mark", _short(F.col("dataset_hash").cast("string"))).drop("dataset_hash").join(
-        intervals.select(F.col("version").alias("start"), F.col("low").alias("__low")), "start").select(
-        F.col("__mark").alias("mark"), F.col("__low").alias("low"), F.struct(*[quoted(c) for c in rest]).alias("row"))
-    both = asked.withColumn("high", F.lit(None).cast("bigint")).unionByName(
-        own.where(F.length("mark") > 0), allowMissingColumns=True)
-    found = highest_so_far(both, ["mark"], "low", "high", "reach", 0)
-    return found.where("row IS NOT NULL AND reach > low").select("row.*", _long(F.col("mark")).cast(kind).alias(
-        "dataset_hash")).select(*[quoted(c) for c in candidates.columns])
+    forest, per_model = source
+    intervals = _intervals(forest)
+    own = settle(per_model.where("dataset_hash IS NOT NULL").select("version", *[
+        c.alias(k) for k, c in _keyed(F.col("dataset_hash")).items()]).join(intervals, "version").select("k1", "k2", "low", "high"), "used")
+    places = intervals.select(F.col("version").alias("start"), "low")
+    asked = settle(candidates.where("dataset_hash IS NOT NULL").select("start", *[
+        c.alias(k) for k, c in _keyed(F.col("dataset_hash")).items()]).join(places, "start").select(
+            "k1", "k2", "low", F.lit(-1).cast("bigint").alias("high")), "asked")
+    swept = settle(own.unionByName(asked).repartitionByRange("k1", "k2", "low").sortWithinPartitions(
+        "k1", "k2", "low", F.desc("high")).mapInArrow(
+        _swept, "part bigint, kind bigint, k1 bigint, k2 bigint, low bigint, high bigint"), "swept")
+    drop(own)
+    drop(asked)
+    ends = swept.where("kind = 2").select("k1", "k2", F.col("part").alias("of"), F.col("high").alias("end"))
+    late = swept.where("kind = 1").join(F.broadcast(ends), ["k1", "k2"]).where("of < part AND end > low")
+    hits = swept.where("kind = 0").select("k1", "k2", "low").unionByName(late.select("k1", "k2", "low")).distinct()
+    pairs = settle(hits.join(places, "low").select("start", F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "reused")
+    keys = {f"__{k}": c for k, c in _keyed(F.col("dataset_hash")).items()}
+    return candidates.withColumns(keys).join(pairs, ["start", *keys], "left_semi").select(*[quoted(c) for c in candidates.columns])
 
 
 def with_row_counts(names: DataFrame, datasets: DataFrame, key: str = "dataset_name") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prepforge.errors import DataError
 from prepforge.operators import bands as bands_module
+from prepforge.operators import lineage as lineage_module
 from prepforge.operators import ordering as ordering_module
 from prepforge.operators.asof import asof_join
 from prepforge.operators.bands import band_join, band_totals
@@ -249,3 +250,34 @@ def test_totals_of_bands_move_a_row_a_fixed_number_of_times(spark, monkeypatch):
     assert len(rows) == 300 - sum(1 for j in range(300) if not any(
         j * 7919 <= i * 1000003 % 900000000007 <= j * 7919 + j * j * 1000000 for i in range(2000)))
     assert sum(written) < 12 * (2000 + 2 * 300)
+
+
+def test_reuse_of_a_hash_that_fills_many_ranges(spark, monkeypatch):
+    """One hash over all ranges of the order, and no more written than places and 128 bits; before, whole rows were."""
+    written = []
+    def counted(df, label="stage", kept=lineage_module.settle):
+        written.append((label, df.columns))
+        return kept(df, label)
+    monkeypatch.setattr(lineage_module, "settle", counted)
+    r = random.Random(11)
+    parent = {i: r.choice([None, i - 1, i // 2]) if i else None for i in range(300)}
+    models = spark.createDataFrame(list(parent.items()), "version bigint, parent bigint")
+    uses = [(i, "hot") for i in r.sample(range(300), 12)] + [(r.randrange(300), f"h{r.randrange(9)}") for _ in range(60)]
+    asked = [(r.randrange(300), r.choice(["hot", "hot", "h1", "h2", "other"]), "x" * 50, i) for i in range(900)]
+    used = used_hashes(lineage(models), spark.createDataFrame(uses, "version bigint, dataset_hash string"))
+    candidates = spark.createDataFrame(asked, "start bigint, dataset_hash string, note string, i int")
+    def above(v):
+        while v is not None:
+            yield v
+            v = parent[v]
+    want = {i for s, h, _, i in asked if any((v, h) in set(uses) for v in above(s))}
+    for parts in ("4", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = duplicate_datasets(candidates, used).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert {g["i"] for g in got} == want and len(got) == len(want) > 30
+    assert not any("note" in columns or "row" in columns or "mark" in columns for _, columns in written)
